@@ -1,38 +1,21 @@
-"""The registry behind ``__spark_entry__``: one Spark query and (where SQL can say it) one DuckDB
+"""Query registry, part 1: daily features (F*) and fund aggregation (A*).
+
+The registry behind ``__spark_entry__``: one Spark query and (where SQL can say it) one DuckDB
 oracle per operator of the inventory. Every query reads the driver's tables (or data Spark derives
 from them) over whole tables. Doubles are rounded to 6 dp on both sides for value hashing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import inf_to_null, pct_change, round_doubles, safe_divide
+from ..functions.columns import inf_to_null, safe_divide
 from ..operators import aggregate as A
 from ..operators import features as FE
 from . import sql_snippets as S
 from .views import panel
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
-
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return run
-
-    return deco
+from .registry import ORACLES, QUERIES, register  # noqa: F401
 
 
 def _round_sql(body: str, cols_sql: str = "*") -> str:
