@@ -35,7 +35,6 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: dict) -> dict[int, float]:
     """Exact value at 0-based ``rank`` (over all non-NULL values incl. +-inf) per target id."""
-    spark = long.sparkSession
     out: dict[int, float] = {}
     state = {}
     for tid, (k, rank) in targets.items():
@@ -49,35 +48,36 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
         else:
             state[tid] = {"k": k, "rank": rank - n_neg, "lo": lo, "hi": hi, "n": n_fin}
     finite = long.where(~F.col("v").isin(float("inf"), float("-inf")))
+
+    def tagged(targets_):
+        # one row per (value, target whose [lo, hi] range holds it); targets are a handful of literals
+        tags = F.array(*[F.when((F.col("k") == F.lit(s["k"])) & (F.col("v") >= F.lit(s["lo"]))
+                                & (F.col("v") <= F.lit(s["hi"])), F.lit(t)) for t, s in targets_.items()])
+        return finite.select("v", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("tid"))
+
     rounds = 0
     while state:
         rounds += 1
         fetch = {t: s for t, s in state.items() if s["n"] <= FETCH_LIMIT or rounds > MAX_ROUNDS}
         narrow = {t: s for t, s in state.items() if t not in fetch}
         if fetch:
-            tdf = spark.createDataFrame([(t, s["k"], s["lo"], s["hi"]) for t, s in fetch.items()],
-                                        "tid int, k string, lo double, hi double")
-            rows = (finite.join(F.broadcast(tdf), "k")  # targets: a handful of rows
-                    .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-                    .select("tid", "v").collect())
-            vals: dict[int, list[float]] = {}
-            for r in rows:
-                vals.setdefault(r["tid"], []).append(r["v"])
+            got = tagged(fetch).toPandas()  # <= FETCH_LIMIT values per target (Arrow transfer)
             for t, s in fetch.items():
-                vs = sorted(vals.get(t, []))
-                out[t] = vs[s["rank"]]
+                vs = got.loc[got["tid"] == t, "v"].sort_values(kind="stable").to_numpy()
+                out[t] = float(vs[s["rank"]])
                 del state[t]
         if narrow:
-            tdf = spark.createDataFrame([(t, s["k"], s["lo"], s["hi"]) for t, s in narrow.items()],
-                                        "tid int, k string, lo double, hi double")
+            lo = F.element_at(F.array(*[F.lit(narrow[t]["lo"]) for t in narrow]), F.col("_i"))
+            hi = F.element_at(F.array(*[F.lit(narrow[t]["hi"]) for t in narrow]), F.col("_i"))
+            idx = {t: i + 1 for i, t in enumerate(narrow)}
+            pos_of = F.element_at(F.create_map(*[x for t in narrow for x in (F.lit(t), F.lit(idx[t]))]), F.col("tid"))
             # halves keep (hi - lo) finite for ranges near the double limits
-            pos = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+            pos = (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)
             bucket = F.least(F.floor(pos * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
-            hist = (finite.join(F.broadcast(tdf), "k")
-                    .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+            hist = (tagged(narrow).withColumn("_i", pos_of)
                     .groupBy("tid", bucket.alias("b"))
                     .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .collect())
+                    .collect())  # <= targets x BUCKETS rows
             per: dict[int, list] = {}
             for r in hist:
                 per.setdefault(r["tid"], []).append((r["b"], r["c"], r["mn"], r["mx"]))

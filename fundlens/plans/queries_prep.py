@@ -108,9 +108,9 @@ def c5_flag_outliers(spark, sf_dir):
     return C.flag_outliers(panel(spark, sf_dir), {"columns": ["quota_value"], "k": 1.5})
 
 
-_C6_SQL = (f"WITH {S.PANEL_CTE},\nc1 AS (SELECT DISTINCT * FROM panel WHERE fund_cnpj IS NOT NULL OR report_date IS NOT NULL),\n"
-           + _C2_CTE.format(src="c1") + ",\n" + _C3_CTE.format(src="c2") + ",\n" + _C4_CTE.format(src="c3")
-           + f"\nSELECT {PANEL_SEL} FROM c4")
+C6_CTES = (f"WITH {S.PANEL_CTE},\nc1 AS (SELECT DISTINCT * FROM panel WHERE fund_cnpj IS NOT NULL OR report_date IS NOT NULL),\n"
+           + _C2_CTE.format(src="c1") + ",\n" + _C3_CTE.format(src="c2") + ",\n" + _C4_CTE.format(src="c3"))
+_C6_SQL = C6_CTES + f"\nSELECT {PANEL_SEL} FROM c4"
 
 
 def fixture_clean_config() -> C.CleanConfig:
