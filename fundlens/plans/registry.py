@@ -36,4 +36,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers on import)."""
-    from . import queries, queries_models, queries_prep  # noqa: F401
+    from . import queries, queries_io, queries_models, queries_prep  # noqa: F401
