@@ -295,6 +295,7 @@ def select_config(results: DataFrame, dataset: str = "validation") -> DataFrame:
 def stability_report(config_rows: DataFrame, metrics: Sequence[str], base: str = "train",
                      others: Sequence[str] = ("test", "validation")) -> DataFrame:
     """Per metric W1(base, other) for each other dataset, one row per metric."""
+    config_rows = cut_lineage(config_rows)  # small, read once per distance
     long = config_rows.select("dataset", F.explode(F.array(*[
         F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")
     ).select("dataset", "_m.feature", "_m.value")

@@ -12,6 +12,7 @@ from . import sql_snippets as S
 from .build import build_features, experiment_input
 from .queries_prep import C1_CUT, C2_CUT, C6_CTES, fixture_clean_config
 from .registry import register
+from ..session import cut_lineage
 from .views import panel, read_table
 
 LOOK = P.LOOK_FEATURES
@@ -195,7 +196,8 @@ def bins_results(spark, sf_dir, ks=(2, 3, 4, 5)):
         ev = (ev.withColumn("model", F.lit("QuantileBins")).withColumn("n_clusters", F.lit(k))
               .withColumn("preprocessing", F.lit("just_filter")))
         out = ev if out is None else out.unionByName(ev)
-    return out.select(*_RESULT_COLS)
+    # a few rows per configuration, read by several later steps: materialise once
+    return cut_lineage(out.select(*_RESULT_COLS))
 
 
 @register("m4_evaluate_clusters", _X7_CTES + _bins_ctes(3) + "\nSELECT " + ", ".join(
