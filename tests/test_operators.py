@@ -286,3 +286,18 @@ def test_query_matches_oracle_smoke(spark, name):
         return sorted([tuple(round(r[i], 4) if isinstance(r[i], float) else r[i] for i in order) for r in rows], key=key)
 
     assert norm(df.columns, [tuple(r) for r in df.collect()]) == norm(cols, cur.fetchall())
+
+
+def test_streaming_increments_upsert(spark, tmp_path):
+    from fundlens.streaming.increments import ingest_new_files
+
+    land, table = tmp_path / "landing", str(tmp_path / "table")
+    land.mkdir()
+    (land / "m1.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n00.000.000/0001-01;2024-01-02;1.0\n"
+                                 "00.000.000/0001-01;2024-02-01;2.0\n")
+    ingest_new_files(spark, str(land), table, name="t-incr")
+    (land / "m2.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n00.000.000/0001-01;2024-02-01;2.5\n"
+                                 "00.000.000/0001-01;2024-03-01;3.0\n")
+    ingest_new_files(spark, str(land), table, name="t-incr")
+    got = sorted((str(r["report_date"]), r["quota_value"]) for r in spark.read.parquet(table).collect())
+    assert got == [("2024-01-02", 1.0), ("2024-02-01", 2.5), ("2024-03-01", 3.0)]
