@@ -9,14 +9,13 @@ For raw, non-unique inputs ``method="aggregate"`` computes the flags with a map-
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedupe import anti_join_ids, drop_exact_duplicates, size_checked_broadcast
+from .dedupe import drop_exact_duplicates, size_checked_broadcast
 from .features import DATE, ID, add_return
 from .quantiles import exact_quantiles
 
@@ -99,7 +98,7 @@ def flag_outliers(df: DataFrame, params: dict | None = None) -> DataFrame:
         return df
     cols = list(params.get("columns", []))
     k = float(params.get("k", 1.5))
-    q = exact_quantiles(df, cols, [0.25, 0.75])
+    q = exact_quantiles(df, cols, [0.25, 0.75], materialize=True)
     out = df
     for c in cols:
         q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
@@ -148,6 +147,3 @@ def null_summary(df: DataFrame) -> DataFrame:
     stack = counts.unpivot(["__rows"], df.columns, "column", "nulls") if df.columns else counts
     return stack.select(F.col("__rows").alias("rows"), F.lit(n_cols).alias("columns"), "column", "nulls")
 
-
-__all__ = ["drop_empty_rows", "filter_min_shareholders", "filter_max_gap", "filter_extreme_returns",
-           "flag_outliers", "clean", "CleanConfig", "null_summary", "anti_join_ids", "dt"]

@@ -155,7 +155,7 @@ def quantile_bins(df: DataFrame, col: str, k: int, dataset_col: str = DATASET, f
     from .quantiles import exact_quantiles
 
     probs = [i / k for i in range(1, k)]
-    q = exact_quantiles(df.where(F.col(dataset_col) == fit_on), [col], probs)
+    q = exact_quantiles(df.where(F.col(dataset_col) == fit_on), [col], probs, materialize=False)
     label = F.lit(0)
     for p in probs:
         label = label + (F.col(col) > F.lit(q[(col, p)])).cast("int")

@@ -29,14 +29,11 @@ def keep_extreme_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequenc
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
     ordered = [c for c in order_cols if c in payload] + [c for c in payload if c not in order_cols]
-    fields = []
-    for i, c in enumerate(ordered):
-        v = -F.col(c) if c in descending else F.col(c)
-        fields.append(v.alias(f"o{i}"))
-    rec = F.struct(*fields, *[F.col(c).alias(f"p{i}") for i, c in enumerate(ordered)])
-    pick = F.max(rec) if largest else F.min(rec)
+    fields = [(-F.col(c) if c in descending else F.col(c)).alias(f"o{i}") for i, c in enumerate(ordered)]
+    extra = [F.col(c).alias(f"p{i}") for i, c in enumerate(ordered) if c in descending]
+    pick = F.max(F.struct(*fields, *extra)) if largest else F.min(F.struct(*fields, *extra))
     out = df.groupBy(*keys).agg(pick.alias("_r"))
-    by_name = {c: F.col(f"_r.p{i}").alias(c) for i, c in enumerate(ordered)}
+    by_name = {c: F.col(f"_r.{'p' if c in descending else 'o'}{i}").alias(c) for i, c in enumerate(ordered)}
     return out.select(*[F.col(c) if c in keys else by_name[c] for c in df.columns])
 
 

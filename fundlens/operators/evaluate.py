@@ -18,11 +18,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, write_table
 
 BLOCK_ROWS = 2048
 
@@ -40,7 +40,7 @@ def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"_id": [], "_other": [], "_sum": [], "_cnt": []})
     a = np.stack(left["_x"].to_numpy()).astype(np.float64)
     b = np.stack(right["_x"].to_numpy()).astype(np.float64)
-    # exact Euclidean distances, one block pair at a time
+    # Euclidean distances of one block pair (dot-product expansion, clipped at 0)
     d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
     dist = np.sqrt(np.maximum(d2, 0.0))
     labels = right["_lab"].to_numpy()
@@ -56,11 +56,6 @@ def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
                          "_sum": np.concatenate(out_sum), "_cnt": np.concatenate(out_cnt)})
 
 
-def _exact_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    diff = a[:, None, :] - b[None, :, :]
-    return np.sqrt((diff * diff).sum(-1))
-
-
 def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str] | str, id_col: str,
                        by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """M5 per point: s = (b - a) / max(a, b); 0 for a point alone in its cluster; NULL when the
@@ -295,7 +290,7 @@ def select_config(results: DataFrame, dataset: str = "validation") -> DataFrame:
 def stability_report(config_rows: DataFrame, metrics: Sequence[str], base: str = "train",
                      others: Sequence[str] = ("test", "validation")) -> DataFrame:
     """Per metric W1(base, other) for each other dataset, one row per metric."""
-    config_rows = cut_lineage(config_rows)  # small, read once per distance
+    config_rows = write_table(config_rows, "config-rows")  # small, read once per distance
     long = config_rows.select("dataset", F.explode(F.array(*[
         F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")
     ).select("dataset", "_m.feature", "_m.value")
@@ -306,5 +301,3 @@ def stability_report(config_rows: DataFrame, metrics: Sequence[str], base: str =
         out = w if out is None else out.join(w, "feature", "full")
     return out
 
-
-__all__ = ["Window"]

@@ -84,7 +84,7 @@ def feature_summary(df: DataFrame, descriptions: dict[str, str] = FEATURE_DESCRI
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *[x for i, c in enumerate(cols) for x in (
         F.count(c).alias(f"nn{i}"), F.countDistinct(c).alias(f"u{i}"), F.avg(c).alias(f"m{i}"),
         stddev_samp(c).alias(f"s{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], materialize=True)
     rows = []
     n = row["_rows"]
     for i, c in enumerate(cols):

@@ -99,7 +99,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """Exact linear-interpolated quantiles of each column (NULL/NaN skipped). None for an empty column.
 
     ``materialize`` checkpoints the (k, v) column once so each narrowing round rescans a written
-    table instead of recomputing the input plan."""
+    table instead of recomputing the input plan; pass False when the input is already materialised."""
     long = long_values(df, cols)
     if materialize:
         long = cut_lineage(long)

@@ -18,11 +18,6 @@ from .views import panel
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
 
-def _round_sql(body: str, cols_sql: str = "*") -> str:
-    """Wrap an oracle so every DOUBLE column is rounded to 6 dp (matching ``round_doubles``)."""
-    return f"SELECT {cols_sql} FROM ({body}) q"
-
-
 def _rounded(select_list: list[tuple[str, bool]]) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" if dbl else c for c, dbl in select_list)
 

@@ -18,7 +18,7 @@ from ..session import scratch_path
 from ..sources import files as SRC
 from . import sql_snippets as S
 from .load import load_panel, load_raw
-from .queries_prep import PANEL_SEL, _sel
+from .queries_prep import PANEL_SEL
 from .registry import register
 from .views import RAW_FILES_SQL, panel, raw_files, read_table
 
@@ -419,4 +419,78 @@ def v10_format_bytes(spark, sf_dir):
     return V.size_labels(docs.groupBy("source").agg(F.sum("n_chars").alias("bytes")), "bytes")
 
 
-__all__ = ["_sel"]
+
+# ------------------------------------------------------------------ S5-S7, X5: monthly ZIP archives
+
+def monthly_zip_tree(spark, sf_dir: str) -> str:
+    """Source rows as one ZIP per month (``<stem>.zip`` holding ``<stem>.csv``), written by Spark
+    tasks; from 2000 on the id header is ``CNPJ_FUNDO_CLASSE``. Plus one corrupt archive and one
+    with a wrongly named member, which the reader must skip."""
+    import os
+    import zipfile
+
+    from .fixture_files import month_key, write_monthly_zips
+
+    key = ("zip", id(spark.sparkContext), sf_dir)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "monthly-zips").replace("file:", "")
+        rows = raw_files(spark, sf_dir).select("CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "ID", "LINE_NO") \
+            .withColumn("_m", month_key("DT_COMPTC"))
+        months = [r[0] for r in rows.select("_m").distinct().collect()]  # calendar-bounded
+        cols = ["CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "ID", "LINE_NO"]
+        headers = {m: (["CNPJ_FUNDO_CLASSE"] + cols[1:] if m >= "200001" else cols) for m in months}
+        write_monthly_zips(rows, root, "_m", ["ID", "LINE_NO"], headers)
+        with open(os.path.join(root, "inf_diario_fi_190001.zip"), "wb") as fh:
+            fh.write(b"not a zip archive")
+        with zipfile.ZipFile(os.path.join(root, "inf_diario_fi_190002.zip"), "w") as z:
+            z.writestr("other_name.csv", "CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n1;1900-02-01;1\n")
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+def _month_of():
+    return F.regexp_extract("file", r"(\d{6})\.zip$", 1)
+
+_RF_MONTH = "substr(\"DT_COMPTC\", 1, 4) || substr(\"DT_COMPTC\", 6, 2)"
+
+
+@register("s5_scan_zip_csv", f"WITH {_RF}\nSELECT {_RF_MONTH} AS month, count(*) + 1 AS n_lines FROM rf GROUP BY 1")
+def s5_scan_zip_csv(spark, sf_dir):
+    """Lines of the member CSV of every readable monthly archive (rejects excluded)."""
+    lines = SRC.read_zip_lines(spark, monthly_zip_tree(spark, sf_dir)).where(F.col("reject").isNull())
+    return lines.groupBy(_month_of().alias("month")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("s6_detect_key_column", f"""WITH {_RF}
+SELECT DISTINCT {_RF_MONTH} AS month, CASE WHEN {_RF_MONTH} >= '200001' THEN 'CNPJ_FUNDO_CLASSE'
+  ELSE 'CNPJ_FUNDO' END AS key_column FROM rf""")
+def s6_detect_key_column(spark, sf_dir):
+    """Per archive, the first header containing 'cnpj' (header lines only reach the driver)."""
+    lines = SRC.read_zip_lines(spark, monthly_zip_tree(spark, sf_dir))
+    heads = lines.where((F.col("line_no") == 0) & F.col("reject").isNull()).select(
+        _month_of().alias("month"), "line").collect()  # one row per archive
+    rows = [(r["month"], SRC.detect_key_column(r["line"])) for r in heads]
+    return spark.createDataFrame(rows, "month string, key_column string")
+
+
+@register("s7_project_quota_cols", f"""WITH {_RF}
+SELECT "CNPJ_FUNDO", "DT_COMPTC", round("VL_QUOTA", 6) AS "VL_QUOTA" FROM rf""")
+def s7_project_quota_cols(spark, sf_dir):
+    """Id (copied to CNPJ_FUNDO from whichever key column the archive has), date, quota."""
+    q = SRC.read_monthly_quotas(spark, monthly_zip_tree(spark, sf_dir))
+    return q.select("CNPJ_FUNDO", "DT_COMPTC", F.col("VL_QUOTA").cast("double").alias("VL_QUOTA"))
+
+
+@register("x5_ingest_initial", f"""WITH {_RF},
+k AS (SELECT *, row_number() OVER (PARTITION BY "CNPJ_FUNDO", "DT_COMPTC" ORDER BY "ID" DESC, "LINE_NO" DESC) AS _rn
+      FROM rf WHERE regexp_replace("CNPJ_FUNDO", '\\D', '', 'g') IN
+        (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') FROM supplier WHERE s_acctbal > 0))
+SELECT "CNPJ_FUNDO", CAST("DT_COMPTC" AS DATE) AS "DT_COMPTC", round("VL_QUOTA", 6) AS "VL_QUOTA" FROM k WHERE _rn = 1""")
+def x5_ingest_initial(spark, sf_dir):
+    """Monthly ZIPs -> key/date/quota -> catalog semi join -> latest (file, line) per key."""
+    from .load import ingest
+
+    cat = read_table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0).select(
+        F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("CNPJ_FUNDO"))
+    out = ingest(spark, monthly_zip_tree(spark, sf_dir), cat)
+    return out.select("CNPJ_FUNDO", "DT_COMPTC", F.col("VL_QUOTA").cast("double").alias("VL_QUOTA"))

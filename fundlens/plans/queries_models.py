@@ -12,7 +12,7 @@ from . import sql_snippets as S
 from .build import build_features, experiment_input
 from .queries_prep import C1_CUT, C2_CUT, C6_CTES, fixture_clean_config
 from .registry import register
-from ..session import cut_lineage
+from ..session import write_table
 from .views import panel, read_table
 
 LOOK = P.LOOK_FEATURES
@@ -36,7 +36,8 @@ def fund_table(spark, sf_dir):
 
 
 def exp_input(spark, sf_dir):
-    return experiment_input(fund_table(spark, sf_dir))
+    """The experiment rows (a few per fund), materialised once: every fit and evaluation rereads them."""
+    return write_table(experiment_input(fund_table(spark, sf_dir)), "experiment-input")
 
 
 @register("x7_build_features", _X7_CTES + "\nSELECT dataset, fund_cnpj, " + _r(S.ALL_32) + " FROM ft")
@@ -188,7 +189,7 @@ _RESULTS_CTES = (_X7_CTES + "".join(_bins_ctes(k) for k in (2, 3, 4, 5))
 
 def bins_results(spark, sf_dir, ks=(2, 3, 4, 5)):
     """M4 results for the deterministic QuantileBins clusterer (k = 2..5) on the fund features."""
-    ex = exp_input(spark, sf_dir).cache()
+    ex = exp_input(spark, sf_dir)
     out = None
     for k in ks:
         raw = M.quantile_bins(ex, "sharpe", k)
@@ -197,7 +198,7 @@ def bins_results(spark, sf_dir, ks=(2, 3, 4, 5)):
               .withColumn("preprocessing", F.lit("just_filter")))
         out = ev if out is None else out.unionByName(ev)
     # a few rows per configuration, read by several later steps: materialise once
-    return cut_lineage(out.select(*_RESULT_COLS))
+    return write_table(out.select(*_RESULT_COLS), "experiment-results")
 
 
 @register("m4_evaluate_clusters", _X7_CTES + _bins_ctes(3) + "\nSELECT " + ", ".join(

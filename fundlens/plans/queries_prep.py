@@ -9,7 +9,7 @@ from ..operators import dedupe as K
 from ..operators import split as D
 from . import sql_snippets as S
 from .registry import register
-from .views import RAW_FILES_SQL, panel, raw_files, raw_reports, read_table, with_ctes
+from .views import RAW_FILES_SQL, panel, raw_files, raw_reports, read_table
 
 # Fixture parameters (FIXTURES.md §2): chosen so that every filter removes some funds at sf0.01.
 C1_CUT, C2_CUT = "1998-12-31", "2000-12-31"
@@ -325,5 +325,3 @@ def j5_distinct_ids(spark, sf_dir):
 def j5_count_distinct_ids(spark, sf_dir):
     return K.count_distinct_ids(raw_reports(spark, sf_dir))
 
-
-__all__ = ["with_ctes"]

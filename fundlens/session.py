@@ -19,6 +19,9 @@ _LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the fund-level plans are wide projections of nested CASE expressions; inferring constraints
+    # through every alias grows combinatorially in planning time and buys nothing here
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -75,3 +78,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as parquet to a fresh folder under the shared checkpoint
+    folder and reading it back. Unlike ``checkpoint()`` the result carries no constraints of the
+    original plan, which keeps planning cheap for wide, deeply nested projections; partition
+    identity is not preserved (use ``cut_lineage`` where it matters)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

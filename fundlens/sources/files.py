@@ -2,11 +2,10 @@
 
 Delimited files with different headers are read in one distributed text scan:
 
-* each line keeps its file (``_metadata.file_path``); the first line of each file is its header,
-  found by a map-side-combined ``min_by`` per file (one row per file reaches the driver: the set of
-  distinct headers, typically a handful);
-* the per-file charset is chosen by an aggregate ``bool_and(is_valid_utf8(line))`` (S2); Latin-1
-  files are re-decoded from the raw line bytes;
+* one aggregate pass computes, per file, the charset (``bool_and(is_valid_utf8(line))``, S2) and
+  the header (first line, map-side-combined ``min_by``); this one-row-per-file table is written
+  once and broadcast; only the set of distinct headers (typically a handful) reaches the driver;
+* the data pass decodes each line with its file's charset (Latin-1 from the raw line bytes);
 * a data line with more fields than its header is dropped, fewer fields are padded with NULL (S3);
 * fields are addressed by header name through ``map_from_arrays``, so the union over heterogeneous
   headers (S11) happens inside the same projection.
@@ -24,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import snake_case
+from ..session import write_table
 
 # fixed values: the monthly file layout and the catalog columns
 CATALOG_COLUMNS = ["CNPJ_FUNDO", "DENOM_SOCIAL", "SIT", "DT_REG", "DT_CONST", "CD_CVM", "DT_CANCEL",
@@ -43,29 +42,33 @@ def read_lines(spark: SparkSession, root: str, glob: str = "*.[cC][sS][vV]") ->
     return lines
 
 
-def decode_lines(lines: DataFrame) -> DataFrame:
-    """UTF-8 when every line of the file is valid UTF-8, else ISO-8859-1 (never fails)."""
-    valid = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"))
-    return (lines.join(F.broadcast(valid), "file")  # one row per file
-            .withColumn("line", F.when(F.col("_utf8"), F.col("_raw"))
-                        .otherwise(F.decode(F.col("_raw").cast("binary"), "ISO-8859-1")))
-            .drop("_raw"))
+def _decoded(raw, utf8):
+    return F.when(utf8, raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
 
 
-def file_headers(lines: DataFrame) -> DataFrame:
-    """(file, header line, header line id): the first line of the split starting at offset 0."""
-    return (lines.where(F.col("_blk") == 0).groupBy("file")
-            .agg(F.min_by(F.struct("_lid", "line"), F.col("_lid")).alias("_h"))
-            .select("file", F.col("_h.line").alias("header"), F.col("_h._lid").alias("_hid")))
+def file_metadata(lines: DataFrame) -> DataFrame:
+    """One aggregate pass, one row per file: the S2 charset (UTF-8 when every line is valid UTF-8,
+    else ISO-8859-1; never fails) and the header = first line of the split at offset 0."""
+    meta = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"),
+        F.min_by(F.struct("_lid", "_raw"), F.when(F.col("_blk") == 0, F.col("_lid"))).alias("_h"))
+    return meta.select("file", "_utf8", _decoded(F.col("_h._raw"), F.col("_utf8")).alias("header"),
+                       F.col("_h._lid").alias("_hid"))
 
 
-def parse_delimited(lines: DataFrame, headers: DataFrame, sep: str = ";") -> DataFrame:
-    """S3 + S11: one (file, map<header name, text>) row per data line; over-long lines dropped,
-    short lines padded with NULL."""
-    j = lines.join(F.broadcast(headers), "file").where(F.col("_lid") != F.col("_hid"))  # one row per file
+def decode_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
+    """Lines decoded with their file's charset, carrying the file's header."""
+    return (lines.join(F.broadcast(meta), "file")  # one row per file
+            .withColumn("line", _decoded(F.col("_raw"), F.col("_utf8"))).drop("_raw", "_utf8"))
+
+
+def parse_delimited(lines: DataFrame, sep: str = ";") -> DataFrame:
+    """S3 + S11: one (file, map<header name, text>) row per data line of decoded lines carrying
+    their header; over-long lines dropped, short lines padded with NULL, empty fields NULL."""
+    j = lines.where(F.col("_lid") != F.col("_hid"))
     pat = "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
     names = F.transform(F.split("header", pat), lambda x: F.trim(x))
-    vals = F.split("line", pat)
+    vals = F.transform(F.split("line", pat), lambda x: F.when(F.trim(x) != "", x))
     n = F.size(names)
     padded = F.slice(F.concat(vals, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
     return (j.where(F.size(vals) <= n)
@@ -86,12 +89,13 @@ def distinct_headers(headers: DataFrame) -> list[str]:
 def scan_csv_tree(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
                   seed: int = 42) -> tuple[DataFrame, list[str]]:
     """(rows with a ``fields`` map and the source ``file``, distinct header lines)."""
-    lines = decode_lines(read_lines(spark, root))
-    heads = file_headers(lines)
-    hdrs = distinct_headers(heads)
+    raw = read_lines(spark, root)
+    # one row per file; materialised so the full validity scan is not repeated by the join below
+    meta = write_table(file_metadata(raw), "file-metadata")
+    hdrs = distinct_headers(meta)
     if not hdrs:
         raise FileNotFoundError(f"No CSV files found in {root}")
-    rows = parse_delimited(lines, heads, sep)
+    rows = parse_delimited(decode_lines(raw, meta), sep)
     if sample_size:
         rows = sample_per_file(rows, sample_size, seed)
     return rows, hdrs
@@ -227,7 +231,7 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", sample_csv_lines: int = 10,
-              allow_full_csv: bool = False, order_by: Sequence[str] = ()) -> str:
+              allow_full_csv: bool = False) -> str:
     """A full CSV only when the frame has at most ``sample_csv_lines`` rows or
     ``allow_full_csv``; the guard counts at most n + 1 rows."""
     if not allow_full_csv and df.limit(sample_csv_lines + 1).count() > sample_csv_lines:
@@ -242,5 +246,3 @@ def write_sample_csv(df: DataFrame, path: str, n: int = 10, order_by: Sequence[s
     src.limit(n).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
     return path
 
-
-__all__ = ["snake_case"]

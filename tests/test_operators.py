@@ -301,3 +301,25 @@ def test_streaming_increments_upsert(spark, tmp_path):
     ingest_new_files(spark, str(land), table, name="t-incr")
     got = sorted((str(r["report_date"]), r["quota_value"]) for r in spark.read.parquet(table).collect())
     assert got == [("2024-01-02", 1.0), ("2024-02-01", 2.5), ("2024-03-01", 3.0)]
+
+
+def test_build_features_plan_one_exchange_after_cleaning(spark):
+    """After the cleaning checkpoint, one exchange on fund_cnpj serves the C4 flag window, every
+    per-(dataset, fund) feature window and the fund aggregation."""
+    from fundlens.plans.build import build_features
+    from fundlens.plans.queries_prep import C1_CUT, C2_CUT, fixture_clean_config
+    from fundlens.plans.views import panel
+
+    _, fund = build_features(panel(spark, SF), fixture_clean_config(), C2_CUT, C1_CUT)
+    plan = fund._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning(fund_cnpj" in plan
+
+
+def test_keep_max_is_partially_aggregated(spark):
+    """K1 reduces every key map-side (partial aggregate before the exchange): hot keys stay cheap."""
+    from fundlens.operators.dedupe import dedupe_keep_max
+    from fundlens.plans.views import raw_reports
+
+    plan = dedupe_keep_max(raw_reports(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max(struct(" in plan and "row_number" not in plan
