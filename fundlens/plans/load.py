@@ -44,7 +44,7 @@ def header_mapping(header: str, sep: str = ";") -> dict[str, str]:
 def load_raw(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
              seed: int = 42) -> DataFrame:
     """S1-S4 -> X2 -> S11 -> X3: canonical, typed rows with their source ``file``."""
-    rows, headers = scan_csv_tree(spark, root, sep, sample_size, seed)
+    rows, headers, fill = scan_csv_tree(spark, root, sep, sample_size, seed, with_fill=True)
     maps = {h: header_mapping(h, sep) for h in headers}
     canon: list[str] = []
     for m in maps.values():
@@ -64,7 +64,13 @@ def load_raw(spark: SparkSession, root: str, sep: str = ";", sample_size: int |
             v = v.cast("bigint") if NUMERIC[c] == "bigint" else v
         cols.append(v.alias(c))
     df = rows.select(F.col("file").alias("source_file"), *cols)
-    df = df.drop(*[c for c in all_null_columns(df) if c != "source_file"])  # N2 over the union
+    # N2 over the union: decided from the metadata pass's fill counts (a data pass only for very
+    # wide files); the id is never NULL after N5, like the reference's ''
+    if fill is not None:
+        empty = [c for c in canon if c != "fund_cnpj" and not any(m.get(c) in fill[h] for h, m in maps.items())]
+    else:
+        empty = [c for c in all_null_columns(df) if c != "source_file"]
+    df = df.drop(*empty)
     return final_processing(df)
 
 

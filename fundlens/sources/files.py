@@ -46,19 +46,31 @@ def _decoded(raw, utf8):
     return F.when(utf8, raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
 
 
-def file_metadata(lines: DataFrame) -> DataFrame:
+STAT_WIDTH = 64  # field positions whose fill counts ride along the metadata pass
+
+
+def _sep_pattern(sep: str) -> str:
+    return "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
+
+
+def file_metadata(lines: DataFrame, sep: str = ";") -> DataFrame:
     """One aggregate pass, one row per file: the S2 charset (UTF-8 when every line is valid UTF-8,
-    else ISO-8859-1; never fails) and the header = first line of the split at offset 0."""
-    meta = lines.groupBy("file").agg(
+    else ISO-8859-1; never fails), the header = first line of the split at offset 0, the widest
+    line, and per field position (up to ``STAT_WIDTH``) the number of non-empty values (header
+    included), so all-empty columns are known without another pass over the data."""
+    parts = lines.select("file", "_blk", "_lid", "_raw", F.split("_raw", _sep_pattern(sep)).alias("_p"))
+    filled = [F.count(F.when(F.length(F.trim(F.get("_p", i))) > 0, 1)) for i in range(STAT_WIDTH)]
+    meta = parts.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"),
-        F.min_by(F.struct("_lid", "_raw"), F.when(F.col("_blk") == 0, F.col("_lid"))).alias("_h"))
+        F.min_by(F.struct("_lid", "_raw"), F.when(F.col("_blk") == 0, F.col("_lid"))).alias("_h"),
+        F.max(F.size("_p")).alias("width"), F.array(*filled).alias("filled"))
     return meta.select("file", "_utf8", _decoded(F.col("_h._raw"), F.col("_utf8")).alias("header"),
-                       F.col("_h._lid").alias("_hid"))
+                       F.col("_h._lid").alias("_hid"), "width", "filled")
 
 
 def decode_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
     """Lines decoded with their file's charset, carrying the file's header."""
-    return (lines.join(F.broadcast(meta), "file")  # one row per file
+    return (lines.join(F.broadcast(meta.select("file", "_utf8", "header", "_hid")), "file")  # one row per file
             .withColumn("line", _decoded(F.col("_raw"), F.col("_utf8"))).drop("_raw", "_utf8"))
 
 
@@ -66,7 +78,7 @@ def parse_delimited(lines: DataFrame, sep: str = ";") -> DataFrame:
     """S3 + S11: one (file, map<header name, text>) row per data line of decoded lines carrying
     their header; over-long lines dropped, short lines padded with NULL, empty fields NULL."""
     j = lines.where(F.col("_lid") != F.col("_hid"))
-    pat = "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
+    pat = _sep_pattern(sep)
     names = F.transform(F.split("header", pat), lambda x: F.trim(x))
     vals = F.transform(F.split("line", pat), lambda x: F.when(F.trim(x) != "", x))
     n = F.size(names)
@@ -82,23 +94,33 @@ def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.join(F.broadcast(counts), "file").where(F.rand(seed) < p).drop("_rows")  # one row per file
 
 
-def distinct_headers(headers: DataFrame) -> list[str]:
-    return [r["header"] for r in headers.select("header").distinct().collect()]
-
-
 def scan_csv_tree(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
-                  seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """(rows with a ``fields`` map and the source ``file``, distinct header lines)."""
+                  seed: int = 42, with_fill: bool = False):
+    """(rows with a ``fields`` map and the source ``file``, distinct header lines[,
+    fill]). ``fill`` maps each header to the names that have a value in some file, or is None when
+    a file is wider than ``STAT_WIDTH`` (callers then count with a data pass)."""
     raw = read_lines(spark, root)
     # one row per file; materialised so the full validity scan is not repeated by the join below
-    meta = write_table(file_metadata(raw), "file-metadata")
-    hdrs = distinct_headers(meta)
+    meta = write_table(file_metadata(raw, sep), "file-metadata")
+    stats = meta.select("header", "width", "filled").collect()  # one row per file
+    hdrs = sorted({r["header"] for r in stats if r["header"] is not None})
     if not hdrs:
         raise FileNotFoundError(f"No CSV files found in {root}")
     rows = parse_delimited(decode_lines(raw, meta), sep)
     if sample_size:
         rows = sample_per_file(rows, sample_size, seed)
-    return rows, hdrs
+    if not with_fill:
+        return rows, hdrs
+    fill: dict[str, set[str]] | None = {h: set() for h in hdrs}
+    for r in stats:
+        if r["header"] is None:
+            continue
+        if r["width"] > STAT_WIDTH:
+            fill = None
+            break
+        names = [x.strip() for x in r["header"].split(sep)]
+        fill[r["header"]].update(n for i, n in enumerate(names) if r["filled"][i] > 1)
+    return rows, hdrs, fill
 
 
 def columns_from_fields(rows: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:

@@ -323,3 +323,16 @@ def test_keep_max_is_partially_aggregated(spark):
 
     plan = dedupe_keep_max(raw_reports(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "partial_max(struct(" in plan and "row_number" not in plan
+
+
+def test_load_raw_drops_empty_columns_from_metadata_pass(spark, tmp_path):
+    from fundlens.plans.load import load_panel, load_raw
+
+    (tmp_path / "m1.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA;NR_COTST;OBS\n"
+                                     "00.000.000/0001-01;2024-01-02;1.5;10;\n00.000.000/0001-01;2024-01-02;1.6;12;\n")
+    (tmp_path / "m2.csv").write_text("CNPJ_FUNDO_CLASSE;DT_COMPTC;VL_QUOTA;NR_COTST\n00.000.000/0001-01;2024-02-01;2.0;\n")
+    raw = load_raw(spark, str(tmp_path))
+    assert "obs" not in raw.columns and raw.columns[:2] == ["fund_cnpj", "report_date"]
+    got = sorted((str(r["report_date"]), r["quota_value"], r["num_shareholders"])
+                 for r in load_panel(spark, str(tmp_path)).collect())
+    assert got == [("2024-01-02", 1.6, 12), ("2024-02-01", 2.0, None)]
