@@ -1,7 +1,7 @@
 """Monthly ZIP fixtures written by Spark tasks from table-derived rows.
 
 Rows are range-partitioned by month and sorted, and each task streams its months into
-``<root>/inf_diario_fi_<yyyymm>.zip`` (member ``<stem>.csv``) batch by batch, so no month is held
+``<root>/daily_quotas_<yyyymm>.zip`` (member ``<stem>.csv``) batch by batch, so no month is held
 in memory. The folder must be visible to the executors as a file system path (the shared
 checkpoint folder in tests); this is a fixture writer, not part of the engine.
 """
@@ -31,7 +31,7 @@ def _writer(root: str, header_of: dict[str, list[str]], sep: str):
                 if month != cur:
                     close()
                     cur = month
-                    stem = f"inf_diario_fi_{month}"
+                    stem = f"daily_quotas_{month}"
                     path = os.path.join(root, stem + ".zip")
                     zf = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
                     fh = zf.open(stem + ".csv", "w")

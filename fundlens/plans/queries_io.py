@@ -440,9 +440,9 @@ def monthly_zip_tree(spark, sf_dir: str) -> str:
         cols = ["CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "ID", "LINE_NO"]
         headers = {m: (["CNPJ_FUNDO_CLASSE"] + cols[1:] if m >= "200001" else cols) for m in months}
         write_monthly_zips(rows, root, "_m", ["ID", "LINE_NO"], headers)
-        with open(os.path.join(root, "inf_diario_fi_190001.zip"), "wb") as fh:
+        with open(os.path.join(root, "daily_quotas_190001.zip"), "wb") as fh:
             fh.write(b"not a zip archive")
-        with zipfile.ZipFile(os.path.join(root, "inf_diario_fi_190002.zip"), "w") as z:
+        with zipfile.ZipFile(os.path.join(root, "daily_quotas_190002.zip"), "w") as z:
             z.writestr("other_name.csv", "CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n1;1900-02-01;1\n")
         _WRITTEN[key] = root
     return _WRITTEN[key]
@@ -494,3 +494,75 @@ def x5_ingest_initial(spark, sf_dir):
         F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("CNPJ_FUNDO"))
     out = ingest(spark, monthly_zip_tree(spark, sf_dir), cat)
     return out.select("CNPJ_FUNDO", "DT_COMPTC", F.col("VL_QUOTA").cast("double").alias("VL_QUOTA"))
+
+
+# ------------------------------------------------------------------ S2, S3: charset and bad lines
+
+_ACCENTED = ("aeiou", "áéíóú")  # fixture rule: vowels of supplier names accented (Latin-1 representable)
+
+
+def _named_rows(spark, sf_dir):
+    """Source rows with a fund name: the supplier's name with accented vowels."""
+    sup = read_table(spark, sf_dir, "supplier").select(
+        F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("_fid"),
+        F.translate("s_name", *_ACCENTED).alias("DENOM_SOCIAL"))
+    rf = raw_files(spark, sf_dir).withColumn("_fid", F.regexp_replace("CNPJ_FUNDO", r"\D", ""))
+    return rf.join(F.broadcast(sup), "_fid").drop("_fid")  # supplier: one row per fund id
+
+
+def charset_tree(spark, sf_dir: str) -> str:
+    """Years before 1998 written as ISO-8859-1 CSV, the rest as UTF-8 (one folder per year)."""
+    key = ("charset", id(spark.sparkContext), sf_dir)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "charset-csv")
+        rows = _named_rows(spark, sf_dir).select("CNPJ_FUNDO", "DT_COMPTC", "DENOM_SOCIAL", "LINE_NO", "ID") \
+            .withColumn("_year", F.substring("DT_COMPTC", 1, 4))
+        for enc, cond in (("ISO-8859-1", F.col("_year") < "1998"), ("UTF-8", F.col("_year") >= "1998")):
+            (rows.where(cond).write.partitionBy("_year").option("header", True).option("sep", ";")
+             .option("encoding", enc).csv(f"{root}/{enc.lower()}"))
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+@register("s2_encoding_fallback", f"""WITH {_RF},
+s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS fid, translate(s_name, 'aeiou', 'áéíóú') AS denom FROM supplier)
+SELECT "CNPJ_FUNDO", "DT_COMPTC", denom AS "DENOM_SOCIAL", "LINE_NO", "ID" FROM rf
+JOIN s ON regexp_replace("CNPJ_FUNDO", '\\D', '', 'g') = s.fid""")
+def s2_encoding_fallback(spark, sf_dir):
+    """A tree mixing Latin-1 and UTF-8 files; each file is decoded with its own charset."""
+    rows, headers = SRC.scan_csv_tree(spark, charset_tree(spark, sf_dir))
+    cols = SRC.columns_from_fields(rows, headers)
+    return cols.select("CNPJ_FUNDO", "DT_COMPTC", "DENOM_SOCIAL", F.col("LINE_NO").cast("int").alias("LINE_NO"),
+                       F.col("ID").cast("bigint").alias("ID"))
+
+
+def ragged_tree(spark, sf_dir: str) -> str:
+    """Text files with a header line per year; a row with redemptions carries one extra field,
+    a row with neither inflow nor redemption lacks its last field."""
+    key = ("ragged", id(spark.sparkContext), sf_dir)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "ragged-csv")
+        cols = ["CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "CAPTC_DIA", "RESG_DIA", "ID", "LINE_NO"]
+        rf = raw_files(spark, sf_dir)
+        full = F.concat_ws(";", *[F.col(c).cast("string") for c in cols])
+        short = F.concat_ws(";", *[F.col(c).cast("string") for c in cols[:-1]])
+        line = (F.when(F.col("RESG_DIA") > 0, F.concat(full, F.lit(";extra")))
+                .when((F.col("CAPTC_DIA") == 0) & (F.col("RESG_DIA") == 0), short).otherwise(full))
+        body = rf.select(F.substring("DT_COMPTC", 1, 4).alias("_year"), F.lit(1).alias("_o"), line.alias("value"))
+        heads = body.select("_year").distinct().select("_year", F.lit(0).alias("_o"), F.lit(";".join(cols)).alias("value"))
+        (heads.unionByName(body).repartition("_year").sortWithinPartitions("_year", "_o")
+         .select("_year", "value").write.partitionBy("_year").text(root))
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+@register("s3_skip_bad_lines", f"""WITH {_RF}
+SELECT "CNPJ_FUNDO", "DT_COMPTC", round("VL_QUOTA", 6) AS "VL_QUOTA", "ID",
+  CASE WHEN "CAPTC_DIA" = 0 AND "RESG_DIA" = 0 THEN NULL ELSE "LINE_NO" END AS "LINE_NO"
+FROM rf WHERE NOT "RESG_DIA" > 0""")
+def s3_skip_bad_lines(spark, sf_dir):
+    """S3: over-long lines are dropped, short lines are kept with the missing field NULL."""
+    rows, headers = SRC.scan_csv_tree(spark, ragged_tree(spark, sf_dir), glob="*.txt")
+    cols = SRC.columns_from_fields(rows, headers)
+    return cols.select("CNPJ_FUNDO", "DT_COMPTC", F.col("VL_QUOTA").cast("double").alias("VL_QUOTA"),
+                       F.col("ID").cast("bigint").alias("ID"), F.col("LINE_NO").cast("int").alias("LINE_NO"))

@@ -95,11 +95,11 @@ def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def scan_csv_tree(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
-                  seed: int = 42, with_fill: bool = False):
+                  seed: int = 42, with_fill: bool = False, glob: str = "*.[cC][sS][vV]"):
     """(rows with a ``fields`` map and the source ``file``, distinct header lines[,
     fill]). ``fill`` maps each header to the names that have a value in some file, or is None when
     a file is wider than ``STAT_WIDTH`` (callers then count with a data pass)."""
-    raw = read_lines(spark, root)
+    raw = read_lines(spark, root, glob)
     # one row per file; materialised so the full validity scan is not repeated by the join below
     meta = write_table(file_metadata(raw, sep), "file-metadata")
     stats = meta.select("header", "width", "filled").collect()  # one row per file
