@@ -465,12 +465,10 @@ def s5_scan_zip_csv(spark, sf_dir):
 SELECT DISTINCT {_RF_MONTH} AS month, CASE WHEN {_RF_MONTH} >= '200001' THEN 'CNPJ_FUNDO_CLASSE'
   ELSE 'CNPJ_FUNDO' END AS key_column FROM rf""")
 def s6_detect_key_column(spark, sf_dir):
-    """Per archive, the first header containing 'cnpj' (header lines only reach the driver)."""
+    """Per archive, the first header name containing 'cnpj' (an expression on the header row)."""
     lines = SRC.read_zip_lines(spark, monthly_zip_tree(spark, sf_dir))
-    heads = lines.where((F.col("line_no") == 0) & F.col("reject").isNull()).select(
-        _month_of().alias("month"), "line").collect()  # one row per archive
-    rows = [(r["month"], SRC.detect_key_column(r["line"])) for r in heads]
-    return spark.createDataFrame(rows, "month string, key_column string")
+    return lines.where((F.col("line_no") == 0) & F.col("reject").isNull()).select(
+        _month_of().alias("month"), SRC.key_column_of(F.col("line")).alias("key_column"))
 
 
 @register("s7_project_quota_cols", f"""WITH {_RF}

@@ -68,9 +68,16 @@ def file_metadata(lines: DataFrame, sep: str = ";") -> DataFrame:
                        F.col("_h._lid").alias("_hid"), "width", "filled")
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    from ..operators.dedupe import size_checked_broadcast
+
+    return size_checked_broadcast(df)
+
+
 def decode_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
-    """Lines decoded with their file's charset, carrying the file's header."""
-    return (lines.join(F.broadcast(meta.select("file", "_utf8", "header", "_hid")), "file")  # one row per file
+    """Lines decoded with their file's charset, carrying the file's header. The one-row-per-file
+    table is broadcast after a bounded count (a shuffle join for very many files)."""
+    return (lines.join(_bounded(meta.select("file", "_utf8", "header", "_hid")), "file")
             .withColumn("line", _decoded(F.col("_raw"), F.col("_utf8"))).drop("_raw", "_utf8"))
 
 
@@ -91,7 +98,7 @@ def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """About ``n`` random rows per file (Bernoulli p = n / rows, only where rows > n); seeded."""
     counts = df.groupBy("file").agg(F.count(F.lit(1)).alias("_rows"))
     p = F.when(F.col("_rows") > n, F.lit(float(n)) / F.col("_rows")).otherwise(F.lit(1.0))
-    return df.join(F.broadcast(counts), "file").where(F.rand(seed) < p).drop("_rows")  # one row per file
+    return df.join(_bounded(counts), "file").where(F.rand(seed) < p).drop("_rows")  # one row per file
 
 
 def scan_csv_tree(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
@@ -180,30 +187,29 @@ def detect_key_column(header: str, sep: str = ";") -> str | None:
     return None
 
 
+def key_column_of(header, sep: str = ";"):
+    """S6 as an expression: the first header name containing 'cnpj' (case-insensitive), else NULL."""
+    names = F.transform(F.split(header, sep), lambda x: F.trim(x))
+    return F.get(F.filter(names, lambda x: F.lower(x).contains("cnpj")), 0)
+
+
 def read_monthly_quotas(spark: SparkSession, root: str, sep: str = ";") -> DataFrame:
-    """S5 -> S6 -> S7: (CNPJ_FUNDO, DT_COMPTC, VL_QUOTA, file, line_no) text columns; files without
-    an id column or the quota columns are skipped."""
+    """S5 -> S6 -> S7: (CNPJ_FUNDO, DT_COMPTC, VL_QUOTA, file, line_no) text columns. Archives
+    without an id column or without the quota columns are skipped. Key detection is an expression
+    over each archive's header row (one row per archive, joined back), so nothing per archive
+    runs on the driver."""
     lines = read_zip_lines(spark, root).where(F.col("reject").isNull())
-    heads = lines.where(F.col("line_no") == 0).select("file", F.col("line").alias("header"))
-    ok = {}
-    for r in heads.collect():  # one row per archive
-        key = detect_key_column(r["header"], sep)
-        cols = [x.strip() for x in r["header"].split(sep)]
-        if key and all(c in cols for c in QUOTA_COLUMNS):
-            ok[r["file"]] = key
-    if not ok:
-        return spark.createDataFrame([], "CNPJ_FUNDO string, DT_COMPTC string, VL_QUOTA string, "
-                                         "file string, line_no long")
-    keep = lines.where(F.col("file").isin(list(ok)))
-    heads = heads.where(F.col("file").isin(list(ok)))
-    j = keep.where(F.col("line_no") > 0).join(F.broadcast(heads), "file")  # one row per archive
     names = F.transform(F.split("header", sep), lambda x: F.trim(x))
+    heads = (lines.where(F.col("line_no") == 0).select("file", F.col("line").alias("header"))
+             .withColumn("_key", key_column_of(F.col("header"), sep))
+             .where(F.col("_key").isNotNull()
+                    & F.array_contains(names, QUOTA_COLUMNS[0]) & F.array_contains(names, QUOTA_COLUMNS[1])))
+    j = lines.where(F.col("line_no") > 0).join(_bounded(heads), "file")  # one row per archive
     vals = F.split("line", sep)
     n = F.size(names)
     m = F.map_from_arrays(names, F.slice(F.concat(vals, F.array_repeat(F.lit(None).cast("string"), n)), 1, n))
-    key_of = F.create_map(*[x for f, k in ok.items() for x in (F.lit(f), F.lit(k))])
     return (j.where(F.size(vals) <= n)
-            .select(m.getItem(key_of.getItem(F.col("file"))).alias("CNPJ_FUNDO"),
+            .select(m.getItem(F.col("_key")).alias("CNPJ_FUNDO"),
                     m.getItem("DT_COMPTC").alias("DT_COMPTC"), m.getItem("VL_QUOTA").alias("VL_QUOTA"),
                     "file", "line_no"))
 
