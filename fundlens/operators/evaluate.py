@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..session import cut_lineage, write_table
+from ..session import cut_lineage, ship_package, write_table
 
 BLOCK_ROWS = 2048
 
@@ -61,6 +61,7 @@ def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str] |
     """M5 per point: s = (b - a) / max(a, b); 0 for a point alone in its cluster; NULL when the
     group has fewer than two clusters. ``by`` evaluates independent groups (e.g. datasets)."""
     by = list(by)
+    ship_package(df.sparkSession)
     pts = _as_array(df, features).select(*by, F.col(id_col).alias("_id"), F.col(label_col).cast("long").alias("_lab"), "_x")
     pts = pts.where(F.col("_lab").isNotNull())
     if by:
@@ -179,6 +180,7 @@ def wasserstein_1d(u: DataFrame, v: DataFrame, value_col: str, by: Sequence[str]
     group: sum over consecutive pooled distinct values of |F_u - F_v| * gap."""
     by = list(by)
     spark = u.sparkSession
+    ship_package(spark)
     pooled = (u.select(*by, F.col(value_col).cast("double").alias("_v"), F.lit(1).alias("_cu"), F.lit(0).alias("_cv"))
               .unionByName(v.select(*by, F.col(value_col).cast("double").alias("_v"), F.lit(0).alias("_cu"),
                                     F.lit(1).alias("_cv")))

@@ -48,6 +48,9 @@ def _writer(root: str, header_of: dict[str, list[str]], sep: str):
 def write_monthly_zips(df: DataFrame, root: str, month_col: str, sort_cols: Sequence[str],
                        header_by_month: dict[str, list[str]] | None = None, sep: str = ";") -> list[str]:
     """Write one ZIP per month value; ``header_by_month`` renames the header per month (same order)."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     os.makedirs(root.replace("file:", ""), exist_ok=True)
     months = [r[0] for r in df.select(month_col).distinct().collect()]  # calendar-bounded
     header_of = {m: (header_by_month or {}).get(m, [c for c in df.columns if c != month_col]) for m in months}

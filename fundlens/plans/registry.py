@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import round_doubles
+from ..session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,7 @@ def register(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # wide nested projections: skip constraint inference (planning time, see session.py)
             spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+            ship_package(spark)  # pandas UDFs import fundlens in the workers
             return round_doubles(fn(spark, sf_dir))
 
         run.__name__ = name

@@ -36,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -88,3 +89,37 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``fundlens`` importable in the Python workers (pandas UDFs refer to its functions).
+
+    Once per application the package sources are zipped into the checkpoint folder and added with
+    ``addPyFile``. On a cluster whose checkpoint folder is not a local path, deploy the package
+    with ``--py-files`` instead; nothing is done here."""
+    import os
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        _SHIPPED.add(app)
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = base[len("file:"):] if base.startswith("file:") else base
+    path = os.path.join(root, f"fundlens-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_table
+from ..session import ship_package, write_table
 
 # fixed values: the monthly file layout and the catalog columns
 CATALOG_COLUMNS = ["CNPJ_FUNDO", "DENOM_SOCIAL", "SIT", "DT_REG", "DT_CONST", "CD_CVM", "DT_CANCEL",
@@ -174,6 +174,7 @@ def _unzip_lines(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_zip_lines(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
     """Lines of ``<stem>.csv`` inside each ZIP (one task per archive, streamed in 10,000-line
     batches); unreadable archives give one row with a ``reject`` reason."""
+    ship_package(spark)  # the unzip function runs in the Python workers
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", glob).load(root).select("path", "content"))
     return files.mapInPandas(_unzip_lines, "file string, line_no long, line string, reject string")
@@ -209,7 +210,7 @@ def read_monthly_quotas(spark: SparkSession, root: str, sep: str = ";") -> DataF
     n = F.size(names)
     m = F.map_from_arrays(names, F.slice(F.concat(vals, F.array_repeat(F.lit(None).cast("string"), n)), 1, n))
     return (j.where(F.size(vals) <= n)
-            .select(m.getItem(F.col("_key")).alias("CNPJ_FUNDO"),
+            .select(m[F.col("_key")].alias("CNPJ_FUNDO"),
                     m.getItem("DT_COMPTC").alias("DT_COMPTC"), m.getItem("VL_QUOTA").alias("VL_QUOTA"),
                     "file", "line_no"))
 
