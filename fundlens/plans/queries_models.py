@@ -188,15 +188,29 @@ _RESULTS_CTES = (_X7_CTES + "".join(_bins_ctes(k) for k in (2, 3, 4, 5))
 
 
 def bins_results(spark, sf_dir, ks=(2, 3, 4, 5)):
-    """M4 results for the deterministic QuantileBins clusterer (k = 2..5) on the fund features."""
+    """M4 results for the deterministic QuantileBins clusterer (k = 2..5) on the fund features.
+
+    All cut points come from one exact-quantile search, and every k is evaluated in one pass:
+    the labelings are stacked with ``n_clusters`` as an extra group key of the means and of the
+    silhouette."""
+    from ..operators.quantiles import exact_quantiles
+
     ex = exp_input(spark, sf_dir)
-    out = None
+    probs = sorted({i / k for k in ks for i in range(1, k)})
+    q = exact_quantiles(ex.where(F.col("dataset") == TRAIN), ["sharpe"], probs, materialize=False)
+    stacked = None
     for k in ks:
-        raw = M.quantile_bins(ex, "sharpe", k)
-        ev = EV.evaluate_clusters(raw, raw.select("fund_cnpj", "dataset", "pred", *LOOK), LOOK)
-        ev = (ev.withColumn("model", F.lit("QuantileBins")).withColumn("n_clusters", F.lit(k))
-              .withColumn("preprocessing", F.lit("just_filter")))
-        out = ev if out is None else out.unionByName(ev)
+        label = F.lit(0)
+        for i in range(1, k):
+            label = label + (F.col("sharpe") > F.lit(q[("sharpe", i / k)])).cast("int")
+        one = ex.select("fund_cnpj", "dataset", *LOOK, F.lit(k).alias("n_clusters"), label.alias("pred"))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    keys = ["n_clusters", "dataset"]
+    means = stacked.groupBy(*keys, "pred").agg(*[F.avg(c).alias(c) for c in LOOK],
+                                               F.count(F.lit(1)).alias("cluster_size"))
+    sil = EV.silhouette(stacked, "pred", LOOK, "fund_cnpj", by=keys)
+    out = (means.join(sil, keys, "left").withColumn("model", F.lit("QuantileBins"))
+           .withColumn("preprocessing", F.lit("just_filter")))
     # a few rows per configuration, read by several later steps: materialise once
     return write_table(out.select(*_RESULT_COLS), "experiment-results")
 
