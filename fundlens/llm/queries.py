@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import quality_rules
+from . import mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,9 @@ def query(name: str, sql: str | None = None):
 def op9_quality_rules(spark, sf_dir):
     """Rule ledger of every document with the base and the policy verdict."""
     return quality_rules.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mix_sources", mixing.oracle())
+def op8_mix_sources(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.digest(table(spark, sf_dir, "documents"))
