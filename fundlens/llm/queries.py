@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import mixing, quality_rules
+from . import decontaminate, mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,15 @@ def op9_quality_rules(spark, sf_dir):
 def op8_mix_sources(spark, sf_dir):
     """Words that the mix takes of every document."""
     return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op1_shard_documents")
+def op1_shard_documents(spark, sf_dir):
+    """Shard and slot of every document under a uniform shuffle into 16 shards of equal counts."""
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate", decontaminate.oracle())
+def op4_decontaminate(spark, sf_dir):
+    """Words of every document that stand in a window of the benchmark."""
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
