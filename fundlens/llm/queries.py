@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, mixing, quality_rules, sharding
+from . import decontaminate, jaccard_join, mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,9 @@ def op1_shard_documents(spark, sf_dir):
 def op4_decontaminate(spark, sf_dir):
     """Words of every document that stand in a window of the benchmark."""
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark, sf_dir):
+    """Shingle count and near-duplicate component of every document."""
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
