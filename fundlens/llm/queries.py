@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, mixing, quality_rules, sharding
+from . import decontaminate, jaccard_join, mixing, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op4_decontaminate(spark, sf_dir):
 def op5_jaccard_join(spark, sf_dir):
     """Shingle count and near-duplicate component of every document."""
     return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark, sf_dir):
+    """Host, path, fitting rule and verdict of every page's URL."""
+    return url_filter.digest(table(spark, sf_dir, "pages"))
