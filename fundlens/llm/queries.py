@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, mixing, quality_rules, sharding, url_filter
+from . import decontaminate, jaccard_join, mixing, quality_rules, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op5_jaccard_join(spark, sf_dir):
 def op2_url_filter(spark, sf_dir):
     """Host, path, fitting rule and verdict of every page's URL."""
     return url_filter.digest(table(spark, sf_dir, "pages"))
+
+
+@query("op3_warc_salvage", warc.ORACLE)
+def op3_warc_salvage(spark, sf_dir):
+    """Every page's record, written to WARC archives and read back by the salvage reader."""
+    return warc.digest(table(spark, sf_dir, "pages"))
