@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, mixing, quality_rules, sharding, url_filter, warc
+from . import decontaminate, jaccard_join, mixing, quality_rules, secrets, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op2_url_filter(spark, sf_dir):
 def op3_warc_salvage(spark, sf_dir):
     """Every page's record, written to WARC archives and read back by the salvage reader."""
     return warc.digest(table(spark, sf_dir, "pages"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, sf_dir):
+    """Secrets in every document: base kinds and structurally confirmed ones."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
