@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, mixing, quality_rules, secrets, sharding, url_filter, warc
+from . import decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op3_warc_salvage(spark, sf_dir):
 def op10_secret_scan(spark, sf_dir):
     """Secrets in every document: base kinds and structurally confirmed ones."""
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_license_scan", licenses.oracle())
+def op7_license_scan(spark, sf_dir):
+    """License phrases and notices in every document."""
+    return licenses.digest(table(spark, sf_dir, "documents"))
