@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, url_filter, warc
+from . import decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op10_secret_scan(spark, sf_dir):
 def op7_license_scan(spark, sf_dir):
     """License phrases and notices in every document."""
     return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    """Tokens of every document under the unigram segmentation."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
