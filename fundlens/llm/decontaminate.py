@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 from .common import small_side
-from .text import NOT_ALNUM, let, lower_ascii, pinned, whole, words
+from .text import NOT_ALNUM, fresh, let, lower_ascii, pinned, whole, words
 
 SPAN, K = 10, 5
 W = SPAN - K + 1
@@ -152,8 +152,10 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cols: str) -> DataFrame:
     """``docs`` without the documents that share a window with the benchmark."""
     bad = write_table(scan(docs, items, id_col=id_col, text_col=text_col, **cols).where("n_hit > 0").select("doc", "th"), "leaks")
-    th = F.xxhash64(whole(docs[f"`{text_col}`"]))
-    return docs.join(small_side(bad), docs[f"`{id_col}`"].eqNullSafe(F.col("doc")) & (th == F.col("th")), "left_anti")
+    doc, th = fresh(docs, "_doc"), fresh(docs, "_th")
+    bad = bad.select(F.col("doc").alias(doc), F.col("th").alias(th))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (F.xxhash64(whole(F.col(f"`{text_col}`"))) == F.col(th))
+    return docs.join(small_side(bad), same, "left_anti")
 
 
 def oracle() -> str:

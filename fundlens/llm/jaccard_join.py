@@ -43,6 +43,7 @@ from ..session import write_table
 from .common import small_side
 from .components import components
 from .shingles import mix, parity_sketch, set_digests, shingle_sets, sketch_distance, text_chunks
+from .text import fresh
 
 BUCKET_ROWS = 1_500_000          # segment hashes in a bucket, on average
 SMALL = 12                       # sets sharing a segment that are paired off at once
@@ -303,5 +304,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id and their text stay (they are one document, repeated); documents without words all stay."""
     made = linked(docs, id_col, text_col)
     gone = made.where(F.col("component").isNotNull() & ~F.col("doc").eqNullSafe(F.col("component"))).select("doc").distinct()
-    gone = write_table(gone, "gone")
-    return docs.join(small_side(gone, 500_000), docs[f"`{id_col}`"].eqNullSafe(F.col("doc")), "left_anti")
+    doc = fresh(docs, "_doc")
+    gone = write_table(gone.select(F.col("doc").alias(doc)), "gone")
+    return docs.join(small_side(gone, 500_000), F.col(f"`{id_col}`").eqNullSafe(F.col(doc)), "left_anti")
