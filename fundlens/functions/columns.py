@@ -107,12 +107,8 @@ def format_bytes(c: str | Column) -> Column:
 def snake_case(name: str) -> str:
     """Header normaliser: strip, runs of space/dot/hyphen -> '_', lower, drop other characters,
     collapse and trim underscores. Accented letters are removed, not transliterated."""
-    s = str(name).strip()
-    s = re.sub(r"[\s\-.]+", "_", s)
-    s = s.lower()
-    s = re.sub(r"[^a-z0-9_]", "", s)
-    s = re.sub(r"_+", "_", s)
-    return s.strip("_")
+    parts = ("".join(ch for ch in part if ch.isascii() and ch.isalnum()) for part in re.split(r"[\s._-]+", str(name).lower()))
+    return "_".join(part for part in parts if part)
 
 
 def round_doubles(df, digits: int = 6, cols: Iterable[str] | None = None):

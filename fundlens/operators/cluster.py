@@ -1,8 +1,8 @@
 """Clustering models and the experiment grid.
 
 Models are Spark ML estimators fitted on the train split; labels for every split come from one
-``transform``. The grid is a driver loop of Spark jobs over cached preprocessed inputs (32 fits in
-the reference configuration); only the small per-cluster result rows are unioned.
+``transform``. The grid is a driver loop of fits only (32 in the default configuration): the labels
+of all configurations are stacked and evaluated in one pass.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import evaluate_clusters, silhouette
+from ..session import write_table
+from .evaluate import BLOCK_ROWS, evaluate_clusters, silhouette
 from .preprocess import DATASET, LOOK_FEATURES, PREPROCESSING
 
 
@@ -32,11 +33,18 @@ def kmeans(k: int = 2, seed: int = 0, max_iter: int = 300) -> KMeans:
 
 
 def gmm(k: int = 2, seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> GaussianMixture:
-    """M2: Gaussian mixture with full covariances (``n_clusters`` is ``k``)."""
+    """M2: Gaussian mixture with full covariances (``n_clusters`` is ``k``); for several starts fit
+    with several seeds and keep the model of the largest ``summary.logLikelihood`` (``best_gmm``)."""
     return GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
                            predictionCol="pred", probabilityCol="_prob")
 
 
+def best_gmm(x: DataFrame, k: int, n_init: int = 1, seed: int = 0):
+    """The fitted mixture with the largest log-likelihood of ``n_init`` seeded starts."""
+    fits = [gmm(k, seed + i).fit(x) for i in range(n_init)]
+    return max(fits, key=lambda m: m.summary.logLikelihood)
+
+
 MODELS = {"KMeansTrainer": ModelSpec("KMeansTrainer", lambda k: kmeans(k)),
           "GMMTrainer": ModelSpec("GMMTrainer", lambda k: gmm(k))}
 
@@ -56,43 +64,50 @@ def fit_train_predict_all(x: DataFrame, estimator, features: Sequence[str] | Non
     return out.select(*x.columns, F.col("pred").cast("int").alias("pred"))
 
 
-def assign_to_centroids(df: DataFrame, features: Sequence[str], centroids: Sequence[Sequence[float]],
-                        out: str = "pred") -> DataFrame:
-    """Nearest of the given centres by squared Euclidean distance (first centre wins ties), as
-    column expressions."""
-    d = [sum(((F.col(c) - F.lit(float(cv))) ** 2 for c, cv in zip(features, cen)), F.lit(0.0))
-         for cen in centroids]
-    best, label = d[0], F.lit(0)
-    for i in range(1, len(d)):
-        label = F.when(d[i] < best, F.lit(i)).otherwise(label)
-        best = F.least(best, d[i])
-    return df.withColumn(out, label)
+def assign_to_centroids(df: DataFrame, vector_col: str, centroids: DataFrame, out: str = "pred") -> DataFrame:
+    """Label of the nearest centre by squared Euclidean distance (smallest label on ties).
+    ``centroids`` (label, centre array) is a fitted model, a row per cluster: it becomes one array
+    literal, and the nearest is the smallest (distance, label) struct, so the expression does not
+    grow with the number of clusters."""
+    rows = [(r["label"], [float(v) for v in r["centre"]]) for r in centroids.orderBy("label").collect()]
+    model = F.array(*[F.struct(F.lit(lab).alias("label"), F.lit(c).alias("centre")) for lab, c in rows])
+    distance = lambda c: F.aggregate(F.zip_with(F.col(vector_col), c["centre"], lambda u, v: (u - v) * (u - v)),
+                                     F.lit(0.0), lambda t, d: t + d)
+    nearest = F.array_min(F.transform(model, lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label"))))
+    return df.withColumn(out, F.when(F.col(vector_col).isNotNull(), nearest["label"]))
+
+
+CONFIG = ("model", "n_clusters", "preprocessing")
+
+
+def labelings(raw: DataFrame, models: Sequence[str], clusters: Sequence[int], preprocessing: Sequence[str],
+              look_features: Sequence[str], key: str, dataset_col: str) -> DataFrame:
+    """Every configuration's labels, stacked: key, dataset, pred, the transformed features as one
+    array, and the configuration's names. Written once; the fits are the driver's only loop."""
+    stacked = None
+    for p in preprocessing:
+        x = write_table(PREPROCESSING[p](raw, list(look_features)), "prepared")
+        features = _features_of(x, (key, dataset_col))
+        for m in models:
+            for k in clusters:
+                one = fit_train_predict_all(x, MODELS[m].build(k), keys=(key, dataset_col)).select(
+                    key, dataset_col, "pred", F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+                    F.lit(m).alias("model"), F.lit(k).alias("n_clusters"), F.lit(p).alias("preprocessing"))
+                stacked = one if stacked is None else stacked.unionByName(one)
+    return write_table(stacked, "labelings")
 
 
 def run_all_experiments(fund_features: DataFrame, models: Sequence[str] = ("KMeansTrainer", "GMMTrainer"),
                         clusters: Sequence[int] = (2, 3, 4, 5),
                         preprocessing: Sequence[str] = ("just_filter", "scalling", "PCA", "PCA_scalling"),
                         look_features: Sequence[str] = LOOK_FEATURES, key: str = "fund_cnpj",
-                        dataset_col: str = DATASET, block_rows: int | None = None) -> DataFrame:
+                        dataset_col: str = DATASET, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """M9: every (model, k, preprocessing) fitted on train and evaluated on train, test and
-    validation (M4); results tagged with model, n_clusters and preprocessing."""
-    raw = fund_features.dropna(subset=list(look_features)).cache()
-    prepped = {p: PREPROCESSING[p](raw, list(look_features)).cache() for p in preprocessing}
-    results = []
-    for m in models:
-        for k in clusters:
-            for p in preprocessing:
-                x = prepped[p]
-                labeled = fit_train_predict_all(x, MODELS[m].build(k), keys=(key, dataset_col))
-                raw_pred = raw.join(labeled.select(key, dataset_col, "pred"), [key, dataset_col])
-                kw = {"block_rows": block_rows} if block_rows else {}
-                ev = evaluate_clusters(raw_pred, labeled, look_features, key, dataset_col=dataset_col, **kw)
-                results.append(ev.withColumn("model", F.lit(m)).withColumn("n_clusters", F.lit(k))
-                               .withColumn("preprocessing", F.lit(p)))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    validation; the stacked labelings are evaluated in one pass (M4)."""
+    raw = write_table(fund_features.dropna(subset=list(look_features)), "experiment-rows")
+    labeled = labelings(raw, models, clusters, preprocessing, look_features, key, dataset_col)
+    raw_pred = raw.select(key, dataset_col, *look_features).join(labeled.drop("x"), [key, dataset_col])
+    return evaluate_clusters(raw_pred, labeled, look_features, key, by=[*CONFIG, dataset_col], block_rows=block_rows)
 
 
 def param_search(x: DataFrame, model: str, param_grid: Sequence[dict], key: str = "fund_cnpj",
@@ -116,47 +131,42 @@ def param_search(x: DataFrame, model: str, param_grid: Sequence[dict], key: str
     return best, best_score, best_labels
 
 
-def backward_feature_selection(x: DataFrame, model: str, k: int, features: Sequence[str],
-                               min_features: int = 3, tol: float = 1e-3, max_iter: int | None = None,
-                               key: str = "fund_cnpj", dataset_col: str = DATASET,
-                               fit_on: str = "train", score_on: str = "test"):
-    """Greedy backward elimination. Fit on ``fit_on`` rows, score by exact silhouette on the
-    ``score_on`` rows; drop the feature whose removal scores best while the gain is >= ``tol``.
-    Fewer than two labels on the scored rows scores -1e9. Returns (kept features, history)."""
-    x = x.cache()
-
-    def score(cols):
-        labeled = fit_train_predict_all(x.select(key, dataset_col, *cols), MODELS[model].build(k), cols,
-                                        dataset_col, fit_on, keys=(key, dataset_col))
-        test = labeled.where(F.col(dataset_col) == score_on)
-        r = silhouette(test, "pred", list(cols), key).first()
-        return -1e9 if r is None or r["silhouette_score"] is None else r["silhouette_score"]
-
-    remaining = list(features)
-    max_iter = max_iter or len(remaining)
-    best = score(remaining)
-    history, it = [], 0
-    while len(remaining) > min_features and it < max_iter:
-        it += 1
-        cands = [(f, score([c for c in remaining if c != f])) for f in remaining]
-        f_remove, cand = max(cands, key=lambda t: t[1])
-        if cand - best < tol:
+WORST = -1e9  # fixed value: the score of a labeling with fewer than two clusters
+
+
+def score_subsets(x: DataFrame, model: str, k: int, subsets: dict[str, list[str]], key: str, dataset_col: str,
+                  fit_on: str, score_on: str) -> DataFrame:
+    """(subset, score): for each named feature subset the exact silhouette of the scored split. All
+    labelings are stacked and scored in one pass."""
+    stacked = None
+    for name, cols in subsets.items():
+        one = fit_train_predict_all(x.select(key, dataset_col, *cols), MODELS[model].build(k), cols, dataset_col, fit_on,
+                                    keys=(key, dataset_col)).where(F.col(dataset_col) == score_on)
+        one = one.select(F.lit(name).alias("subset"), key, "pred", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    scored = silhouette(write_table(stacked, "subsets"), "pred", "x", key, by=["subset"])
+    return scored.select("subset", F.coalesce("silhouette_score", F.lit(WORST)).alias("score"))
+
+
+def backward_feature_selection(x: DataFrame, model: str, k: int, features: Sequence[str], min_features: int = 3,
+                               tol: float = 1e-3, key: str = "fund_cnpj", dataset_col: str = DATASET,
+                               fit_on: str = "train", score_on: str = "test") -> DataFrame:
+    """M13 as a table of steps (step, n_remaining, removed, test_silhouette, remaining). Step 0 has
+    every feature. A later step takes the subset, one feature smaller, that scores best (the first in
+    feature order on ties), as long as this gains ``tol`` and ``min_features`` stay."""
+    x = write_table(x.select(key, dataset_col, *features), "selection")
+    subset_of = lambda cols: {f: [c for c in cols if c != f] for f in cols}
+    scored = lambda subsets: {r["subset"]: r["score"] for r in score_subsets(
+        x, model, k, subsets, key, dataset_col, fit_on, score_on).collect()}   # a row per feature
+    steps = [(0, len(features), None, scored({"all": list(features)}).get("all", WORST), list(features))]
+    while steps[-1][1] > min_features:
+        options = subset_of(steps[-1][4])
+        scores = scored(options)
+        ranked = sorted(options, key=lambda f: (-scores.get(f, WORST), steps[-1][4].index(f)))
+        gain = scores.get(ranked[0], WORST) - steps[-1][3]
+        if gain < tol:
             break
-        remaining.remove(f_remove)
-        best = cand
-        history.append((len(remaining), f_remove, best))
-    return remaining, history
-
-
-def quantile_bins(df: DataFrame, col: str, k: int, dataset_col: str = DATASET, fit_on: str = "train",
-                  out: str = "pred") -> DataFrame:
-    """A deterministic baseline clusterer: cut ``col`` at the exact train quantiles i/k
-    (i = 1..k-1); the label is the number of cuts strictly below the value."""
-    from .quantiles import exact_quantiles
-
-    probs = [i / k for i in range(1, k)]
-    q = exact_quantiles(df.where(F.col(dataset_col) == fit_on), [col], probs, materialize=False)
-    label = F.lit(0)
-    for p in probs:
-        label = label + (F.col(col) > F.lit(q[(col, p)])).cast("int")
-    return df.withColumn(out, label)
+        kept = options[ranked[0]]
+        steps.append((len(steps), len(kept), ranked[0], scores[ranked[0]], kept))
+    return x.sparkSession.createDataFrame(
+        steps, "step int, n_remaining int, removed string, test_silhouette double, remaining array<string>")

@@ -1,9 +1,9 @@
 """Cluster evaluation and stability.
 
 Exact Euclidean silhouette is quadratic in the points; it is computed without emitting pairs:
-points are cut into blocks of at most ``block_rows``; every (block_i, block_j) pair is one
-``applyInPandas`` group holding <= 2 * block_rows points, which returns, per point of block_i, the
-distance sums to each cluster of block_j. Group size is bounded regardless of cluster skew; the
+points are cut into blocks of about ``block_rows``; every unordered pair of blocks is one
+``applyInPandas`` group of twice that many points, which returns, per point of either block, the
+distance sums to each cluster of the other. Group size is bounded regardless of cluster skew; the
 output is points x blocks x clusters rows, summed by a map-side-combined ``groupBy``.
 
 The 1-D Wasserstein distance is exact and distributed: pooled distinct values are range-partitioned
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -33,27 +33,39 @@ def _as_array(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
     return df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in features]))
 
 
+CHUNK_CELLS = 1 << 22  # coordinate differences held at once in a block pair
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances from the coordinates' own differences (no dot-product expansion, which
+    cancels for points that are close or of mixed scales)."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, CHUNK_CELLS // max(1, b.size))
+    for i in range(0, len(a), step):
+        out[i:i + step] = np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(-1))
+    return out
+
+
+def _label_sums(ids: np.ndarray, dist: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+    """Per point and label of the other side: the sum of its distances and their number."""
+    names, index = np.unique(labels, return_inverse=True)
+    member = np.zeros((len(labels), len(names)))
+    member[np.arange(len(labels)), index] = 1.0
+    return pd.DataFrame({"_id": np.repeat(ids, len(names)), "_other": np.tile(names, len(ids)),
+                         "_sum": (dist @ member).ravel(), "_cnt": np.tile(member.sum(0).astype(np.int64), len(ids))})
+
+
 def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    left = pdf[pdf["_side"] == 0]
-    right = pdf[pdf["_side"] == 1]
-    if left.empty or right.empty:
+    """Both sides' sums of one block pair; side 2 marks a block paired with itself."""
+    first, second = pdf[pdf["_side"] != 1], pdf[pdf["_side"] != 0]
+    if first.empty or second.empty:
         return pd.DataFrame({"_id": [], "_other": [], "_sum": [], "_cnt": []})
-    a = np.stack(left["_x"].to_numpy()).astype(np.float64)
-    b = np.stack(right["_x"].to_numpy()).astype(np.float64)
-    # Euclidean distances of one block pair (dot-product expansion, clipped at 0)
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    dist = np.sqrt(np.maximum(d2, 0.0))
-    labels = right["_lab"].to_numpy()
-    out_ids, out_lab, out_sum, out_cnt = [], [], [], []
-    ids = left["_id"].to_numpy()
-    for lab in np.unique(labels):
-        m = labels == lab
-        out_ids.append(ids)
-        out_lab.append(np.full(len(ids), lab))
-        out_sum.append(dist[:, m].sum(1))
-        out_cnt.append(np.full(len(ids), int(m.sum())))
-    return pd.DataFrame({"_id": np.concatenate(out_ids), "_other": np.concatenate(out_lab),
-                         "_sum": np.concatenate(out_sum), "_cnt": np.concatenate(out_cnt)})
+    coords = lambda side: np.stack(side["_x"].to_numpy()).astype(np.float64)
+    dist = _distances(coords(first), coords(second))
+    out = [_label_sums(first["_id"].to_numpy(), dist, second["_lab"].to_numpy())]
+    if not (pdf["_side"] == 2).any():
+        out.append(_label_sums(second["_id"].to_numpy(), dist.T, first["_lab"].to_numpy()))
+    return pd.concat(out)
 
 
 def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str] | str, id_col: str,
@@ -70,15 +82,16 @@ def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str] |
         n_max = pts.count()
     nb = max(1, int(math.ceil(n_max / block_rows)))
     pts = pts.withColumn("_blk", F.pmod(F.xxhash64(F.col("_id")), F.lit(nb)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(nb - 1))
-    # each point is the left side of block pairs (its block, j) and the right side of (i, its block)
-    left = pts.select(*by, "_id", "_lab", "_x", F.col("_blk").alias("_bi"),
-                      F.explode(others).alias("_bj"), F.lit(0).alias("_side"))
-    right = pts.select(*by, "_id", "_lab", "_x", F.explode(others).alias("_bi"),
-                       F.col("_blk").alias("_bj"), F.lit(1).alias("_side"))
+    # every unordered pair of blocks is one group: a point goes once to each pair its block is in
+    own = F.col("_blk")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda o: F.struct(
+        F.least(o, own).alias("i"), F.greatest(o, own).alias("j"),
+        F.when(o == own, 2).when(own < o, 0).otherwise(1).alias("side")))).alias("_p")
+    paired = pts.select(*by, "_id", "_lab", "_x", pair).select(
+        *by, "_id", "_lab", "_x", F.col("_p.i").alias("_bi"), F.col("_p.j").alias("_bj"), F.col("_p.side").alias("_side"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in _types(pts, by)),
                         "_id string", "_other long", "_sum double", "_cnt long"])
-    sums = (left.unionByName(right).groupBy(*by, "_bi", "_bj")
+    sums = (paired.groupBy(*by, "_bi", "_bj")
             .applyInPandas(functools.partial(_with_keys, by=by), schema=schema))
     per = sums.groupBy(*by, "_id", "_other").agg(F.sum("_sum").alias("_s"), F.sum("_cnt").alias("_c"))
     own = pts.select(*by, F.col("_id").cast("string").alias("_id"), "_lab")
@@ -94,7 +107,8 @@ def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str] |
     a = F.col("_own_sum") / (F.col("_own_n") - 1)
     s = (F.when(F.col("_groups") < 2, F.lit(None).cast("double"))
          .when(F.col("_own_n") <= 1, F.lit(0.0))
-         .otherwise((F.col("_b") - a) / F.greatest(a, F.col("_b"))))
+         .when(F.greatest(a, F.col("_b")) > 0, (F.col("_b") - a) / F.greatest(a, F.col("_b")))
+         .otherwise(F.lit(0.0)))  # all distances 0: the point is on the border
     return stats.select(*by, F.col("_id").alias(id_col), F.col("_lab").alias(label_col), s.alias("silhouette"))
 
 
@@ -139,18 +153,27 @@ def calinski_harabasz(df: DataFrame, label_col: str, features: Sequence[str] | s
                       by: Sequence[str] = ()) -> DataFrame:
     """M6: between / within dispersion ratio, each over its degrees of freedom; NULL (the reference
     gives -inf) with fewer than two clusters. Two passes: centroids, then squared deviations."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     by = list(by)
-    x = _as_array(df, features).where(F.col(label_col).isNotNull())
-    long = x.select(*by, F.col(label_col).alias("_l"), F.posexplode("_x").alias("_j", "_v"))
-    cent = long.groupBy(*by, "_l", "_j").agg(F.avg("_v").alias("_ck"), F.count(F.lit(1)).alias("_nk"))
-    glob = long.groupBy(*by, "_j").agg(F.avg("_v").alias("_c"))
-    within = (long.join(cent, [*by, "_l", "_j"])
-              .groupBy(*by).agg(F.sum((F.col("_v") - F.col("_ck")) ** 2).alias("_w")))
-    between = (cent.join(glob, [*by, "_j"])
-               .groupBy(*by).agg(F.sum(F.col("_nk") * (F.col("_ck") - F.col("_c")) ** 2).alias("_b")))
-    counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct(label_col).alias("_k"))
-    j = counts.join(within, by) .join(between, by) if by else \
-        counts.withColumn("_w", F.lit(within.first()[0])).withColumn("_b", F.lit(between.first()[0]))
+    x = _as_array(df, features).where(F.col(label_col).isNotNull()).select(*by, F.col(label_col).alias("_l"), "_x")
+    # one row per label; vectors are summed map-side, so a hot label is no hot key
+    cent = write_table(x.groupBy(*by, "_l").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_ck"), F.count(F.lit(1)).alias("_nk")), "centroids")
+    square = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: (u - v) * (u - v)), F.lit(0.0),
+                                      lambda t, d: t + d)
+    centre = cent.groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector("_ck"), F.col("_nk").cast("double"))).alias("_c"),
+                                   F.sum("_nk").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    if by:
+        between = cent.join(centre, by)
+        within = x.join(cent, [*by, "_l"])
+    else:
+        between, within = cent.crossJoin(F.broadcast(centre)), x.join(cent, "_l")  # one-row side
+    between = between.groupBy(*by).agg(F.sum(F.col("_nk") * square(F.col("_ck"), F.col("_c"))).alias("_b"),
+                                       F.first("_n").alias("_n"), F.first("_k").alias("_k"))
+    within = within.groupBy(*by).agg(F.sum(square(F.col("_x"), F.col("_ck"))).alias("_w"))
+    j = between.join(within, by) if by else between.crossJoin(F.broadcast(within))
     ch = F.when((F.col("_k") < 2) | (F.col("_n") <= F.col("_k")), F.lit(None).cast("double")).otherwise(
         F.when(F.col("_w") == 0, F.lit(1.0)).otherwise(
             (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))))
@@ -158,17 +181,21 @@ def calinski_harabasz(df: DataFrame, label_col: str, features: Sequence[str] | s
 
 
 def evaluate_clusters(raw: DataFrame, transformed: DataFrame, look_features: Sequence[str],
-                      key: str = "fund_cnpj", pred_col: str = "pred", dataset_col: str = "dataset",
+                      key: str = "fund_cnpj", pred_col: str = "pred", by: Sequence[str] = ("dataset",),
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """M4: per (dataset, pred) the mean of the raw look features and the cluster size, plus the
-    dataset's silhouette over the transformed features (NULL for a single cluster)."""
-    means = raw.groupBy(dataset_col, pred_col).agg(
+    """M4: per (``by``, pred) the mean of the raw look features and the cluster size, plus the
+    silhouette of each ``by`` group over the transformed features (NULL for a single cluster).
+
+    ``transformed`` has the features as columns or as one array column. Several labelings are
+    evaluated in one pass by stacking them with their names among ``by``."""
+    by = list(by)
+    means = raw.groupBy(*by, pred_col).agg(
         *[F.avg(c).alias(c) for c in look_features], F.count(F.lit(1)).alias("cluster_size"))
-    tcols = [c for c in transformed.columns if c not in (key, dataset_col, pred_col)]
     t = transformed if pred_col in transformed.columns else \
-        transformed.join(raw.select(key, dataset_col, pred_col), [key, dataset_col])
-    sil = silhouette(t, pred_col, tcols, key, by=[dataset_col], block_rows=block_rows)
-    return means.join(sil, dataset_col, "left")
+        transformed.join(raw.select(key, *by, pred_col), [key, *by])
+    tcols = [c for c in t.columns if c not in (key, *by, pred_col)]
+    features = tcols[0] if len(tcols) == 1 and dict(t.dtypes)[tcols[0]].startswith("array") else tcols
+    return means.join(silhouette(t, pred_col, features, key, by=by, block_rows=block_rows), by, "left")
 
 
 # ------------------------------------------------------------------ M8: exact 1-D Wasserstein
@@ -233,23 +260,21 @@ def wasserstein_1d(u: DataFrame, v: DataFrame, value_col: str, by: Sequence[str]
                     acc[pk] = acc.get(pk, 0.0) + pdiff * (vs[0] - pv)
                 else:
                     _close(acc, pk, pv, pdiff, nxt.get((pid, pk)))
-            start = 0
-            for i in range(1, len(ks) + 1):
-                if i == len(ks) or ks[i] != ks[start]:
-                    k = ks[start]
-                    c0 = run.setdefault(k, list(carry.get((pid, k), (0, 0))))
-                    fu = (c0[0] + np.cumsum(cus[start:i])) / tot[k][0]
-                    fv = (c0[1] + np.cumsum(cvs[start:i])) / tot[k][1]
-                    c0[0] += cus[start:i].sum()
-                    c0[1] += cvs[start:i].sum()
-                    diff = np.abs(fu - fv)
-                    seg = vs[start:i]
-                    acc[k] = acc.get(k, 0.0) + float((diff[:-1] * np.diff(seg)).sum())
-                    if i == len(ks):
-                        pend = (k, seg[-1], diff[-1])
-                    else:
-                        _close(acc, k, seg[-1], diff[-1], nxt.get((pid, k)))
-                    start = i
+            edges = [0, *(np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist(), len(ks)]
+            for start, i in zip(edges[:-1], edges[1:]):
+                k = ks[start]
+                c0 = run.setdefault(k, list(carry.get((pid, k), (0, 0))))
+                fu = (c0[0] + np.cumsum(cus[start:i])) / tot[k][0]
+                fv = (c0[1] + np.cumsum(cvs[start:i])) / tot[k][1]
+                c0[0] += cus[start:i].sum()
+                c0[1] += cvs[start:i].sum()
+                diff = np.abs(fu - fv)
+                seg = vs[start:i]
+                acc[k] = acc.get(k, 0.0) + float((diff[:-1] * np.diff(seg)).sum())
+                if i == len(ks):
+                    pend = (k, seg[-1], diff[-1])
+                else:
+                    _close(acc, k, seg[-1], diff[-1], nxt.get((pid, k)))
         if pend is not None:
             _close(acc, pend[0], pend[1], pend[2], nxt.get((pid, pend[0])))
         if acc:
@@ -292,14 +317,18 @@ def select_config(results: DataFrame, dataset: str = "validation") -> DataFrame:
 def stability_report(config_rows: DataFrame, metrics: Sequence[str], base: str = "train",
                      others: Sequence[str] = ("test", "validation")) -> DataFrame:
     """Per metric W1(base, other) for each other dataset, one row per metric."""
-    config_rows = write_table(config_rows, "config-rows")  # small, read once per distance
+    # at most k rows per dataset by construction: one pooled pass, counts of every dataset side by
+    # side, cumulated along the distinct values of a feature
+    names = [base, *others]
     long = config_rows.select("dataset", F.explode(F.array(*[
         F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")
-    ).select("dataset", "_m.feature", "_m.value")
-    out = None
-    for o in others:
-        w = wasserstein_1d(long.where(F.col("dataset") == base), long.where(F.col("dataset") == o), "value",
-                           by=["feature"]).withColumnRenamed("wasserstein", f"{base}_vs_{'val' if o == 'validation' else o}_dist")
-        out = w if out is None else out.join(w, "feature", "full")
-    return out
-
+    ).select("dataset", "_m.feature", "_m.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    pooled = long.groupBy("feature", "value").agg(*[F.count_if(F.col("dataset") == n).alias(f"c_{i}") for i, n in enumerate(names)])
+    along = Window.partitionBy("feature").orderBy("value")
+    all_of = Window.partitionBy("feature")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    share = [(F.sum(f"c_{i}").over(upto) / F.sum(f"c_{i}").over(all_of)).alias(f"f_{i}") for i in range(len(names))]
+    steps = pooled.select("feature", (F.lead("value").over(along) - F.col("value")).alias("gap"), *share)
+    return steps.groupBy("feature").agg(*[
+        F.sum(F.coalesce(F.abs(F.col("f_0") - F.col(f"f_{i}")) * F.col("gap"), F.lit(0.0)))
+        .alias(f"{base}_vs_{'val' if o == 'validation' else o}_dist") for i, o in enumerate(others, 1)])

@@ -50,7 +50,7 @@ def check_matrix(df: DataFrame, features: Sequence[str] = LOOK_FEATURES, dataset
     for c in features:
         cond = cond | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
     if _train(df, dataset_col, fit_on).where(cond).limit(1).count():
-        raise ValueError("Training dataset contains NaN values. Handle missing values first.")
+        raise ValueError("the fitting split has null or NaN features; fill or drop them before scaling")
 
 
 def fit_robust_scaler(df: DataFrame, features: Sequence[str] = LOOK_FEATURES, dataset_col: str = DATASET,

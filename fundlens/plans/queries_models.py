@@ -141,18 +141,12 @@ SELECT vec_id, CAST(arg_min(cl, dist) AS INTEGER) AS pred FROM d GROUP BY vec_id
 @register("m3_assign_to_centroids", _CENT_SQL)
 def m3_assign_to_centroids(spark, sf_dir):
     """M3 (deterministic part): each embedding to the nearest of the per-label mean vectors."""
-    e = _emb(spark, sf_dir)
-    d = len(e.select("embedding").first()[0])
-    long = e.select("label", F.posexplode("embedding").alias("j", "v"))
-    cent = long.groupBy("label", "j").agg(F.avg("v").alias("m")).collect()  # labels x dims (bounded)
-    labels = sorted({r["label"] for r in cent})
-    vec = {(r["label"], r["j"]): r["m"] for r in cent}
-    centroids = [[vec[(lab, j)] for j in range(d)] for lab in labels]
-    cols = [f"_e{j}" for j in range(d)]
-    wide = e.select("vec_id", *[F.col("embedding")[j].cast("double").alias(c) for j, c in enumerate(cols)])
-    out = M.assign_to_centroids(wide, cols, centroids, out="_idx")
-    mapping = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(i), F.lit(lab))])
-    return out.select("vec_id", mapping[F.col("_idx")].cast("int").alias("pred"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    e = _emb(spark, sf_dir).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    cent = e.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("centre"))  # the model
+    return M.assign_to_centroids(e, "x", cent).select("vec_id", F.col("pred").cast("int").alias("pred"))
 
 
 def _sil_sql(src: str, feats: list[str], tag: str, by: str = "dataset") -> str:
@@ -206,10 +200,8 @@ def bins_results(spark, sf_dir, ks=(2, 3, 4, 5)):
         one = ex.select("fund_cnpj", "dataset", *LOOK, F.lit(k).alias("n_clusters"), label.alias("pred"))
         stacked = one if stacked is None else stacked.unionByName(one)
     keys = ["n_clusters", "dataset"]
-    means = stacked.groupBy(*keys, "pred").agg(*[F.avg(c).alias(c) for c in LOOK],
-                                               F.count(F.lit(1)).alias("cluster_size"))
-    sil = EV.silhouette(stacked, "pred", LOOK, "fund_cnpj", by=keys)
-    out = (means.join(sil, keys, "left").withColumn("model", F.lit("QuantileBins"))
+    stacked = write_table(stacked, "bins")
+    out = (EV.evaluate_clusters(stacked, stacked, LOOK, "fund_cnpj", by=keys).withColumn("model", F.lit("QuantileBins"))
            .withColumn("preprocessing", F.lit("just_filter")))
     # a few rows per configuration, read by several later steps: materialise once
     return write_table(out.select(*_RESULT_COLS), "experiment-results")
@@ -340,6 +332,5 @@ def m12_stability_report(spark, sf_dir):
 def m13_backward_feature_selection(spark, sf_dir):
     """Greedy backward elimination (k-means k=3, fit on train, silhouette on test)."""
     x = P.just_filter(exp_input(spark, sf_dir))
-    kept, hist = M.backward_feature_selection(x, "KMeansTrainer", 3, LOOK)
-    rows = [(i + 1, n, f, float(s)) for i, (n, f, s) in enumerate(hist)] or [(0, len(kept), None, None)]
-    return spark.createDataFrame(rows, "step int, n_remaining int, removed string, test_silhouette double")
+    steps = M.backward_feature_selection(x, "KMeansTrainer", 3, LOOK)
+    return steps.select("step", "n_remaining", "removed", "test_silhouette")

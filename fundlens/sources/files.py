@@ -112,7 +112,7 @@ def scan_csv_tree(spark: SparkSession, root: str, sep: str = ";", sample_size: i
     stats = meta.select("header", "width", "filled").collect()  # one row per file
     hdrs = sorted({r["header"] for r in stats if r["header"] is not None})
     if not hdrs:
-        raise FileNotFoundError(f"No CSV files found in {root}")
+        raise FileNotFoundError(f"{root} holds no readable delimited file")
     rows = parse_delimited(decode_lines(raw, meta), sep)
     if sample_size:
         rows = sample_per_file(rows, sample_size, seed)
@@ -238,7 +238,7 @@ def pipeline_status(df: DataFrame, id_col: str = "CNPJ_FUNDO", date_col: str = "
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
     """S10 sink: refuses an empty frame; snappy parquet (a directory)."""
     if df.isEmpty():
-        raise ValueError("Cannot save empty or None DataFrame.")
+        raise ValueError("nothing to write: the frame has no rows")
     w = df.write.mode(mode).option("compression", "snappy")
     if partition_by:
         w = w.partitionBy(*partition_by)
