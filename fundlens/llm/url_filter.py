@@ -6,8 +6,8 @@ counts, suffix statistics) and judges the URLs that no rule fits.
 
 Suffix statistics (label counts by the host's last label, last two labels and the first path
 segment) cover all labelled URLs. They are kept by hashed bucket, so the table is bounded by
-construction (``BUCKETS`` rows for each kind) and may be broadcast. When learning, a URL's own
-label is left out of its statistics. The model alone is fitted on a bounded sample: the
+construction (``BUCKETS * FOLDS`` rows for each kind) and may be broadcast. When learning, a URL's
+statistics come from the other folds, so that its own label does not show in them. The model alone is fitted on a bounded sample: the
 ``TRAIN_ROWS`` labelled URLs with the smallest hashes. Scoring is one pass without a shuffle.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
@@ -31,6 +31,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 BUCKETS = 4096
 TRAIN_ROWS = 20_000
+FOLDS = 5
 TREES, DEPTH = 20, 4
 PRIOR = 5.0                                                  # weight of the overall rate in a suffix's rate
 KINDS = ("last_label", "domain", "first_segment")
@@ -89,23 +90,34 @@ def lexical(pages: DataFrame, keep: list[str], url_col: str = "url", rules=RULES
     return pinned(df, keep + ["host", "path"], **made)
 
 
+def fold() -> Column:
+    return F.pmod(F.shiftright("key", 20), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """(kind, bucket, n, good) over all labelled URLs; at most ``BUCKETS`` rows a kind."""
+    """(kind, bucket, fold, n, good) over all labelled URLs; at most ``BUCKETS * FOLDS`` rows a kind."""
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_bucket").alias("bucket")) for k in KINDS])).alias("s")
-    return (rows.where("label IS NOT NULL").select("label", kinds)
-            .groupBy("s.kind", "s.bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "allow").alias("good")))
+    return (rows.where("label IS NOT NULL").select("label", fold().alias("fold"), kinds)
+            .groupBy("s.kind", "s.bucket", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "allow").alias("good")))
 
 
 def with_statistics(rows: DataFrame, stats: DataFrame, overall: float, own: bool) -> DataFrame:
     """Rows with the rate of ``allow`` in their suffixes' buckets and how often these were seen;
-    ``own``: without the row's own label."""
+    ``own``: in the other folds than the row's."""
+    rows = rows.withColumn("fold", fold())
     for k in KINDS:
-        s = stats.where(F.col("kind") == k).select(F.col("bucket").alias(f"{k}_bucket"), F.col("n").alias("n_"), F.col("good").alias("good_"))
-        rows = rows.join(F.broadcast(s), f"{k}_bucket", "left")             # at most BUCKETS rows
-        mine = F.lit(1.0 if own else 0.0)
-        n = F.greatest(F.coalesce("n_", F.lit(0)) - mine, F.lit(0.0))
-        good = F.greatest(F.coalesce("good_", F.lit(0)) - mine * (F.col("label") == "allow").cast("double"), F.lit(0.0))
-        good = F.coalesce(good, F.lit(0.0))
+        mine = stats.where(F.col("kind") == k)
+        per = mine.groupBy("bucket").agg(F.sum("n").alias("n_"), F.sum("good").alias("good_"))
+        if own:
+            out = mine.select("bucket", F.col("fold").alias("fold_"), F.col("n").alias("n_out"), F.col("good").alias("good_out"))
+            every = per.select("bucket", "n_", "good_", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold_"))
+            per = every.join(out, ["bucket", "fold_"], "left").select(
+                F.col("bucket").alias(f"{k}_bucket"), F.col("fold_").alias("fold"),
+                (F.col("n_") - F.coalesce("n_out", F.lit(0))).alias("n_"), (F.col("good_") - F.coalesce("good_out", F.lit(0))).alias("good_"))
+        else:
+            per = per.withColumnRenamed("bucket", f"{k}_bucket")
+        rows = rows.join(F.broadcast(per), [f"{k}_bucket", *["fold"][:own]], "left")      # at most BUCKETS * FOLDS rows
+        n, good = F.coalesce("n_", F.lit(0)), F.coalesce("good_", F.lit(0))
         rows = rows.withColumn(f"{k}_rate", (good + PRIOR * overall) / (n + PRIOR)).withColumn(f"{k}_seen", F.log1p(n)).drop("n_", "good_")
     return rows
 
