@@ -77,17 +77,16 @@ def filter_extreme_returns(df: DataFrame, upper_q: float = 0.99999, lower_q: flo
 
     The two thresholds are fitted scalars (exact, by histogram narrowing); the fund flag is a
     window max over the fund partition the return already uses."""
-    from ..session import cut_lineage
+    from ..session import write_table
 
-    with_ret = cut_lineage(add_return(df, col, out="__ret", id_col=id_col, date_col=date_col))
-    q = exact_quantiles(with_ret, ["__ret"], [upper_q, lower_q], materialize=False)
+    with_ret = add_return(df, col, out="__ret", id_col=id_col, date_col=date_col)
+    # only the returns are written for the search; the rows themselves stay in the plan
+    q = exact_quantiles(write_table(with_ret.select("__ret"), "returns"), ["__ret"], [upper_q, lower_q], materialize=False)
     upper, lower = q[("__ret", upper_q)], q[("__ret", lower_q)]
     if upper is None:
-        return with_ret.select(*df.columns)
+        return df
     out_of_band = F.coalesce((F.col("__ret") > F.lit(upper)) | (F.col("__ret") < F.lit(lower)), F.lit(False))
-    flag = F.bool_or(out_of_band)
-    w = Window.partitionBy(id_col)
-    flagged = with_ret.withColumn("__bad", F.coalesce(flag.over(w), F.lit(False)))
+    flagged = with_ret.withColumn("__bad", F.bool_or(out_of_band).over(Window.partitionBy(id_col)))
     return flagged.where(~F.col("__bad")).select(*df.columns)
 
 

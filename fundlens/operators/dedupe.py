@@ -78,25 +78,24 @@ def upsert(existing: DataFrame, increment: DataFrame, keys: Sequence[str] = (ID,
 
 def upsert_partitions(spark, path: str, increment: DataFrame, keys: Sequence[str] = (ID, DATE),
                       partition_col: str = "month") -> None:
-    """K5 sink: rewrite only the partitions the increment touches (dynamic overwrite).
+    """K5 sink: rewrite only the partitions the increment touches (dynamic overwrite). A table that
+    does not exist yet is created, its increment reduced to one row per key like any other; every
+    other failure to read the table is raised and leaves it as it was."""
+    from pyspark.errors import AnalysisException
 
-    The existing side is restricted to the touched partitions by a semi join on the partition
-    column; the partition list is bounded by the calendar, so it is broadcast."""
     from ..session import cut_lineage
 
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    touched = increment.select(partition_col).distinct()
     try:
         existing = spark.read.parquet(path)
-    except Exception:  # first load: nothing to merge with
-        existing = None
-    if existing is not None:
-        existing = existing.join(F.broadcast(touched), on=partition_col, how="left_semi")
-        # reliable checkpoint: the merge must not re-read partitions it is about to overwrite
-        out = cut_lineage(upsert(existing.select(*increment.columns), increment, keys))
-    else:
-        out = increment
-    out.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = increment.limit(0)
+    touched = increment.select(partition_col).distinct()
+    existing = existing.join(touched, on=partition_col, how="left_semi")
+    # reliable checkpoint: the merge must not re-read partitions it is about to overwrite
+    out = cut_lineage(upsert(existing.select(*increment.columns), increment, keys))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
 
 
 def missing_months(df: DataFrame, date_col: str, today: str | None = None,
@@ -113,13 +112,6 @@ def missing_months(df: DataFrame, date_col: str, today: str | None = None,
                     .alias("month_start")))
 
 
-def month_range(spark, start_date: str, end_date: str) -> DataFrame:
-    """First-of-month dates from ``start_date``'s month through ``end_date`` inclusive."""
-    return spark.range(1).select(F.explode(F.sequence(
-        F.trunc(F.to_date(F.lit(start_date)), "month"), F.to_date(F.lit(end_date)),
-        F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
-
-
 def top_k_counts(df: DataFrame, key: str, k: int, where=None) -> DataFrame:
     """K7: the ``k`` most frequent values of ``key`` (count desc, then key asc for ties)."""
     src = df if where is None else df.where(where)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import digits_only, snake_case
@@ -130,15 +130,24 @@ def drop_comma_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if "," in c])
 
 
+# tried in order; a text that several fit is read by the first (month before day, as in US dates)
+DATE_FORMATS = ("MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd",
+                "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss")
+
+
+def lenient_timestamp(c: Column) -> Column:
+    """A timestamp from ISO text or one of ``DATE_FORMATS``; NULL for anything else."""
+    text = F.trim(c.cast("string"))
+    iso = F.when(text.rlike(r"^\d{4}-\d"), F.try_to_timestamp(text))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+
+
 def coerce_dates(df: DataFrame, as_date: bool = True) -> DataFrame:
     """Every date-like column parsed leniently (bad values -> NULL, never an error)."""
-    cols = [c for c in df.columns if any(p in c.lower() for p in DATE_PATTERNS)]
     out = df
-    for c in cols:
-        if dict(out.dtypes)[c] in ("date", "timestamp", "timestamp_ntz"):
-            parsed = F.col(c)
-        else:
-            parsed = F.try_to_timestamp(F.col(c).cast("string"))
+    for c in [c for c in df.columns if any(p in c.lower() for p in DATE_PATTERNS)]:
+        is_time = dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz")
+        parsed = F.col(c) if is_time else lenient_timestamp(F.col(c))
         out = out.withColumn(c, parsed.cast("date") if as_date else parsed)
     return out
 
@@ -195,14 +204,16 @@ def final_processing(df: DataFrame, as_date: bool = True) -> DataFrame:
 def fix_missing_id(df: DataFrame, method: str = "drop", order_cols: Sequence[str] = (), id_col: str = ID,
                    partition_cols: Sequence[str] = ()) -> DataFrame:
     """V9: ``drop`` rows with a NULL or '' id; ``fill_forward`` / ``fill_backward`` take the nearest
-    id in source order (``order_cols``, within ``partition_cols`` such as the source file).
-    Unknown method: unchanged."""
+    id in source order (``order_cols``) within ``partition_cols``, which a fill requires (such as the
+    source file: without it the whole table would be one task). Unknown method: unchanged."""
     from pyspark.sql import Window
 
     c = F.col(id_col)
     if method == "drop":
         return df.where(c.isNotNull() & (c != ""))
     if method in ("fill_forward", "fill_backward"):
+        if not partition_cols:
+            raise ValueError("a fill needs partition_cols, for instance the source file")
         w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
         clean = F.when(c != "", c)
         if method == "fill_forward":

@@ -4,7 +4,9 @@
 ``percentile_approx`` is wrong in the far tail (C4 needs the 0.99999 quantile exactly). Here the
 rank is located by histogram narrowing: each round is one scan with a map-side ``groupBy(target,
 bucket)`` whose result is at most ``targets x buckets`` rows; the value range of the bucket that
-holds the rank becomes the next round's range. When a bucket holds few enough rows (or one distinct
+holds the rank becomes the next round's range. The first round buckets by sign and power of two, the
+later ones cut the remaining range (of one power of two) in 1024 equal parts, so seven rounds reach
+a single double whatever the values' spread. When a bucket holds few enough rows (or one distinct
 value) its values are fetched and the exact order statistic is read off. Results equal linear
 interpolation between the two neighbouring order statistics (numpy / pandas / Spark ``percentile``).
 """
@@ -21,7 +23,6 @@ from ..session import cut_lineage
 
 BUCKETS = 1024
 FETCH_LIMIT = 20_000
-MAX_ROUNDS = 80
 
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -46,7 +47,7 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
         elif lo == hi:
             out[tid] = lo
         else:
-            state[tid] = {"k": k, "rank": rank - n_neg, "lo": lo, "hi": hi, "n": n_fin}
+            state[tid] = {"k": k, "rank": rank - n_neg, "lo": lo, "hi": hi, "n": n_fin, "coarse": True}
     finite = long.where(~F.col("v").isin(float("inf"), float("-inf")))
 
     def tagged(targets_):
@@ -55,10 +56,8 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
                                 & (F.col("v") <= F.lit(s["hi"])), F.lit(t)) for t, s in targets_.items()])
         return finite.select("v", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("tid"))
 
-    rounds = 0
     while state:
-        rounds += 1
-        fetch = {t: s for t, s in state.items() if s["n"] <= FETCH_LIMIT or rounds > MAX_ROUNDS}
+        fetch = {t: s for t, s in state.items() if s["n"] <= FETCH_LIMIT}
         narrow = {t: s for t, s in state.items() if t not in fetch}
         if fetch:
             got = tagged(fetch).toPandas()  # <= FETCH_LIMIT values per target (Arrow transfer)
@@ -71,9 +70,11 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
             hi = F.element_at(F.array(*[F.lit(narrow[t]["hi"]) for t in narrow]), F.col("_i"))
             idx = {t: i + 1 for i, t in enumerate(narrow)}
             pos_of = F.element_at(F.create_map(*[x for t in narrow for x in (F.lit(t), F.lit(idx[t]))]), F.col("tid"))
-            # halves keep (hi - lo) finite for ranges near the double limits
-            pos = (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)
-            bucket = F.least(F.floor(pos * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+            first = F.element_at(F.array(*[F.lit(narrow[t]["coarse"]) for t in narrow]), F.col("_i"))
+            power = F.floor(F.log2(F.abs(F.col("v")))) + 2000       # positive for every finite double
+            signed = F.when(F.col("v") == 0, F.lit(0)).when(F.col("v") > 0, power).otherwise(-power)
+            part = F.least(F.floor((F.col("v") - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
+            bucket = F.when(first, signed).otherwise(part).cast("int")
             hist = (tagged(narrow).withColumn("_i", pos_of)
                     .groupBy("tid", bucket.alias("b"))
                     .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
@@ -85,7 +86,7 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
                 seen = 0
                 for b, c, mn, mx in sorted(per.get(t, [])):
                     if seen + c > s["rank"]:
-                        s.update(rank=s["rank"] - seen, lo=mn, hi=mx, n=c)
+                        s.update(rank=s["rank"] - seen, lo=mn, hi=mx, n=c, coarse=False)
                         break
                     seen += c
                 if s["lo"] == s["hi"]:
@@ -159,10 +160,3 @@ def kth_smallest(df: DataFrame, col: str, k: int, materialize: bool = True) -> f
                  F.min(F.when((F.col("v") != inf) & (F.col("v") != -inf), F.col("v"))).alias("lo"),
                  F.max(F.when((F.col("v") != inf) & (F.col("v") != -inf), F.col("v"))).alias("hi")).first()
     return _select_ranks(long, {0: (col, k)}, {col: r.asDict()})[0]
-
-
-def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """The fitted quantiles as a small DataFrame (column, prob, value)."""
-    q = exact_quantiles(df, cols, probs)
-    rows = [(c, float(p), q[(c, p)]) for c in cols for p in probs]
-    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import DATE
@@ -39,34 +39,45 @@ def split_labeled(df: DataFrame, val_cutoff: str, train_test_cutoff: str, *, dat
     return df.withColumn(out, F.explode(F.filter(labels, lambda x: x.isNotNull())))
 
 
-def split_temporal(df: DataFrame, val_cutoff: str, train_test_cutoff: str, *, date_col: str = DATE,
-                   boundary: str = "reference") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """D1 as three filtered DataFrames (train, test, validation)."""
-    c1, c2 = _d(train_test_cutoff), _d(val_cutoff)
-    d = F.col(date_col)
-    val = d >= c2 if boundary == "reference" else d > c2
-    return df.where(d <= c1), df.where((d > c1) & (d <= c2)), df.where(val)
+def _hash52(*cols) -> Column:
+    """The first 13 hex digits of an md5 as a number (exact in a double)."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
 
 
 def split_random(df: DataFrame, val_cutoff: str, test_ratio: float = 0.2, seed: int = 42, *,
                  date_col: str = DATE, key_cols: list[str] | None = None,
                  out: str = "dataset") -> DataFrame:
-    """validation = date >= cutoff; the rows before it are split into exactly
-    ceil(test_ratio * n) test rows and the rest train, by rank of a seeded 64-bit hash of the row
-    key (deterministic, no shuffle of the data; the cut value is found by exact selection)."""
+    """validation = date >= cutoff; of the n rows before it exactly ceil(test_ratio * n) are test
+    and the rest train. Rows are ranked by a seeded hash of the key, rows of equal hash by a hash of
+    the whole row, and equal rows, which no choice can tell apart, are divided by count. The cut
+    values are found by exact selection, so the data is not sorted."""
     from .quantiles import kth_smallest
 
     c2 = _d(val_cutoff)
-    keys = key_cols or df.columns
-    # 53 bits of a seeded xxhash64: exact as a double, so the rank cut is exact
-    h = F.shiftright(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys]), 11)
-    pre = df.where(F.col(date_col) < c2).withColumn("__h", h.cast("double"))
+    is_val = F.coalesce(F.col(date_col) >= c2, F.lit(False))
+    first = _hash52(F.lit(str(seed)), *[F.col(c) for c in key_cols or df.columns])
+    second = _hash52(F.lit(f"{seed}+"), *[F.col(c) for c in df.columns])
+    pre = df.where(F.col(date_col) < c2).select(first.alias("__h1"), second.alias("__h2"))
     n = pre.count()
     if n == 0:
-        raise ValueError("No data available for train/test before cutoff.")
+        raise ValueError(f"no row lies before {val_cutoff}: there is nothing to divide into train and test")
     n_test = int(math.ceil(test_ratio * n))
-    cut = kth_smallest(pre, "__h", n_test - 1) if n_test > 0 else None
-    label = F.when(F.col(date_col) >= c2, F.lit(VALIDATION))
-    if cut is not None:
-        label = label.when(h.cast("double") <= F.lit(cut), F.lit(TEST))
-    return df.withColumn(out, label.otherwise(F.lit(TRAIN)))
+    label = F.when(is_val, F.lit(VALIDATION))
+    if n_test == 0:
+        return df.withColumn(out, label.otherwise(F.lit(TRAIN)))
+    cut1 = kth_smallest(pre, "__h1", n_test - 1)
+    below = pre.where(F.col("__h1") < cut1).count()
+    tied = pre.where(F.col("__h1") == cut1)
+    cut2 = kth_smallest(tied, "__h2", n_test - below - 1)
+    below += tied.where(F.col("__h2") < cut2).count()
+    last = tied.where(F.col("__h2") == cut2).count()
+    room = n_test - below                                  # of the ``last`` equal rows at the cut
+    at_cut = ~is_val & (first == cut1) & (second == cut2)
+    label = label.when((first < cut1) | ((first == cut1) & (second <= cut2)), F.lit(TEST)).otherwise(F.lit(TRAIN))
+    if room == last:
+        return df.withColumn(out, label)
+    equal = df.where(at_cut).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    divided = (equal.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"))
+               .select(*df.columns, F.when(F.col("__i") <= room, F.lit(TEST)).otherwise(F.lit(TRAIN)).alias(out)))
+    return df.where(F.coalesce(~at_cut, F.lit(True))).withColumn(out, label).unionByName(divided)

@@ -1,65 +1,85 @@
-"""Monthly ZIP fixtures written by Spark tasks from table-derived rows.
+"""Monthly ZIP fixtures written by Spark from table-derived rows, to any store that Spark can write.
 
-Rows are range-partitioned by month and sorted, and each task streams its months into
-``<root>/daily_quotas_<yyyymm>.zip`` (member ``<stem>.csv``) batch by batch, so no month is held
-in memory. The folder must be visible to the executors as a file system path (the shared
-checkpoint folder in tests); this is a fixture writer, not part of the engine.
+Rows are range-partitioned by month and sorted; a task packs a month into one archive (member
+``<stem>.csv``) and hands it over as one row, which Spark's text sink writes to a file of its own. A
+ZIP archive ends with a zero byte (the length of its empty comment), which is left to the sink as
+its line separator. The driver then names the files. A month is held in memory: this is a fixture
+writer, not part of the engine.
 """
 
 from __future__ import annotations
 
-import os
+import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _writer(root: str, header_of: dict[str, list[str]], sep: str):
-    def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, zf, fh, written = None, None, None, []
+def zip_bytes(member: str, body: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(member, body)
+    return out.getvalue()
 
-        def close():
-            if fh is not None:
-                fh.close()
-                zf.close()
+
+def _packer(header_of: dict[str, list[str]], sep: str):
+    def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        month, parts = None, []
+
+        def archive():
+            body = sep.join(header_of[month]) + "\n" + "".join(parts)
+            return pd.DataFrame({"_month": [month], "value": [zip_bytes(f"daily_quotas_{month}.csv", body)[:-1]]})
 
         for pdf in it:
-            for month, part in pdf.groupby("_month", sort=False):
-                if month != cur:
-                    close()
-                    cur = month
-                    stem = f"daily_quotas_{month}"
-                    path = os.path.join(root, stem + ".zip")
-                    zf = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
-                    fh = zf.open(stem + ".csv", "w")
-                    fh.write((sep.join(header_of[month]) + "\n").encode("utf-8"))
-                    written.append(path)
-                body = part.drop(columns=["_month"]).to_csv(sep=sep, header=False, index=False, na_rep="")
-                fh.write(body.encode("utf-8"))
-        close()
-        yield pd.DataFrame({"path": written})
-
-    return write
+            for m, part in pdf.groupby("_month", sort=False):
+                if m != month and month is not None:
+                    yield archive()
+                    parts = []
+                month = m
+                parts.append(part.drop(columns=["_month"]).to_csv(sep=sep, header=False, index=False, na_rep=""))
+        if month is not None:
+            yield archive()
+
+    return pack
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, its Path class) of ``path``."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, Path = file_system(spark, path)
+    out = fs.create(Path(path))
+    out.write(bytearray(data))
+    out.close()
 
 
 def write_monthly_zips(df: DataFrame, root: str, month_col: str, sort_cols: Sequence[str],
-                       header_by_month: dict[str, list[str]] | None = None, sep: str = ";") -> list[str]:
-    """Write one ZIP per month value; ``header_by_month`` renames the header per month (same order)."""
+                       header_by_month: dict[str, list[str]] | None = None, sep: str = ";") -> None:
+    """One ``daily_quotas_<month>.zip`` per month value below ``root``; ``header_by_month`` renames the
+    header per month (same order)."""
     from ..session import ship_package
 
-    ship_package(df.sparkSession)
-    os.makedirs(root.replace("file:", ""), exist_ok=True)
+    spark = df.sparkSession
+    ship_package(spark)
     months = [r[0] for r in df.select(month_col).distinct().collect()]  # calendar-bounded
     header_of = {m: (header_by_month or {}).get(m, [c for c in df.columns if c != month_col]) for m in months}
     data = df.withColumnRenamed(month_col, "_month")
     cols = [c for c in data.columns if c != "_month"]
     ordered = (data.repartitionByRange(max(1, min(len(months), 64)), "_month")
                .sortWithinPartitions("_month", *sort_cols).select("_month", *cols))
-    out = ordered.mapInPandas(_writer(root.replace("file:", ""), header_of, sep), "path string")
-    return [r[0] for r in out.collect()]  # one path per month
+    packed = ordered.mapInPandas(_packer(header_of, sep), "_month string, value binary")
+    (packed.select("_month", F.col("value").cast("string").alias("value")).write.partitionBy("_month")
+     .option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(f"{root}/_made"))
+    fs, Path = file_system(spark, root)
+    for s in fs.globStatus(Path(f"{root}/_made/_month=*/part-*")):
+        month = s.getPath().getParent().getName().split("=")[1]
+        fs.rename(s.getPath(), Path(f"{root}/daily_quotas_{month}.zip"))
 
 
 def month_key(date_str_col: str):

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import digits_only, snake_case
+from ..functions.columns import digits_only, nan_to_null, snake_case
 from ..operators.dedupe import dedupe_keep_max, dedupe_keep_last, semi_join_catalog
 from ..operators.features import add_month_label, add_monthly_appearances
 from ..operators.normalize import (DENYLIST, SYNONYMS, all_null_columns, find_id_column,
                                    final_processing)
-from ..sources.files import read_monthly_quotas, scan_csv_tree
+from ..sources.files import header_names, read_monthly_quotas, scan_csv_tree
 
 NUMERIC = {"quota_value": "double", "total_value": "double", "net_asset_value": "double",
            "daily_inflow": "double", "daily_redemptions": "double", "num_shareholders": "bigint"}
@@ -18,7 +18,7 @@ NUMERIC = {"quota_value": "double", "total_value": "double", "net_asset_value":
 
 def header_mapping(header: str, sep: str = ";") -> dict[str, str]:
     """X1 on header names only: canonical name -> raw name for one header."""
-    raws = [c.strip() for c in header.split(sep)]
+    raws = header_names(header, sep)
     snake = {snake_case(c): c for c in raws}
     names = [n for n in snake if n not in DENYLIST]
     out: dict[str, str] = {}
@@ -44,7 +44,7 @@ def header_mapping(header: str, sep: str = ";") -> dict[str, str]:
 def load_raw(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
              seed: int = 42) -> DataFrame:
     """S1-S4 -> X2 -> S11 -> X3: canonical, typed rows with their source ``file``."""
-    rows, headers, fill = scan_csv_tree(spark, root, sep, sample_size, seed, with_fill=True)
+    rows, headers = scan_csv_tree(spark, root, sep, sample_size, seed)
     maps = {h: header_mapping(h, sep) for h in headers}
     canon: list[str] = []
     for m in maps.values():
@@ -60,16 +60,12 @@ def load_raw(spark: SparkSession, root: str, sep: str = ";", sample_size: int |
         if c == "fund_cnpj":
             v = digits_only(v)
         elif c in NUMERIC:
-            v = F.trim(v).try_cast("double")
-            v = v.cast("bigint") if NUMERIC[c] == "bigint" else v
+            v = nan_to_null(F.trim(v).try_cast("double"))
+            v = v.try_cast("bigint") if NUMERIC[c] == "bigint" else v
         cols.append(v.alias(c))
     df = rows.select(F.col("file").alias("source_file"), *cols)
-    # N2 over the union: decided from the metadata pass's fill counts (a data pass only for very
-    # wide files); the id is never NULL after N5, like the reference's ''
-    if fill is not None:
-        empty = [c for c in canon if c != "fund_cnpj" and not any(m.get(c) in fill[h] for h, m in maps.items())]
-    else:
-        empty = [c for c in all_null_columns(df) if c != "source_file"]
+    # N2 over the union, one aggregate over the typed rows that survive S3; the id is never NULL after N5
+    empty = [c for c in all_null_columns(df) if c not in ("source_file", "fund_cnpj")]
     df = df.drop(*empty)
     return final_processing(df)
 

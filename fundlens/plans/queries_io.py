@@ -111,7 +111,7 @@ def s8_read_catalog(spark, sf_dir):
     (sup.select(F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("CNPJ_FUNDO"),
                 F.col("s_name").alias("DENOM_SOCIAL"), F.lit("EM FUNCIONAMENTO NORMAL").alias("SIT"),
                 F.col("s_nationkey").cast("string").alias("CD_CVM"), F.lit("x").alias("EXTRA"))
-     .coalesce(1).write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path))
+     .write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path))
     cat = SRC.read_catalog(spark, path)
     rf = raw_files(spark, sf_dir).select("CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "LINE_NO")
     return semi_join_catalog(rf, cat)
@@ -350,16 +350,6 @@ def v6_feature_summary(spark, sf_dir):
     return V.feature_summary(daily)
 
 
-@register("v7_feature_catalog")
-def v7_feature_catalog(spark, sf_dir):
-    """V7: the fund-level table with descriptions attached as column metadata, listed."""
-    from ..operators.aggregate import aggregate_features
-
-    agg = FE.with_descriptions(aggregate_features(FE.create_features(panel(spark, sf_dir), dedupe=False)))
-    rows = [(f.name, f.metadata.get("comment", "")) for f in agg.schema.fields]
-    return spark.createDataFrame(rows, "feature string, description string")
-
-
 _V8_SQL = (f"WITH {S.PANEL_CTE},{S.daily_features_sql('panel')}\nSELECT fund_cnpj, count(*) AS observation_count, "
            "min(report_date) AS start_date, max(report_date) AS end_date, date_diff('day', min(report_date), "
            "max(report_date)) AS days, round(avg(\"return\"), 6) AS return_mean, round(stddev_samp(\"return\"), 6) "
@@ -382,7 +372,7 @@ def _catalog_ids(spark, sf_dir):
     p = panel(spark, sf_dir).select("fund_cnpj", "report_date")
     cat = read_table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0).select(
         F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("_cid"))
-    return p.join(F.broadcast(cat), p["fund_cnpj"] == cat["_cid"], "left").select(  # catalog-sized side
+    return p.join(cat, p["fund_cnpj"] == cat["_cid"], "left").select(
         F.col("_cid").alias("fund_cnpj"), "report_date")
 
 
@@ -422,28 +412,43 @@ def v10_format_bytes(spark, sf_dir):
 
 # ------------------------------------------------------------------ S5-S7, X5: monthly ZIP archives
 
-def monthly_zip_tree(spark, sf_dir: str) -> str:
-    """Source rows as one ZIP per month (``<stem>.zip`` holding ``<stem>.csv``), written by Spark
-    tasks; from 2000 on the id header is ``CNPJ_FUNDO_CLASSE``. Plus one corrupt archive and one
-    with a wrongly named member, which the reader must skip."""
-    import os
-    import zipfile
+_QUOTA_COLS = ["CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "ID", "LINE_NO"]
+
+
+def _write_zips(rows, root):
+    """One archive per month (``_m``); from 2000 on the id header is ``CNPJ_FUNDO_CLASSE``."""
+    from .fixture_files import write_monthly_zips
+
+    months = [r[0] for r in rows.select("_m").distinct().collect()]  # calendar-bounded
+    headers = {m: (["CNPJ_FUNDO_CLASSE"] + _QUOTA_COLS[1:] if m >= "200001" else _QUOTA_COLS) for m in months}
+    write_monthly_zips(rows, root, "_m", ["ID", "LINE_NO"], headers)
+
+
+def _quota_rows(spark, sf_dir):
+    from .fixture_files import month_key
+
+    return raw_files(spark, sf_dir).select(*_QUOTA_COLS).withColumn("_m", month_key("DT_COMPTC"))
 
-    from .fixture_files import month_key, write_monthly_zips
+
+def monthly_zip_tree(spark, sf_dir: str) -> str:
+    """Source rows as one ZIP per month (``<stem>.zip`` holding ``<stem>.csv``), written by Spark.
+    Plus archives that the reader must skip whole: no archive at all, a wrongly named member, a
+    wrong checksum and a damaged stream, the latter two behind many good lines."""
+    from .fixture_files import write_bytes, zip_bytes
 
     key = ("zip", id(spark.sparkContext), sf_dir)
     if key not in _WRITTEN:
-        root = scratch_path(spark, "monthly-zips").replace("file:", "")
-        rows = raw_files(spark, sf_dir).select("CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "ID", "LINE_NO") \
-            .withColumn("_m", month_key("DT_COMPTC"))
-        months = [r[0] for r in rows.select("_m").distinct().collect()]  # calendar-bounded
-        cols = ["CNPJ_FUNDO", "DT_COMPTC", "VL_QUOTA", "ID", "LINE_NO"]
-        headers = {m: (["CNPJ_FUNDO_CLASSE"] + cols[1:] if m >= "200001" else cols) for m in months}
-        write_monthly_zips(rows, root, "_m", ["ID", "LINE_NO"], headers)
-        with open(os.path.join(root, "daily_quotas_190001.zip"), "wb") as fh:
-            fh.write(b"not a zip archive")
-        with zipfile.ZipFile(os.path.join(root, "daily_quotas_190002.zip"), "w") as z:
-            z.writestr("other_name.csv", "CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n1;1900-02-01;1\n")
+        root = scratch_path(spark, "monthly-zips")
+        _write_zips(_quota_rows(spark, sf_dir), root)
+        body = "CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n" + "".join(f"{i};1900-02-01;{i * 7919 % 1000}\n" for i in range(40_000))
+        good = {m: zip_bytes(f"daily_quotas_{m}.csv", body) for m in ("190003", "190004")}
+        at = good["190003"].rindex(b"PK\x01\x02") + 16             # the checksum in the directory
+        wrong = good["190003"][:at] + bytes(4) + good["190003"][at + 4:]
+        half = len(good["190004"]) // 2
+        damaged = good["190004"][:half] + b"\xff" * 40 + good["190004"][half + 40:]
+        for month, data in (("190001", b"not a zip archive"), ("190002", zip_bytes("other_name.csv", body[:200])),
+                            ("190003", wrong), ("190004", damaged)):
+            write_bytes(spark, f"{root}/daily_quotas_{month}.zip", data)
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
@@ -466,7 +471,7 @@ SELECT DISTINCT {_RF_MONTH} AS month, CASE WHEN {_RF_MONTH} >= '200001' THEN 'CN
   ELSE 'CNPJ_FUNDO' END AS key_column FROM rf""")
 def s6_detect_key_column(spark, sf_dir):
     """Per archive, the first header name containing 'cnpj' (an expression on the header row)."""
-    lines = SRC.read_zip_lines(spark, monthly_zip_tree(spark, sf_dir))
+    lines = SRC.read_zip_lines(spark, monthly_zip_tree(spark, sf_dir), head_only=True)
     return lines.where((F.col("line_no") == 0) & F.col("reject").isNull()).select(
         _month_of().alias("month"), SRC.key_column_of(F.col("line")).alias("key_column"))
 
@@ -494,6 +499,52 @@ def x5_ingest_initial(spark, sf_dir):
     return out.select("CNPJ_FUNDO", "DT_COMPTC", F.col("VL_QUOTA").cast("double").alias("VL_QUOTA"))
 
 
+_RESTATED = "199506"  # fixture rule: the second increment restates this month with doubled quotas
+
+
+@register("x6_ingest_update", f"""WITH {_RF},
+k AS (SELECT *, row_number() OVER (PARTITION BY "CNPJ_FUNDO", "DT_COMPTC" ORDER BY "ID" DESC, "LINE_NO" DESC) AS _rn
+      FROM rf WHERE regexp_replace("CNPJ_FUNDO", '\\D', '', 'g') IN
+        (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') FROM supplier WHERE s_acctbal > 0)),
+t AS (SELECT regexp_replace("CNPJ_FUNDO", '\\D', '', 'g') AS fund_cnpj, CAST("DT_COMPTC" AS DATE) AS report_date,
+             round(CASE WHEN {_RF_MONTH} = '{_RESTATED}' THEN 2 * "VL_QUOTA" ELSE "VL_QUOTA" END, 6) AS quota_value,
+             {_RF_MONTH} >= '200001' AS is_new FROM k WHERE _rn = 1)
+SELECT fund_cnpj, report_date, quota_value, (SELECT count(*) FROM t) AS total_records,
+       (SELECT count(*) FROM t WHERE is_new) AS new_records_count FROM t""")
+def x6_ingest_update(spark, sf_dir):
+    """Two increments of monthly archives, the second restating a month already stored; the table
+    after both, with the second run's status."""
+    from ..streaming.increments import ingest_update
+
+    rows = _quota_rows(spark, sf_dir)
+    cat = read_table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0).select(
+        F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("CNPJ_FUNDO"))
+    landing, stored = scratch_path(spark, "landing"), scratch_path(spark, "quotas")
+    name = stored.rsplit("/", 1)[-1]
+    _write_zips(rows.where(F.col("_m") < "200001"), f"{landing}/first")
+    ingest_update(spark, landing, stored, cat, name)
+    again = rows.where(F.col("_m") == _RESTATED).withColumn("VL_QUOTA", F.col("VL_QUOTA") * 2)
+    _write_zips(rows.where(F.col("_m") >= "200001").unionByName(again), f"{landing}/second")
+    status = ingest_update(spark, landing, stored, cat, name).first()
+    return spark.read.parquet(stored).select(
+        "fund_cnpj", "report_date", "quota_value", F.lit(status["total_records"]).alias("total_records"),
+        F.lit(status["new_records_count"]).alias("new_records_count"))
+
+
+@register("v3_load_files", f"""WITH {_RF}
+SELECT count(DISTINCT substr("DT_COMPTC", 1, 4)) + 1 AS files_found, count(DISTINCT substr("DT_COMPTC", 1, 4)) AS files_read,
+       1 AS files_failed, count(*) AS data_lines FROM rf""")
+def v3_load_files(spark, sf_dir):
+    """V3: files found, read and failed of a tree with one file per year and one that cannot be read."""
+    from .fixture_files import write_bytes
+
+    root = scratch_path(spark, "yearly-csv")
+    (raw_files(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4)).repartition("_year")
+     .write.partitionBy("_year").option("header", True).option("sep", ";").csv(root))
+    write_bytes(spark, f"{root}/broken.csv.gz", b"not a gzip file")
+    return SRC.file_report(spark, root)
+
+
 # ------------------------------------------------------------------ S2, S3: charset and bad lines
 
 _ACCENTED = ("aeiou", "áéíóú")  # fixture rule: vowels of supplier names accented (Latin-1 representable)
@@ -505,7 +556,7 @@ def _named_rows(spark, sf_dir):
         F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("_fid"),
         F.translate("s_name", *_ACCENTED).alias("DENOM_SOCIAL"))
     rf = raw_files(spark, sf_dir).withColumn("_fid", F.regexp_replace("CNPJ_FUNDO", r"\D", ""))
-    return rf.join(F.broadcast(sup), "_fid").drop("_fid")  # supplier: one row per fund id
+    return rf.join(sup, "_fid").drop("_fid")
 
 
 def charset_tree(spark, sf_dir: str) -> str:

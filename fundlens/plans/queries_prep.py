@@ -144,7 +144,15 @@ def d1_split_disjoint(spark, sf_dir):
         "fund_cnpj", "report_date", "dataset")
 
 
-@register("d2_split_random")
+_D2_H = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+_D2_SQL = f"""WITH {S.PANEL_CTE},
+h AS (SELECT fund_cnpj, report_date, report_date >= DATE '{C2_CUT}' AS val,
+             {_D2_H.format("'42|' || fund_cnpj || '|' || CAST(report_date AS VARCHAR)")} AS h1 FROM panel),
+r AS (SELECT *, row_number() OVER (PARTITION BY val ORDER BY h1) AS rn, count(*) OVER (PARTITION BY val) AS n FROM h)
+SELECT fund_cnpj, report_date, CASE WHEN val THEN 'validation' WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS dataset FROM r"""
+
+
+@register("d2_split_random", _D2_SQL)
 def d2_split_random(spark, sf_dir):
     """Validation after the cutoff; exactly ceil(20%) of the earlier rows in test (seeded hash rank)."""
     return D.split_random(panel(spark, sf_dir), C2_CUT, 0.2, 42, key_cols=["fund_cnpj", "report_date"]

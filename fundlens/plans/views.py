@@ -105,9 +105,3 @@ RAW_FILES_SQL = f"""SELECT 'FI' AS "TP_FUNDO",
        daily_inflow AS "CAPTC_DIA", daily_redemptions AS "RESG_DIA", num_shareholders AS "NR_COTST",
        CAST(NULL AS VARCHAR) AS "ID_SUBCLASSE", l_orderkey AS "ID", l_linenumber AS "LINE_NO"
 FROM ({RAW_REPORTS_SQL}) rr"""
-
-
-def with_ctes(body: str, **ctes: str) -> str:
-    """Prefix a query with named CTEs."""
-    parts = [f"{name} AS (\n{sql}\n)" for name, sql in ctes.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body

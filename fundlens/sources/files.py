@@ -1,22 +1,30 @@
 """Sources and sinks.
 
-Delimited files with different headers are read in one distributed text scan:
-
-* one aggregate pass computes, per file, the charset (``bool_and(is_valid_utf8(line))``, S2) and
-  the header (first line, map-side-combined ``min_by``); this one-row-per-file table is written
-  once and broadcast; only the set of distinct headers (typically a handful) reaches the driver;
-* the data pass decodes each line with its file's charset (Latin-1 from the raw line bytes);
-* a data line with more fields than its header is dropped, fewer fields are padded with NULL (S3);
-* fields are addressed by header name through ``map_from_arrays``, so the union over heterogeneous
-  headers (S11) happens inside the same projection.
-
-Splitting is on the separator only (the monthly source files carry no quoted fields).
+Delimited files with different headers are read in two text scans:
+
+* a light pass finds, per file, the charset (UTF-8 if every line is valid, else ISO-8859-1; S2) and
+  the header, the first line of the split at offset 0; the one-row-per-file table is written, and
+  only the distinct headers (typically a handful) reach the driver;
+* the data pass decodes each line with its file's charset and parses it with Spark's CSV parser
+  under its file's header, quotes included. A line that repeats the header is no data. Lines with
+  more fields than the header are dropped, fewer are padded with NULL (S3); missing-value tokens
+  become NULL. Fields are addressed by header name, so differing headers (S11) meet in one map.
+
+The two passes agree by file name and text alone, so how files are packed into splits plays no part.
+A quoted field may hold the separator, but no line break. Files that cannot be read are skipped and
+counted (``file_report``).
+
+Monthly ZIP archives are read once, by one task each (the format cannot be split; an archive is
+held in memory, 2 GB at most): the member's checksum is verified over the whole stream before its
+first line is handed out, so an archive counts whole or not at all.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -31,188 +39,200 @@ CATALOG_COLUMNS = ["CNPJ_FUNDO", "DENOM_SOCIAL", "SIT", "DT_REG", "DT_CONST", "C
 QUOTA_COLUMNS = ["DT_COMPTC", "VL_QUOTA"]
 
 
-def read_lines(spark: SparkSession, root: str, glob: str = "*.[cC][sS][vV]") -> DataFrame:
-    """S1 (scan): every matching file below ``root`` as (file, line_id, raw line). An empty tree
-    is an error."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-             .text(root)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("_blk"),
-                     F.monotonically_increasing_id().alias("_lid"), F.col("value").alias("_raw")))
-    return lines
-
-
-def _decoded(raw, utf8):
-    return F.when(utf8, raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
+# fixed values: texts that stand for a missing value (the usual defaults of CSV readers)
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+           "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-STAT_WIDTH = 64  # field positions whose fill counts ride along the metadata pass
+def read_lines(spark: SparkSession, root: str | Sequence[str], glob: str = "*.[cC][sS][vV]") -> DataFrame:
+    """S1 (scan): every readable matching file below ``root`` as (file, raw line)."""
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .option("ignoreCorruptFiles", True).text(root)
+            .select(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("_blk"), F.col("value").alias("_raw")))
 
 
-def _sep_pattern(sep: str) -> str:
-    return "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
+def _decoded(raw, utf8):
+    return F.when(utf8, raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
 
 
-def file_metadata(lines: DataFrame, sep: str = ";") -> DataFrame:
-    """One aggregate pass, one row per file: the S2 charset (UTF-8 when every line is valid UTF-8,
-    else ISO-8859-1; never fails), the header = first line of the split at offset 0, the widest
-    line, and per field position (up to ``STAT_WIDTH``) the number of non-empty values (header
-    included), so all-empty columns are known without another pass over the data."""
-    parts = lines.select("file", "_blk", "_lid", "_raw", F.split("_raw", _sep_pattern(sep)).alias("_p"))
-    filled = [F.count(F.when(F.length(F.trim(F.get("_p", i))) > 0, 1)) for i in range(STAT_WIDTH)]
-    meta = parts.groupBy("file").agg(
+def file_metadata(lines: DataFrame) -> DataFrame:
+    """One aggregate pass, one row per file: charset, header (first line of the split at offset 0;
+    lines of a split are numbered within this scan only) and number of lines."""
+    numbered = lines.withColumn("_no", F.monotonically_increasing_id())
+    meta = numbered.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"),
-        F.min_by(F.struct("_lid", "_raw"), F.when(F.col("_blk") == 0, F.col("_lid"))).alias("_h"),
-        F.max(F.size("_p")).alias("width"), F.array(*filled).alias("filled"))
-    return meta.select("file", "_utf8", _decoded(F.col("_h._raw"), F.col("_utf8")).alias("header"),
-                       F.col("_h._lid").alias("_hid"), "width", "filled")
-
+        F.min_by("_raw", F.when(F.col("_blk") == 0, F.col("_no"))).alias("_first"),
+        F.count(F.lit(1)).alias("n_lines"))
+    return meta.select("file", "_utf8", _decoded(F.col("_first"), F.col("_utf8")).alias("header"), "n_lines")
 
-def _bounded(df: DataFrame) -> DataFrame:
-    from ..operators.dedupe import size_checked_broadcast
 
-    return size_checked_broadcast(df)
+def file_report(spark: SparkSession, root: str, glob: str = "*.[cC][sS][vV]*") -> DataFrame:
+    """(files_found, files_read, files_failed, data_lines): a file of which no line could be read,
+    empty ones included, has failed."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+              .load(root).select(F.col("path")))
+    meta = file_metadata(read_lines(spark, root, glob)).select(F.url_decode("file").alias("path"), "n_lines")
+    both = listed.select(F.url_decode("path").alias("path")).join(meta, "path", "left")
+    return both.agg(F.count(F.lit(1)).alias("files_found"), F.count("n_lines").alias("files_read"),
+                    (F.count(F.lit(1)) - F.count("n_lines")).alias("files_failed"),
+                    F.sum(F.col("n_lines") - 1).alias("data_lines"))
 
 
-def decode_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
-    """Lines decoded with their file's charset, carrying the file's header. The one-row-per-file
-    table is broadcast after a bounded count (a shuffle join for very many files)."""
-    return (lines.join(_bounded(meta.select("file", "_utf8", "header", "_hid")), "file")
-            .withColumn("line", _decoded(F.col("_raw"), F.col("_utf8"))).drop("_raw", "_utf8"))
+def header_names(header: str, sep: str = ";") -> list[str]:
+    """The field names of a header line."""
+    return [x.strip() for x in next(csv.reader([header], delimiter=sep), [])]
 
 
-def parse_delimited(lines: DataFrame, sep: str = ";") -> DataFrame:
-    """S3 + S11: one (file, map<header name, text>) row per data line of decoded lines carrying
-    their header; over-long lines dropped, short lines padded with NULL, empty fields NULL."""
-    j = lines.where(F.col("_lid") != F.col("_hid"))
-    pat = _sep_pattern(sep)
-    names = F.transform(F.split("header", pat), lambda x: F.trim(x))
-    vals = F.transform(F.split("line", pat), lambda x: F.when(F.trim(x) != "", x))
-    n = F.size(names)
-    padded = F.slice(F.concat(vals, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    return (j.where(F.size(vals) <= n)
-            .select("file", "header", F.map_from_arrays(names, padded).alias("fields"), F.col("_lid")))
+def decode_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
+    """Data lines decoded with their file's charset, carrying the file's header. Spark chooses the
+    join from the sizes it meets: one row per file on the right."""
+    return (lines.join(meta.select("file", "_utf8", "header"), "file")
+            .withColumn("line", _decoded(F.col("_raw"), F.col("_utf8"))).drop("_raw", "_utf8", "_blk")
+            .where(F.col("line") != F.col("header")))
+
+
+def parse_delimited(lines: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:
+    """S3 + S11: one (file, header, map<header name, text>) row per data line; over-long lines
+    dropped, short lines padded with NULL, missing-value tokens NULL. Repeated names: the first."""
+    bare = F.regexp_replace("line", '"[^"]*"', "")                      # separators inside quotes do not count
+    n_fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    fields, width = F.lit(None), F.lit(0)
+    for h in headers:
+        names = header_names(h, sep)
+        record = F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(names))), options)
+        firsts = [i for i, n in enumerate(names) if n not in names[:i]]
+        value = lambda r, i: F.when(~F.trim(r[f"c{i}"]).isin(*MISSING), r[f"c{i}"])
+        made = F.get(F.transform(F.array(record), lambda r: F.map_from_arrays(  # noqa: B023
+            F.array(*[F.lit(names[i]) for i in firsts]), F.array(*[value(r, i) for i in firsts]))), F.lit(0))  # noqa: B023
+        fields, width = F.when(F.col("header") == h, made).otherwise(fields), F.when(F.col("header") == h, len(names)).otherwise(width)
+    return lines.where(n_fields <= width).select("file", "header", fields.alias("fields"))
 
 
 def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` random rows per file (Bernoulli p = n / rows, only where rows > n); seeded."""
+    """About ``n`` rows per file (each with chance n / rows, only where rows > n). The choice is
+    a seeded hash of the file and the row, so it does not depend on the partitioning."""
     counts = df.groupBy("file").agg(F.count(F.lit(1)).alias("_rows"))
-    p = F.when(F.col("_rows") > n, F.lit(float(n)) / F.col("_rows")).otherwise(F.lit(1.0))
-    return df.join(_bounded(counts), "file").where(F.rand(seed) < p).drop("_rows")  # one row per file
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("file"), F.to_json("fields")), 11) / float(1 << 53)
+    return df.join(counts, "file").where((F.col("_rows") <= n) | (u < n / F.col("_rows"))).drop("_rows")
 
 
-def scan_csv_tree(spark: SparkSession, root: str, sep: str = ";", sample_size: int | None = None,
-                  seed: int = 42, with_fill: bool = False, glob: str = "*.[cC][sS][vV]"):
-    """(rows with a ``fields`` map and the source ``file``, distinct header lines[,
-    fill]). ``fill`` maps each header to the names that have a value in some file, or is None when
-    a file is wider than ``STAT_WIDTH`` (callers then count with a data pass)."""
+def scan_csv_tree(spark: SparkSession, root: str | Sequence[str], sep: str = ";", sample_size: int | None = None,
+                  seed: int = 42, glob: str = "*.[cC][sS][vV]"):
+    """(rows with a ``fields`` map and the source ``file``, distinct header lines). An
+    empty tree is an error."""
     raw = read_lines(spark, root, glob)
-    # one row per file; materialised so the full validity scan is not repeated by the join below
-    meta = write_table(file_metadata(raw, sep), "file-metadata")
-    stats = meta.select("header", "width", "filled").collect()  # one row per file
-    hdrs = sorted({r["header"] for r in stats if r["header"] is not None})
-    if not hdrs:
+    # one row per file; written so that the join below does not repeat the pass
+    meta = write_table(file_metadata(raw), "file-metadata")
+    headers = sorted(r[0] for r in meta.select("header").where("header IS NOT NULL").distinct().collect())
+    if not headers:
         raise FileNotFoundError(f"{root} holds no readable delimited file")
-    rows = parse_delimited(decode_lines(raw, meta), sep)
-    if sample_size:
-        rows = sample_per_file(rows, sample_size, seed)
-    if not with_fill:
-        return rows, hdrs
-    fill: dict[str, set[str]] | None = {h: set() for h in hdrs}
-    for r in stats:
-        if r["header"] is None:
-            continue
-        if r["width"] > STAT_WIDTH:
-            fill = None
-            break
-        names = [x.strip() for x in r["header"].split(sep)]
-        fill[r["header"]].update(n for i, n in enumerate(names) if r["filled"][i] > 1)
-    return rows, hdrs, fill
+    rows = parse_delimited(decode_lines(raw, meta), headers, sep)
+    return (sample_per_file(rows, sample_size, seed) if sample_size else rows), headers
 
 
 def columns_from_fields(rows: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:
     """Project the header-addressed fields to ordinary string columns (union by name over all
     headers; a name missing from a file is NULL)."""
-    names: list[str] = []
-    for h in headers:
-        for c in (x.strip() for x in h.split(sep)):
-            if c not in names:
-                names.append(c)
+    names = list(dict.fromkeys(c for h in headers for c in header_names(h, sep)))
     return rows.select("file", *[F.col("fields").getItem(c).alias(c) for c in names])
 
 
 # ------------------------------------------------------------------ S5-S7: monthly ZIP files
 
 
-def _unzip_lines(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, KeyError, NotImplementedError, RuntimeError, OSError)
+ZIP_BATCH = 10_000
+
+
+def _verified_member(path: str, content: bytes) -> tuple[zipfile.ZipFile, str]:
+    """The archive and its member ``<stem>.csv``, read to its end once: raises if anything in it,
+    checksum included, is wrong."""
+    member = path.rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".csv"
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    with archive.open(member) as stream:
+        while stream.read(1 << 20):
+            pass
+    return archive, member
+
+
+def _unzip_lines(it: Iterator[pd.DataFrame], head_only: bool = False) -> Iterator[pd.DataFrame]:
+    """Lines of verified members in batches; one row with a reason for an archive that is not."""
+    for pdf in it:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            try:
+                archive, member = _verified_member(path, content)
+            except BROKEN as e:
+                yield pd.DataFrame({"file": [path], "line_no": [-1], "line": [None], "reject": [f"{type(e).__name__}: {e}"]})
+                continue
+            with archive.open(member) as stream:
+                lines = (raw.rstrip("\r\n") for raw in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=""))
+                no, batch = 0, []
+                for line in lines:
+                    batch.append(line)
+                    if len(batch) == ZIP_BATCH or head_only:
+                        yield pd.DataFrame({"file": path, "line_no": range(no, no + len(batch)), "line": batch, "reject": None})
+                        no, batch = no + len(batch), []
+                        if head_only:
+                            break
+                if batch:
+                    yield pd.DataFrame({"file": path, "line_no": range(no, no + len(batch)), "line": batch, "reject": None})
+
+
+def _unzip_quotas(it: Iterator[pd.DataFrame], sep: str = ";") -> Iterator[pd.DataFrame]:
+    """Key, date and quota of the verified members that have these columns."""
+    names = ["CNPJ_FUNDO", *QUOTA_COLUMNS, "file", "line_no"]
     for pdf in it:
         for path, content in zip(pdf["path"], pdf["content"]):
-            stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            member = stem + ".csv"
             try:
-                zf = zipfile.ZipFile(io.BytesIO(content))
-                if member not in zf.namelist():
-                    yield pd.DataFrame({"file": [path], "line_no": [-1], "line": [None],
-                                        "reject": [f"member {member} missing"]})
+                archive, member = _verified_member(path, content)
+            except BROKEN:
+                continue
+            with archive.open(member) as stream:
+                rows = csv.reader(io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=""), delimiter=sep)
+                header = [x.strip() for x in next(rows, [])]
+                key = next((c for c in header if "cnpj" in c.lower()), None)
+                if key is None or not set(QUOTA_COLUMNS) <= set(header):
                     continue
-                with zf.open(member) as fh:
-                    batch, no = [], 0
-                    for raw in io.TextIOWrapper(fh, encoding="utf-8", errors="replace", newline=""):
-                        batch.append(raw.rstrip("\r\n"))
-                        no += 1
-                        if len(batch) >= 10_000:
-                            yield pd.DataFrame({"file": path, "line_no": range(no - len(batch), no),
-                                                "line": batch, "reject": None})
-                            batch = []
-                    if batch:
-                        yield pd.DataFrame({"file": path, "line_no": range(no - len(batch), no),
-                                            "line": batch, "reject": None})
-            except zipfile.BadZipFile:
-                yield pd.DataFrame({"file": [path], "line_no": [-1], "line": [None], "reject": ["bad zip"]})
-
-
-def read_zip_lines(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
-    """Lines of ``<stem>.csv`` inside each ZIP (one task per archive, streamed in 10,000-line
-    batches); unreadable archives give one row with a ``reject`` reason."""
-    ship_package(spark)  # the unzip function runs in the Python workers
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).load(root).select("path", "content"))
-    return files.mapInPandas(_unzip_lines, "file string, line_no long, line string, reject string")
-
-
-def detect_key_column(header: str, sep: str = ";") -> str | None:
-    """The first header containing 'cnpj' (case-insensitive)."""
-    for c in (x.strip() for x in header.split(sep)):
-        if "cnpj" in c.lower():
-            return c
-    return None
+                at = [header.index(c) for c in (key, *QUOTA_COLUMNS)]
+                batch = []
+                for no, row in enumerate(rows, 1):
+                    if 0 < len(row) <= len(header):
+                        cells = (row[i] if i < len(row) else "" for i in at)
+                        batch.append((*(None if c.strip() in MISSING else c for c in cells), path, no))
+                    if len(batch) == ZIP_BATCH:
+                        yield pd.DataFrame(batch, columns=names)
+                        batch = []
+                if batch:
+                    yield pd.DataFrame(batch, columns=names)
+
+
+def _archives(spark: SparkSession, root: str | Sequence[str], glob: str) -> DataFrame:
+    ship_package(spark)  # the unzip functions run in the Python workers
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", glob).load(root).select("path", "content"))
+
+
+def read_zip_lines(spark: SparkSession, root: str | Sequence[str], glob: str = "*.zip", head_only: bool = False) -> DataFrame:
+    """Lines of ``<stem>.csv`` inside each ZIP (one task per archive, in batches), only the first
+    with ``head_only``; an unreadable or damaged archive gives one row with a ``reject`` reason and
+    no line."""
+    return _archives(spark, root, glob).mapInPandas(lambda it: _unzip_lines(it, head_only),
+                                                    "file string, line_no long, line string, reject string")
 
 
 def key_column_of(header, sep: str = ";"):
-    """S6 as an expression: the first header name containing 'cnpj' (case-insensitive), else NULL."""
+    """The first header name containing 'cnpj' (case-insensitive), else NULL."""
     names = F.transform(F.split(header, sep), lambda x: F.trim(x))
     return F.get(F.filter(names, lambda x: F.lower(x).contains("cnpj")), 0)
 
 
-def read_monthly_quotas(spark: SparkSession, root: str, sep: str = ";") -> DataFrame:
-    """S5 -> S6 -> S7: (CNPJ_FUNDO, DT_COMPTC, VL_QUOTA, file, line_no) text columns. Archives
-    without an id column or without the quota columns are skipped. Key detection is an expression
-    over each archive's header row (one row per archive, joined back), so nothing per archive
-    runs on the driver."""
-    lines = read_zip_lines(spark, root).where(F.col("reject").isNull())
-    names = F.transform(F.split("header", sep), lambda x: F.trim(x))
-    heads = (lines.where(F.col("line_no") == 0).select("file", F.col("line").alias("header"))
-             .withColumn("_key", key_column_of(F.col("header"), sep))
-             .where(F.col("_key").isNotNull()
-                    & F.array_contains(names, QUOTA_COLUMNS[0]) & F.array_contains(names, QUOTA_COLUMNS[1])))
-    j = lines.where(F.col("line_no") > 0).join(_bounded(heads), "file")  # one row per archive
-    vals = F.split("line", sep)
-    n = F.size(names)
-    m = F.map_from_arrays(names, F.slice(F.concat(vals, F.array_repeat(F.lit(None).cast("string"), n)), 1, n))
-    return (j.where(F.size(vals) <= n)
-            .select(m[F.col("_key")].alias("CNPJ_FUNDO"),
-                    m.getItem("DT_COMPTC").alias("DT_COMPTC"), m.getItem("VL_QUOTA").alias("VL_QUOTA"),
-                    "file", "line_no"))
+def read_monthly_quotas(spark: SparkSession, root: str | Sequence[str], sep: str = ";", glob: str = "*.zip") -> DataFrame:
+    """S5 -> S6 -> S7: (CNPJ_FUNDO, DT_COMPTC, VL_QUOTA, file, line_no) text columns, each archive
+    read once. Archives that are damaged, or lack an id column or the quota columns, are skipped."""
+    return _archives(spark, root, glob).mapInPandas(
+        lambda it: _unzip_quotas(it, sep), "CNPJ_FUNDO string, DT_COMPTC string, VL_QUOTA string, file string, line_no long")
 
 
 # ------------------------------------------------------------------ S8-S12

@@ -1,44 +1,82 @@
-"""Incremental monthly ingestion (K5 + K6 as a stream).
-
-The reference's ``update`` command is a high-water-mark batch: fetch the months after the last
-stored date, then upsert them (new rows win). Here new monthly CSV files landing in a folder are
-picked up by a file-source stream with ``trigger(availableNow=True)``; the stream's checkpoint
-(in the shared checkpoint folder) remembers which files were processed, and every micro-batch is
-merged into the partitioned table with the K5 upsert (dynamic partition overwrite of the touched
-months only), so a rerun after a failure is idempotent by key.
+"""Incremental monthly ingestion (X6: K5 + K6 as a stream).
+
+New monthly files landing in a folder, ZIP archives or CSV files, are picked up by a file stream
+with ``trigger(availableNow=True)``; the stream's checkpoint (in the shared checkpoint folder)
+remembers which files were processed. A micro-batch carries file names only: its files are read by
+the same header-mapped readers as the initial load, filtered by the catalog, reduced to the row of
+the latest (file, line) per key, and merged into the partitioned table with the K5 upsert (dynamic
+overwrite of the touched months only), so a rerun after a failure is idempotent by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import upsert_partitions
+from ..functions.columns import digits_only, nan_to_null
+from ..operators.dedupe import dedupe_keep_last, semi_join_catalog, upsert_partitions
+from ..operators.normalize import lenient_timestamp
 from ..session import ensure_checkpoint_dir
+from ..sources.files import pipeline_status, read_monthly_quotas, scan_csv_tree
+
+FILES = "path string, modificationTime timestamp, length long, content binary"
+KEYS = ("fund_cnpj", "report_date")
 
-QUOTA_SCHEMA = "CNPJ_FUNDO string, DT_COMPTC string, VL_QUOTA string"
 
+def _csv_quotas(spark: SparkSession, paths: Sequence[str], sep: str) -> DataFrame:
+    rows, _ = scan_csv_tree(spark, list(paths), sep)
+    field = lambda name: F.try_element_at("fields", name)
+    key = F.get(F.filter(F.map_keys("fields"), lambda c: F.lower(c).contains("cnpj")), 0)
+    return rows.select(field(key).alias("CNPJ_FUNDO"), field(F.lit("DT_COMPTC")).alias("DT_COMPTC"),
+                       field(F.lit("VL_QUOTA")).alias("VL_QUOTA"), "file", F.lit(None).cast("long").alias("line_no"))
 
-def _to_rows(batch: DataFrame) -> DataFrame:
-    return (batch.select(F.regexp_replace(F.trim("CNPJ_FUNDO"), r"\D", "").alias("fund_cnpj"),
-                         F.to_date(F.try_to_timestamp("DT_COMPTC")).alias("report_date"),
-                         F.col("VL_QUOTA").try_cast("double").alias("quota_value"))
-            .where(F.col("fund_cnpj").isNotNull() & F.col("report_date").isNotNull())
+
+def read_quota_files(spark: SparkSession, paths: Sequence[str], sep: str = ";") -> DataFrame:
+    """Canonical rows (fund_cnpj, report_date, quota_value, month, file, line_no) of monthly files;
+    rows without id or date are dropped."""
+    zips = [p for p in paths if p.lower().endswith(".zip")]
+    texts = [p for p in paths if not p.lower().endswith(".zip")]
+    parts = [read_monthly_quotas(spark, zips, sep)] * bool(zips) + [_csv_quotas(spark, texts, sep) for _ in texts[:1]]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return (rows.select(digits_only("CNPJ_FUNDO").alias("fund_cnpj"), lenient_timestamp(F.col("DT_COMPTC")).cast("date").alias("report_date"),
+                        nan_to_null(F.trim("VL_QUOTA").try_cast("double")).alias("quota_value"), "file", "line_no")
+            .where((F.col("fund_cnpj") != "") & F.col("report_date").isNotNull())
             .withColumn("month", F.date_format("report_date", "yyyy-MM")))
 
 
 def ingest_new_files(spark: SparkSession, landing: str, table_path: str, name: str = "quota-increments",
-                     sep: str = ";") -> None:
-    """Process every not-yet-seen CSV in ``landing`` into the table at ``table_path`` and stop."""
+                     sep: str = ";", catalog: DataFrame | None = None, catalog_id_col: str = "CNPJ_FUNDO") -> None:
+    """Process every not-yet-seen ZIP or CSV file in ``landing`` into the table at ``table_path`` and
+    stop; with ``catalog`` only rows of its funds."""
     ckpt = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{name}"
-    stream = (spark.readStream.schema(QUOTA_SCHEMA).option("header", True).option("sep", sep)
-              .option("recursiveFileLookup", True).csv(landing))
+    stream = (spark.readStream.schema(FILES).format("binaryFile").option("recursiveFileLookup", True)
+              .option("pathGlobFilter", "*.{zip,csv,CSV}").load(landing).select("path"))
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = _to_rows(batch)
-        if not rows.isEmpty():
-            upsert_partitions(batch.sparkSession, table_path, rows, partition_col="month")
+        paths = [r[0] for r in batch.collect()]             # the names of one micro-batch's files
+        if not paths:
+            return
+        rows = read_quota_files(batch.sparkSession, paths, sep)
+        if catalog is not None:
+            rows = semi_join_catalog(rows, catalog, "fund_cnpj", catalog_id_col)
+        rows = dedupe_keep_last(rows, ["file", "line_no"], keys=KEYS).drop("file", "line_no")
+        upsert_partitions(batch.sparkSession, table_path, rows, KEYS, partition_col="month")
+
+    (stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+     .trigger(availableNow=True).start().awaitTermination())
+
 
-    q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def ingest_update(spark: SparkSession, landing: str, table_path: str, catalog: DataFrame | None = None,
+                  name: str = "quota-increments", **options) -> DataFrame:
+    """Ingest what is new and return the status row (S9) with the number of new records."""
+    try:
+        before = spark.read.parquet(table_path).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = 0
+    ingest_new_files(spark, landing, table_path, name, catalog=catalog, **options)
+    return pipeline_status(spark.read.parquet(table_path), "fund_cnpj", "report_date", before)
