@@ -283,7 +283,7 @@ def test_query_matches_oracle_smoke(spark, name):
 
     def norm(cs, rows):
         order = sorted(range(len(cs)), key=lambda i: cs[i])
-        return sorted([tuple(round(r[i], 4) if isinstance(r[i], float) else r[i] for i in order) for r in rows], key=key)
+        return sorted([tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows], key=key)
 
     assert norm(df.columns, [tuple(r) for r in df.collect()]) == norm(cols, cur.fetchall())
 
@@ -296,24 +296,23 @@ def test_streaming_increments_upsert(spark, tmp_path):
     (land / "m1.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n00.000.000/0001-01;2024-01-02;1.0\n"
                                  "00.000.000/0001-01;2024-02-01;2.0\n")
     ingest_new_files(spark, str(land), table, name="t-incr")
-    (land / "m2.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n00.000.000/0001-01;2024-02-01;2.5\n"
-                                 "00.000.000/0001-01;2024-03-01;3.0\n")
+    (land / "m2.csv").write_text("TP_FUNDO;CNPJ_FUNDO_CLASSE;VL_QUOTA;DT_COMPTC\nFI;00.000.000/0001-01;2.5;2024-02-01\n"
+                                 "FI;00.000.000/0001-01;3.0;2024-03-01\n")
     ingest_new_files(spark, str(land), table, name="t-incr")
     got = sorted((str(r["report_date"]), r["quota_value"]) for r in spark.read.parquet(table).collect())
     assert got == [("2024-01-02", 1.0), ("2024-02-01", 2.5), ("2024-03-01", 3.0)]
 
 
 def test_build_features_plan_one_exchange_after_cleaning(spark):
-    """After the cleaning checkpoint, one exchange on fund_cnpj serves the C4 flag window, every
-    per-(dataset, fund) feature window and the fund aggregation."""
+    """One exchange on fund_cnpj serves the C4 flag window, every per-(dataset, fund) feature
+    window and the fund aggregation; the others are the panel's own."""
     from fundlens.plans.build import build_features
     from fundlens.plans.queries_prep import C1_CUT, C2_CUT, fixture_clean_config
     from fundlens.plans.views import panel
 
-    _, fund = build_features(panel(spark, SF), fixture_clean_config(), C2_CUT, C1_CUT)
-    plan = fund._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "hashpartitioning(fund_cnpj" in plan
+    p = panel(spark, SF)
+    _, fund = build_features(p, fixture_clean_config(), C2_CUT, C1_CUT)
+    assert _exchanges(fund) == _exchanges(p) + 1
 
 
 def test_keep_max_is_partially_aggregated(spark):
@@ -336,3 +335,114 @@ def test_load_raw_drops_empty_columns_from_metadata_pass(spark, tmp_path):
     got = sorted((str(r["report_date"]), r["quota_value"], r["num_shareholders"])
                  for r in load_panel(spark, str(tmp_path)).collect())
     assert got == [("2024-01-02", 1.6, 12), ("2024-02-01", 2.0, None)]
+
+
+def _sil(spark, x, labels, **kw):
+    from fundlens.operators.evaluate import silhouette
+
+    rows = [(i, int(lab), [float(v) for v in p]) for i, (p, lab) in enumerate(zip(x, labels))]
+    return silhouette(spark.createDataFrame(rows, "id long, lab int, x array<double>"), "lab", "x", "id", **kw).first()[0]
+
+
+def test_silhouette_coincident_offset_and_mixed_scales(spark):
+    rng = np.random.default_rng(5)
+    same = np.zeros((6, 2))
+    assert _sil(spark, same, [0, 0, 0, 1, 1, 1]) == 0.0
+    labels = np.array([0] * 20 + [1] * 25 + [2] * 3)
+    base = rng.normal(0, 1e-3, (48, 3)) + labels[:, None] * 1e-3
+    for x in (base + 1e6, base * np.array([1.0, 1e7, 1e-5]), base):
+        assert close(_sil(spark, x, labels, block_rows=11), _silhouette_ref(x, labels), 1e-9)
+
+
+def test_evaluate_clusters_on_stacked_labelings(spark):
+    from fundlens.operators.evaluate import evaluate_clusters
+
+    rows = [(f"f{i}", d, k, i % k, float(i), float(i * i)) for d in ("train", "test") for k in (2, 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "fund_cnpj string, dataset string, k int, pred int, a double, b double")
+    out = {(r.dataset, r.k, r.pred): r for r in evaluate_clusters(df, df, ["a", "b"], by=["k", "dataset"]).collect()}
+    assert len(out) == 10 and out[("train", 2, 0)].cluster_size == 5 and out[("test", 3, 1)].a == 4.0
+    x = np.array([[i, i * i] for i in range(9)], float)
+    assert close(out[("test", 3, 1)].silhouette_score, _silhouette_ref(x, np.arange(9) % 3), 1e-9)
+
+
+def test_quantile_rounds_reach_any_spread(spark):
+    from fundlens.operators import quantiles as Q
+
+    x = np.concatenate([[1e280, -1e300, 5e-324, -5e-324, 0.0], np.random.default_rng(2).normal(0, 1e-9, 3000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    old, Q.FETCH_LIMIT = Q.FETCH_LIMIT, 1
+    try:
+        assert Q.kth_smallest(df, "x", 1500) == np.sort(x)[1500]
+        assert Q.kth_smallest(df, "x", len(x) - 1) == 1e280
+    finally:
+        Q.FETCH_LIMIT = old
+
+
+def test_random_split_is_exact_on_repeated_rows(spark):
+    from fundlens.operators.split import split_random
+
+    rows = [("f", D0, 1.0)] * 10 + [("g", D0, float(i)) for i in range(7)] + [("f", D0, 2.0)] * 5
+    df = spark.createDataFrame(rows, "fund_cnpj string, report_date date, v double")
+    for ratio in (0.0, 0.2, 0.5, 0.9):
+        got = {n: sorted(map(tuple, split_random(df.repartition(n), "2030-01-01", ratio, key_cols=["fund_cnpj"]).collect())) for n in (2, 16)}
+        assert got[2] == got[16] and len(got[2]) == 22
+        assert sum(r[-1] == "test" for r in got[2]) == math.ceil(ratio * 22)
+
+
+def test_csv_quotes_missing_tokens_dates_and_width(spark, tmp_path):
+    from fundlens.plans.load import load_raw
+    from fundlens.sources.files import columns_from_fields, scan_csv_tree
+
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.csv").write_text('CNPJ_FUNDO;NM;DT_COMPTC;NR_COTST;VL_QUOTA\n1;"A; ""B""";31/12/2024;NaN;NaN\n2;"C";2024-01-02;7;n/a\n'
+                                          '3;x;01/02/2024;8;1.5\n4;y;bad;9;2;9\nCNPJ_FUNDO;NM;DT_COMPTC;NR_COTST;VL_QUOTA\n')
+    rows, headers = scan_csv_tree(spark, str(tmp_path / "q"))
+    assert sorted(r.NM for r in columns_from_fields(rows, headers).collect()) == ['A; "B"', "C", "x"]
+    got = {r.fund_cnpj: r for r in load_raw(spark, str(tmp_path / "q")).collect()}
+    assert [str(got[i].report_date) for i in "123"] == ["2024-12-31", "2024-01-02", "2024-01-02"]
+    assert got["1"].num_shareholders is None and got["2"].num_shareholders == 7 and got["1"].quota_value is None
+    for width in (10, 70):       # a column that holds one missing token only goes, whatever the width
+        d = tmp_path / str(width)
+        d.mkdir()
+        names = [f"C{i}" for i in range(width)]
+        line = ["1"] * (width - 1) + ["n/a"]
+        (d / "a.csv").write_text(";".join(["CNPJ_FUNDO", *names]) + "\n" + ";".join(["1", *line]) + "\n" + ";".join(["2", *line, "over"]) + "\n")
+        out = load_raw(spark, str(d))
+        assert f"c{width - 1}" not in out.columns and "c0" in out.columns and out.count() == 1
+
+
+def test_layout_of_splits_plays_no_part(spark, tmp_path):
+    from fundlens.sources.files import scan_csv_tree
+
+    for i in range(6):
+        (tmp_path / f"f{i}.csv").write_text("ID;V\n" + "".join(f"{i}{j};{j}\n" for j in range(500)))
+    rows, _ = scan_csv_tree(spark, str(tmp_path))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert rows.count() == 3000 and scan_csv_tree(spark, str(tmp_path))[0].count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_failed_read_leaves_the_table(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from fundlens.operators.dedupe import upsert_partitions
+
+    path = str(tmp_path / "t")
+    row = "fund_cnpj string, report_date date, quota_value double, month string"
+    first = spark.createDataFrame([("a", D0, 1.0, "2024-01"), ("a", D0, 2.0, "2024-01"), ("b", D0, 3.0, "2024-01")], row)
+    upsert_partitions(spark, path, first)
+    assert sorted((r.fund_cnpj, r.quota_value) for r in spark.read.parquet(path).collect()) == [("a", 2.0), ("b", 3.0)]
+    plain = DataFrameReader.parquet
+
+    def broken(self, *paths, **kw):
+        if paths == (path,):
+            raise OSError("the store does not answer")
+        return plain(self, *paths, **kw)
+    monkeypatch.setattr(DataFrameReader, "parquet", broken)
+    with pytest.raises(OSError):
+        upsert_partitions(spark, path, spark.createDataFrame([("a", D0, 9.0, "2024-01")], row))
+    monkeypatch.undo()
+    assert sorted((r.fund_cnpj, r.quota_value) for r in spark.read.parquet(path).collect()) == [("a", 2.0), ("b", 3.0)]
