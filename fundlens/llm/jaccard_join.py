@@ -10,7 +10,8 @@ Cost-based allocation: empty segments are equal in very many sets and cost the m
 with at most ``spare`` of them leaves them all out: as 1 + spare segments of a pair are equal, one
 that holds shingles is among them. A set with more keeps them. Costly segments that hold shingles
 (more than ``SMALL`` sets share one: families of copies, common passages) are not paired off in
-the first place. They first tie all their sets to one pivot, which is linear in their number. Then
+the first place. They first tie all their sets to one pivot, the set that is in most such segments,
+which is linear in their number. Then
 only sets that the verified links leave in different components are compared, in blocks, by parity
 sketches: those differ in no more places than the sets do, so no link is lost.
 
@@ -267,8 +268,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smal
     found = found.groupBy("bucket").applyInArrow(_match(small), "a long, b long, hot boolean")
     found = write_table(found, "candidates")
     hot = found.where("hot").select(F.col("a").alias("seg"), F.col("b").alias("node"))
-    pivots = hot.groupBy("seg").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k"))
-    stars = hot.join(pivots, "seg").where("a <> node").select("a", F.col("node").alias("b"))
+    # the pivot is the set in most hot segments: the text that a family's copies were made from
+    shared = hot.groupBy("node").agg(F.count(F.lit(1)).alias("in_hot"))
+    pivots = hot.join(shared, "node").groupBy("seg").agg(F.max(F.struct("in_hot", "node"))["node"].alias("a"))
+    stars = hot.join(pivots, "seg").where("a <> node").select(
+        F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     pairs = found.where("NOT hot").select("a", "b").union(stars).distinct()
     links = _verified(pairs, classes, docs)
     label = components(links)

@@ -92,10 +92,10 @@ def set_digests(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(h: np.ndarray) -> bytes:
-    """A bit per bucket of the hashes' lower bits, set if the bucket holds an odd number of them; as
-    many buckets as shingles, rounded up to a power of two, 64 at least. The sketches of two sets
-    differ in no more places than the sets do."""
-    bits = max(64, 1 << int(max(1, len(h)) - 1).bit_length())
+    """A bit per bucket of the hashes' lower bits, set if the bucket holds an odd number of them; four
+    buckets a shingle, rounded up to a power of two, 64 at least. The sketches of two sets differ in
+    no more places than the sets do, and in nearly as many."""
+    bits = max(64, 1 << int(4 * max(1, len(h)) - 1).bit_length())
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
