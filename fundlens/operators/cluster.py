@@ -22,9 +22,11 @@ from .preprocess import DATASET, LOOK_FEATURES, PREPROCESSING
 
 @dataclass
 class ModelSpec:
-    """A named estimator factory: ``build(k) -> Spark ML estimator`` with featuresCol ``_features``."""
+    """A named model: ``build(k)`` gives a Spark ML estimator with featuresCol ``_features``, or
+    ``label(x, k)`` labels every row by a rule fitted on the train rows (adds ``pred``)."""
     name: str
-    build: Callable[[int], object]
+    build: Callable[[int], object] | None = None
+    label: Callable[[DataFrame, int], DataFrame] | None = None
 
 
 def kmeans(k: int = 2, seed: int = 0, max_iter: int = 300) -> KMeans:
@@ -46,7 +48,27 @@ def best_gmm(x: DataFrame, k: int, n_init: int = 1, seed: int = 0):
 
 
 MODELS = {"KMeansTrainer": ModelSpec("KMeansTrainer", lambda k: kmeans(k)),
-          "GMMTrainer": ModelSpec("GMMTrainer", lambda k: gmm(k))}
+          "GMMTrainer": ModelSpec("GMMTrainer", lambda k: gmm(k)),
+          "QuantileBins": ModelSpec("QuantileBins", label=lambda x, k: quantile_bins(x, "sharpe", k))}
+
+
+def quantile_bins(df: DataFrame, col: str, k: int, dataset_col: str = DATASET, fit_on: str = "train",
+                  out: str = "pred") -> DataFrame:
+    """A deterministic baseline: the label is the number of exact train quantiles i / k of ``col``
+    (i = 1..k-1) that lie below the value. ``df`` is scanned several times: pass a written table."""
+    from .quantiles import exact_quantiles
+
+    cuts = exact_quantiles(df.where(F.col(dataset_col) == fit_on), [col], [i / k for i in range(1, k)], materialize=False)
+    return df.withColumn(out, sum(((F.col(col) > F.lit(q)).cast("int") for q in cuts.values()), F.lit(0)))
+
+
+def labeled_by(x: DataFrame, model: str, k: int, keys: Sequence[str], features: Sequence[str] | None = None,
+               dataset_col: str = DATASET, fit_on: str = "train") -> DataFrame:
+    """Every row of ``x`` with the label of the named model fitted on the train rows."""
+    spec = MODELS[model]
+    if spec.label is not None:
+        return spec.label(x, k)
+    return fit_train_predict_all(x, spec.build(k), features, dataset_col, fit_on, keys)
 
 
 def _features_of(df: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -90,7 +112,7 @@ def labelings(raw: DataFrame, models: Sequence[str], clusters: Sequence[int], pr
         features = _features_of(x, (key, dataset_col))
         for m in models:
             for k in clusters:
-                one = fit_train_predict_all(x, MODELS[m].build(k), keys=(key, dataset_col)).select(
+                one = labeled_by(x, m, k, (key, dataset_col)).select(
                     key, dataset_col, "pred", F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
                     F.lit(m).alias("model"), F.lit(k).alias("n_clusters"), F.lit(p).alias("preprocessing"))
                 stacked = one if stacked is None else stacked.unionByName(one)
@@ -140,8 +162,8 @@ def score_subsets(x: DataFrame, model: str, k: int, subsets: dict[str, list[str]
     labelings are stacked and scored in one pass."""
     stacked = None
     for name, cols in subsets.items():
-        one = fit_train_predict_all(x.select(key, dataset_col, *cols), MODELS[model].build(k), cols, dataset_col, fit_on,
-                                    keys=(key, dataset_col)).where(F.col(dataset_col) == score_on)
+        one = labeled_by(x.select(key, dataset_col, *cols), model, k, (key, dataset_col), cols, dataset_col, fit_on
+                         ).where(F.col(dataset_col) == score_on)
         one = one.select(F.lit(name).alias("subset"), key, "pred", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
         stacked = one if stacked is None else stacked.unionByName(one)
     scored = silhouette(write_table(stacked, "subsets"), "pred", "x", key, by=["subset"])

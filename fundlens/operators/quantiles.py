@@ -51,10 +51,14 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
     finite = long.where(~F.col("v").isin(float("inf"), float("-inf")))
 
     def tagged(targets_):
-        # one row per (value, target whose [lo, hi] range holds it); targets are a handful of literals
-        tags = F.array(*[F.when((F.col("k") == F.lit(s["k"])) & (F.col("v") >= F.lit(s["lo"]))
-                                & (F.col("v") <= F.lit(s["hi"])), F.lit(t)) for t, s in targets_.items()])
-        return finite.select("v", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("tid"))
+        # one row per (value, target of its column whose [lo, hi] range holds it)
+        per: dict[str, list] = {}
+        for t, st in targets_.items():
+            per.setdefault(st["k"], []).append(F.struct(F.lit(t).alias("tid"), F.lit(st["lo"]).alias("lo"), F.lit(st["hi"]).alias("hi"),
+                                                        F.lit(st["coarse"]).alias("coarse")))
+        of = F.create_map(*[x for k, ts in per.items() for x in (F.lit(k), F.array(*ts))])
+        mine = F.filter(F.try_element_at(of, F.col("k")), lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))
+        return finite.where(F.col("k").isin(*per)).select("v", F.explode(mine).alias("t")).select("v", "t.*")
 
     while state:
         fetch = {t: s for t, s in state.items() if s["n"] <= FETCH_LIMIT}
@@ -66,17 +70,11 @@ def _select_ranks(long: DataFrame, targets: dict[int, tuple[str, int]], stats: d
                 out[t] = float(vs[s["rank"]])
                 del state[t]
         if narrow:
-            lo = F.element_at(F.array(*[F.lit(narrow[t]["lo"]) for t in narrow]), F.col("_i"))
-            hi = F.element_at(F.array(*[F.lit(narrow[t]["hi"]) for t in narrow]), F.col("_i"))
-            idx = {t: i + 1 for i, t in enumerate(narrow)}
-            pos_of = F.element_at(F.create_map(*[x for t in narrow for x in (F.lit(t), F.lit(idx[t]))]), F.col("tid"))
-            first = F.element_at(F.array(*[F.lit(narrow[t]["coarse"]) for t in narrow]), F.col("_i"))
             power = F.floor(F.log2(F.abs(F.col("v")))) + 2000       # positive for every finite double
             signed = F.when(F.col("v") == 0, F.lit(0)).when(F.col("v") > 0, power).otherwise(-power)
-            part = F.least(F.floor((F.col("v") - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
-            bucket = F.when(first, signed).otherwise(part).cast("int")
-            hist = (tagged(narrow).withColumn("_i", pos_of)
-                    .groupBy("tid", bucket.alias("b"))
+            part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+            bucket = F.when(F.col("coarse"), signed).otherwise(part).cast("int")
+            hist = (tagged(narrow).groupBy("tid", bucket.alias("b"))
                     .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                     .collect())  # <= targets x BUCKETS rows
             per: dict[int, list] = {}

@@ -343,7 +343,18 @@ def v5_null_summary(spark, sf_dir):
     return null_summary(_null_panel(spark, sf_dir))
 
 
-@register("v6_feature_summary")
+_V6_COLS = {**dict(zip(_PCOLS[2:], _PTYPES[2:])), "return": "double", "gross_by_net": "double", "vol_5": "double", "vol_10": "double",
+            "vol_15": "double", "drawdown": "double", "time_in_drawdown": "int"}
+_V6_SQL = f"WITH {S.PANEL_CTE},{S.daily_features_sql('panel')}\n" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column, '{t}' AS dtype, count(x) AS non_null_count, count(*) - count(x) AS null_count,
+  round((count(*) - count(x)) / count(*) * 100, 6) AS null_pct, count(DISTINCT x) AS unique_count, round(avg(x), 6) AS mean,
+  round(stddev_samp(x), 6) AS std, round(CAST(min(x) AS DOUBLE), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25,
+  round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, round(CAST(max(x) AS DOUBLE), 6) AS max,
+  '{FE.FEATURE_DESCRIPTIONS.get(c, "").replace(chr(39), chr(39) * 2)}' AS description FROM (SELECT CAST("{c}" AS DOUBLE) AS x FROM d8)"""
+    for c, t in _V6_COLS.items())
+
+
+@register("v6_feature_summary", _V6_SQL)
 def v6_feature_summary(spark, sf_dir):
     """V6: describe every numeric daily feature (exact quartiles, one pass + one quantile search)."""
     daily = FE.create_features(panel(spark, sf_dir), dedupe=False)

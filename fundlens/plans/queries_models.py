@@ -83,6 +83,16 @@ def p3_pca(spark, sf_dir):
     return P.pca(exp_input(spark, sf_dir))
 
 
+@register("p3_pca_norms", _X7_CTES + ",\nmu AS (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in LOOK)
+          + " FROM ex WHERE dataset = 'train')\nSELECT ex.fund_cnpj, ex.dataset, round("
+          + " + ".join(f"(ex.{c} - mu.{c}) * (ex.{c} - mu.{c})" for c in LOOK) + ", 6) AS squared_norm FROM ex, mu")
+def p3_pca_norms(spark, sf_dir):
+    """All components together keep every row's squared distance from the train mean."""
+    out = P.pca(exp_input(spark, sf_dir))
+    axes = [c for c in out.columns if c.startswith("pca_")]
+    return out.select("fund_cnpj", "dataset", sum((F.col(c) * F.col(c) for c in axes), F.lit(0.0)).alias("squared_norm"))
+
+
 @register("p4_pca_scaling")
 def p4_pca_scaling(spark, sf_dir):
     return P.pca_scaling(exp_input(spark, sf_dir))
@@ -328,6 +338,17 @@ def m12_stability_report(spark, sf_dir):
     return EV.stability_report(EV.select_config(bins_results(spark, sf_dir)), _STAB)
 
 
+@register("x8_run_and_report", _M12_SQL.replace(
+    "\nSELECT feature, ", "\nSELECT feature, (SELECT any_value(model) FROM best) AS model, (SELECT any_value(n_clusters) FROM best) "
+    "AS n_clusters, (SELECT any_value(preprocessing) FROM best) AS preprocessing, (SELECT count(*) FROM res WHERE dataset = "
+    "'validation' AND silhouette_score = (SELECT max(silhouette_score) FROM res WHERE dataset = 'validation')) AS n_best, "))
+def x8_run_and_report(spark, sf_dir):
+    """The grid of the deterministic model, from the fund table to the stability report."""
+    from .report import run_and_report
+
+    return run_and_report(fund_table(spark, sf_dir), models=("QuantileBins",), preprocessing=("just_filter",))
+
+
 @register("m13_backward_feature_selection")
 def m13_backward_feature_selection(spark, sf_dir):
     """Greedy backward elimination (k-means k=3, fit on train, silhouette on test)."""
