@@ -1,6 +1,6 @@
 import random
 
-from conftest import CLASHING, corner_rows, make, same, sentence
+from corpora import CLASHING, corner_rows, make, same, sentence
 from fundlens.llm import decontaminate
 
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from conftest import CLASHING, corner_rows, make, sentence
+from corpora import CLASHING, corner_rows, make, sentence
 from fundlens.llm import jaccard_join
 from fundlens.llm.shingles import parity_sketch, sketch_distance
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import CLASHING, corner_rows, make, same, sentence
+from corpora import CLASHING, corner_rows, make, same, sentence
 from fundlens.llm import mixing, quality_rules
 
 

@@ -4,7 +4,7 @@ import json
 import random
 import re
 
-from conftest import CLASHING, corner_rows, make, same, sentence
+from corpora import CLASHING, corner_rows, make, same, sentence
 from fundlens.llm import licenses, secrets
 
 

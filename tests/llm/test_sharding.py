@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest import CLASHING, corner_rows, make
+from corpora import CLASHING, corner_rows, make
 from fundlens.llm import sharding
 
 

@@ -1,6 +1,6 @@
 import random
 
-from conftest import CLASHING, corner_rows, make, sentence
+from corpora import CLASHING, corner_rows, make, sentence
 from fundlens.llm import token_counts as T
 
 

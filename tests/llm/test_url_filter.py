@@ -1,7 +1,7 @@
 import random
 import re
 
-from conftest import CLASHING
+from corpora import CLASHING
 from fundlens.llm import url_filter
 
 

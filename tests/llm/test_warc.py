@@ -1,7 +1,7 @@
 import gzip
 import hashlib
 
-from conftest import CLASHING, same
+from corpora import CLASHING, same
 from fundlens.llm import warc
 
 
