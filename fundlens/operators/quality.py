@@ -44,6 +44,12 @@ def missing_id_report(df: DataFrame, id_col: str = ID, date_col: str = DATE, k:
     return top.withColumn("missing_id_rows", F.lit(total).cast("long"))
 
 
+def missing_id_samples(df: DataFrame, id_col: str = ID, date_col: str = DATE, k: int = 5) -> DataFrame:
+    """V2 sample: the first ``k`` rows without an id by date, then by the other columns (top-k)."""
+    rest = [c for c in df.columns if c not in (id_col, date_col)]
+    return df.where(F.col(id_col).isNull() | (F.col(id_col) == "")).orderBy(date_col, *rest).limit(k)
+
+
 def load_stats(df: DataFrame, id_col: str = ID, date_col: str = DATE) -> DataFrame:
     """V3: rows, columns, unique ids, NULL and '' id counts with percentages, date range."""
     c = F.col(id_col)
@@ -69,6 +75,17 @@ def table_profile(df: DataFrame) -> DataFrame:
         F.round(F.when(F.col("_rows") > 0, F.col("_s.nulls") / F.col("_rows") * 100), 2).alias("null_pct"))
 
 
+def table_totals(df: DataFrame, id_col: str = ID, date_col: str = DATE) -> DataFrame:
+    """V4 totals: rows, columns, how many columns have each type (``type:n`` by name), distinct and
+    missing ids, date range."""
+    kinds = [t for _, t in df.dtypes]
+    histogram = ",".join(f"{t}:{kinds.count(t)}" for t in sorted(set(kinds)))
+    missing = F.col(id_col).isNull() | (F.col(id_col) == "")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(kinds)).alias("columns"), F.lit(histogram).alias("types"),
+                  F.countDistinct(F.when(~missing, F.col(id_col))).alias("unique_ids"), F.count_if(missing).alias("missing_ids"),
+                  F.min(date_col).alias("min_date"), F.max(date_col).alias("max_date"))
+
+
 def top_ids(df: DataFrame, id_col: str = ID, k: int = 10) -> DataFrame:
     """V4 companion: the ``k`` ids with most rows."""
     return top_k_counts(df, id_col, k)

@@ -403,6 +403,24 @@ def v2_missing_id_report(spark, sf_dir):
     return V.missing_id_report(_catalog_ids(spark, sf_dir))
 
 
+@register("v2_missing_id_samples", f"""WITH {S.PANEL_CTE},
+c AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cid FROM supplier WHERE s_acctbal > 0)
+SELECT NULL::VARCHAR AS fund_cnpj, p.report_date FROM panel p WHERE p.fund_cnpj NOT IN (SELECT cid FROM c) ORDER BY 2 LIMIT 5""")
+def v2_missing_id_samples(spark, sf_dir):
+    """V2: the five earliest rows whose catalog-resolved id is missing."""
+    return V.missing_id_samples(_catalog_ids(spark, sf_dir))
+
+
+@register("v4_table_totals", f"""WITH {S.PANEL_CTE},
+c AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cid FROM supplier WHERE s_acctbal > 0)
+SELECT count(*) AS rows, 2 AS columns, 'date:1,string:1' AS types, count(DISTINCT cid) AS unique_ids,
+       count(*) FILTER (WHERE cid IS NULL) AS missing_ids, min(report_date) AS min_date, max(report_date) AS max_date
+FROM panel LEFT JOIN c ON fund_cnpj = cid""")
+def v4_table_totals(spark, sf_dir):
+    """V4: totals of the panel with catalog-resolved ids."""
+    return V.table_totals(_catalog_ids(spark, sf_dir))
+
+
 _V10_SQL = """SELECT source, sum(n_chars) AS bytes, CASE
   WHEN sum(n_chars) < 1024 THEN printf('%.1f B', sum(n_chars))
   WHEN sum(n_chars) / 1024.0 < 1024 THEN printf('%.1f KB', sum(n_chars) / 1024.0)
