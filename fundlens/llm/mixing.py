@@ -7,8 +7,9 @@ documents are ranked by the odds of a hashed random number over the odds of thei
 the ranking is cut where the source's remaining words are reached.
 
 Scale: targets come from one map-side combined count per cell. The cut is found without sorting a
-source, however many rows it holds: words per (source, rank bucket), 65,536 buckets, are summed
-along the buckets, and only the one bucket that the cut falls into is ordered by rows. A cut per
+source, however many rows it holds: words per (source, slice of the ranking) are summed along 256
+slices, then along the 256 parts of the slice that the cut falls into, and only the rows of one
+part are ordered. A cut per
 source then decides every row on its own, so no text is shuffled. Built-in expressions only.
 
 Defined cases: a null text has size 0 and takes no words; null is a source of its own, the last
@@ -28,7 +29,7 @@ from .common import small_side
 from .text import fresh, pinned, whole, words
 
 WEIGHTS, CEILING = (5, 2, 1), 3
-BUCKET_BITS, KEY_BITS = 16, 52
+BUCKET_BITS, KEY_BITS = (8, 16), 52
 GRADES = "CASE WHEN size >= 50 THEN 2 ELSE 1 END"   # longer documents are preferred two to one
 
 
@@ -89,19 +90,25 @@ def ranked(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
     out = rows.join(small_side(c), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("grade") == F.col("c_grade")))
     y = F.col("u") / (1 - F.col("u")) * F.col("c_pull")
     key = F.least(F.floor(y / (1 + y) * float(1 << KEY_BITS)), F.lit((1 << KEY_BITS) - 1)).cast("long")
-    return out.withColumn("key", key).withColumn("bucket", F.shiftright("key", KEY_BITS - BUCKET_BITS))
+    return out.withColumn("key", key).withColumn("bucket", F.shiftright("key", KEY_BITS - BUCKET_BITS[-1]))
 
 
 def cuts(base: DataFrame, by_cell: DataFrame) -> DataFrame:
     """Per source: the bucket of the cut, the last taken (key, tie) in it and the share of the rows
     tied there to take."""
     rows = ranked(base, by_cell).where("c_pull IS NOT NULL")
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    b = (rows.groupBy("source", "bucket").agg(F.sum("size").alias("w"), F.first("c_left").alias("left"))
-         .withColumn("before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
-         .where("before <= left AND left < before + w")
-         .select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before", "left"))
-    b = write_table(b, "mixcuts")
+    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    b = None
+    for bits in BUCKET_BITS:                               # the cut's slice, then its slice within that
+        inside = rows.withColumn("start", F.lit(0)) if b is None else rows.join(
+            small_side(b), F.col("source").eqNullSafe(F.col("b_source")) & (F.shiftright("key", KEY_BITS - outer) == F.col("b_bucket"))
+        ).withColumn("start", F.col("before"))
+        g = (inside.withColumn("slice", F.shiftright("key", KEY_BITS - bits)).groupBy("source", "slice")
+             .agg(F.sum("size").alias("w"), F.first("c_left").alias("left"), F.first("start").alias("start"))
+             .withColumn("before", F.col("start") + F.coalesce(F.sum("w").over(upto), F.lit(0)))
+             .where("before <= left AND left < before + w")
+             .select(F.col("source").alias("b_source"), F.col("slice").alias("b_bucket"), "before", "left"))
+        b, outer = write_table(g, "mixcuts"), bits
     tied = (rows.join(small_side(b), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
             .groupBy("source", "bucket", "key", "tie").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"),
                                                            F.first("size").alias("one"), F.first("before").alias("before"),
