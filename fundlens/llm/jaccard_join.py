@@ -66,7 +66,7 @@ def bands(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segment hashes of the sets and the index of the set each belongs to. Sets of fewer than five
+    """Segment hashes of the sets and the index of the set each belongs to. Sets of fewer than four
     shingles link only with equal ones and have none at their own band."""
     n = np.diff(off)
     upper, segments, spares = bands(int(n.max(initial=1)))

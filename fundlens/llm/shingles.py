@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20            # text hashed at once; a longer single text is a chunk of its own
+CHUNK_BYTES = 2 << 20            # text hashed at once; a longer single text is a chunk of its own
 _RNG = np.random.default_rng(20240501)
 BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE[65:91] = BYTE[97:123]       # A-Z as a-z
