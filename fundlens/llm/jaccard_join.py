@@ -44,7 +44,7 @@ from ..session import write_table
 from .common import small_side
 from .components import components
 from .shingles import mix, parity_sketch, set_digests, shingle_sets, sketch_distance, text_chunks
-from .text import fresh
+from .text import fresh, whole
 
 BUCKET_ROWS = 1_500_000          # segment hashes in a bucket, on average
 SMALL = 12                       # sets sharing a segment that are paired off at once
@@ -103,15 +103,15 @@ def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, node (digest of the set, 0 if empty), n_shingles, parity sketch."""
+    """id, text, its hash -> id, hash, node (digest of the set, 0 if empty), n_shingles, parity sketch."""
     for batch in batches:
         for at, data, off in text_chunks(batch.column(1)):
             h, o = shingle_sets(data, off)
             node = set_digests(h, o).astype(np.int64)
             sketch = [parity_sketch(h[a:b]) if b > a else None for a, b in zip(o[:-1], o[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(off) - 1), pa.array(node),
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(off) - 1) for c in (0, 2)), pa.array(node),
                                               pa.array(np.diff(o)), pa.array(sketch, pa.binary())],
-                                             ["doc", "node", "n", "sketch"])
+                                             ["doc", "th", "node", "n", "sketch"])
 
 
 def _index(buckets: int):
@@ -256,12 +256,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Every row's id (``doc``), node (its set), n, and the component's smallest id."""
+    """Every row's id (``doc``), hash of its text (``th``), node (its set), n, the component's smallest
+    id, and its first member (``first``: without an id or not, id, node, hash of the text)."""
     docs = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("t"))
     id_type = docs.schema["doc"].dataType.simpleString()
-    rows = write_table(docs.mapInArrow(_describe, f"doc {id_type}, node long, n long, sketch binary"), "sets")
+    rows = docs.withColumn("th", F.xxhash64(whole("t"))).mapInArrow(_describe, f"doc {id_type}, th long, node long, n long, sketch binary")
+    rows = write_table(rows, "sets")
+    member = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "node", "th")
     classes = write_table(rows.where("n > 0").groupBy("node").agg(
-        F.min("doc").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        F.min("doc").alias("rep"), F.min(member).alias("first"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(shingles * 0.65) // BUCKET_ROWS)
     found = docs.select("t").mapInArrow(_index(buckets), "bucket long, nodes binary, sizes binary, counts binary, sigs binary")
@@ -292,9 +295,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smal
         more = _verified(across, classes, docs)
         label = components(links.union(more))
     label = write_table(label, "labels")
-    of_class = classes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = of_class.groupBy("label").agg(F.min("rep").alias("component"))
-    of_class = write_table(of_class.join(ids, "label").select("node", "component"), "components")
+    of_class = classes.select("node", "rep", "first").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = of_class.groupBy("label").agg(F.min("rep").alias("component"), F.min("first").alias("first"))
+    of_class = write_table(of_class.select("node", "label").join(ids, "label").select("node", "component", "first"), "components")
     return rows.drop("sketch").join(of_class, "node", "left").withColumn(
         "component", F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component")))
 
@@ -304,10 +307,24 @@ def digest(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id. Rows that share this
-    id and their text stay (they are one document, repeated); documents without words all stay."""
-    made = linked(docs, id_col, text_col)
-    gone = made.where(F.col("component").isNotNull() & ~F.col("doc").eqNullSafe(F.col("component"))).select("doc").distinct()
-    doc = fresh(docs, "_doc")
-    gone = write_table(gone.select(F.col("doc").alias(doc)), "gone")
-    return docs.join(small_side(gone, 500_000), F.col(f"`{id_col}`").eqNullSafe(F.col(doc)), "left_anti")
+    """``docs`` with one document of each component, that with the smallest id (null ids last; then by
+    set and text). Rows that share this id and this text stay (they are one document, repeated); of
+    rows without an id one stays, that with the smallest hash of all its columns. Documents without
+    words all stay. Rows are told apart by id and hash of the text."""
+    made = linked(docs, id_col, text_col).where("n > 0")
+    first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    made = made.groupBy("doc", "th").agg(F.bool_or(first).alias("stays"), F.count(F.lit(1)).alias("copies"))
+    doc, th = fresh(docs, "_doc"), fresh(docs, "_th")
+    odd = made.where(~F.col("stays") | (F.col("doc").isNull() & (F.col("copies") > 1)))
+    odd = write_table(odd.select(F.col("doc").alias(doc), F.col("th").alias(th), "stays"), "gone")
+    own_th = F.xxhash64(whole(F.col(f"`{text_col}`").cast("string")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (own_th == F.col(th))
+    out = docs.join(small_side(odd.select(doc, th), 500_000), same, "left_anti")
+    again = odd.where("stays")
+    if not again.limit(1).count():
+        return out
+    row = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(docs.columns)])
+    again = docs.where(F.col(f"`{id_col}`").isNull()).select(row.alias("row_"), own_th.alias("th_")).join(
+        small_side(again.select(F.col(th).alias("th_")), 500_000), "th_", "left_semi")
+    again = again.groupBy("th_").agg(F.min_by("row_", F.xxhash64(F.to_json("row_"))).alias("row_"))
+    return out.unionByName(again.select(*[F.col("row_")[f"f{i}"].alias(c) for i, c in enumerate(docs.columns)]))

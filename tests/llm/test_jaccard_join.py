@@ -95,3 +95,24 @@ def test_signatures_never_miss_a_pair():
             sig, who = jaccard_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
             assert len(np.intersect1d(sig[who == 0], sig[who == 1])) or (len(a) == both == len(b))
             assert sketch_distance(parity_sketch(a), parity_sketch(b)) <= len(a) + len(b) - 2 * both
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    base, other, third, fourth, lone = (sentence(rng, 60) for _ in range(5))
+    near = lambda t, w: t + " " + w
+    rows = [(1, base, "a"), (None, near(base, "x"), "a"), (None, lone, "a"), (None, "", "a"), (None, None, "a"),
+            # an id with two texts: one a copy of document 1, the other first of its own group
+            (7, near(base, "y"), "a"), (7, other, "a"), (9, near(other, "z"), "a"),
+            # groups without ids, one of copies
+            (None, third, "a"), (None, near(third, "x"), "b"), (None, near(third, "y"), "c"),
+            (None, fourth, "a"), (None, fourth, "b"), (None, fourth, "b"), (20, sentence(rng, 30), "a"), (20, rows_text := sentence(rng, 31), "a"), (20, rows_text, "b")]
+    docs = make(spark, rows, CLASHING)
+    out = jaccard_join.one_of_each(docs.repartition(5))
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    sure = [(d, t) for d, t, _ in rows if (d, t) in [(1, base), (None, lone), (None, ""), (None, None), (7, other)] or d == 20]
+    groups = [[third, near(third, "x"), near(third, "y")], [fourth]]
+    assert sorted((x for x in got if x[1] not in sum(groups, [])), key=repr) == sorted(sure, key=repr)
+    for texts in groups:
+        assert [d for d, t in got if t in texts] == [None]
