@@ -7,6 +7,12 @@ armour, base64 or hex whose nested DER lengths add up to a private key (PKCS#1,
 OpenSSH private keys whose length-prefixed fields parse. A public key, a certificate or a random
 string that merely decodes is not reported.
 
+Keys are looked for at every place of a run, not only at its first character, and may be broken into
+lines, by real line breaks or by escaped ones (a backslash and a letter, as in JSON and .env files).
+The span of a bare key ends where its own lengths say; bare keys inside a confirmed armour belong to
+it. Encrypted armour with header lines (Proc-Type, DEK-Info) is confirmed by its headers and a body of
+whole cipher blocks.
+
 One pass over the texts in Arrow batches, without a shuffle; a text is scanned whole. Offsets are
 code points, the end exclusive.
 
@@ -22,7 +28,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +39,16 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")         # a run is taken whole, so a minimum length is the same as a filter
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-LONG_HEX = re.compile(r"[0-9a-fA-F]{64,}")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+ESCAPED = re.compile(r"\\+[nrt]")                  # line breaks of JSON and .env files
+DEK = re.compile(r"DEK-Info: *[A-Z0-9-]+, *(?:[0-9A-Fa-f]{2})+")
+PIECE = re.compile(r"[A-Za-z0-9+/]+")
+HEX_PIECE = re.compile(r"[0-9a-fA-F]+")
+BREAK = re.compile(r"[ \t]*(?:\\+[nr]|[\r\n])(?:\\+[nrt]|\s)*")
+# how a sequence that begins with a version number, and an OpenSSH key, begin; a line may end between any two characters
+DER_START = re.compile("M~(?:[A-H]~[AEIMQUYcgkosw048]~C|I~[E-T])".replace("~", f"(?:{BREAK.pattern})?"))
+OPENSSH_START = re.compile(f"(?:{BREAK.pattern})?".join("b3BlbnNzaC1rZXktdjE"))
+HEX_START = re.compile("3~0~(?:[0-7]~.|8~[1-4])".replace("~", f"(?:{BREAK.pattern})?"))
 OPENSSH = b"openssh-key-v1\x00"
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
@@ -86,19 +99,98 @@ def is_private_der(raw: bytes) -> bool:
 
 def is_openssh(raw: bytes) -> bool:
     """The cipher, the derivation and its options, the number of keys, the public and private parts."""
-    if not raw.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
-    for field in range(6):
-        if at + 4 > len(raw):
-            return False
-        n, at = int.from_bytes(raw[at:at + 4], "big"), at + 4
+    size = openssh_size(lambda a, b: raw[a:b])
+    return size is not None and size <= len(raw)
+
+
+def openssh_size(part: Callable[[int, int], bytes]) -> int | None:
+    """Bytes of the OpenSSH key whose bytes a to b are ``part(a, b)``."""
+    if part(0, len(OPENSSH)) != OPENSSH:
+        return None
+    at, field, fields = len(OPENSSH), 0, 6
+    while field < fields:
+        size = part(at, at + 4)
+        if len(size) < 4:
+            return None
+        n, at = int.from_bytes(size, "big"), at + 4
         if field == 3:
             if not 1 <= n <= 16:
-                return False
-            continue
-        at += n
-    return at <= len(raw)
+                return None
+            fields = 5 + n                                  # n public parts and the private one
+        else:
+            at += n
+        field += 1
+    return at
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with ``head``, if its first field is a version number and
+    the next one may be a private key's."""
+    if len(head) < 2 or head[0] != SEQUENCE:
+        return None
+    more = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if more > 4 or head[1] == 0x80:
+        return None
+    at = 2 + more
+    size = int.from_bytes(head[2:at], "big") if more else head[1]
+    version = head[at:at + 4]
+    if len(version) < 4 or version[:2] != b"\x02\x01" or version[2] > 3 or version[3] not in (INTEGER, SEQUENCE, OCTETS):
+        return None
+    return at + size
+
+
+def gathered(text: str, at: int, count: int, piece: re.Pattern = PIECE) -> tuple[str, int]:
+    """Up to ``count`` characters from ``at`` on without the line breaks between them, and their end."""
+    parts, end = [], at
+    while count > 0 and (m := piece.match(text, at, at + count)):
+        parts.append(m[0])
+        count, end = count - len(m[0]), m.end()
+        pause = BREAK.match(text, end) if count else None
+        if not pause:
+            break
+        at = pause.end()
+    return "".join(parts), end
+
+
+def bare_der(text: str, at: int, is_hex: bool = False) -> int | None:
+    """The end of the private key in base64 or hex that begins at ``at``."""
+    piece = HEX_PIECE if is_hex else PIECE
+    chars = lambda n: 2 * n if is_hex else -(-4 * n // 3)
+    plain = lambda t: bytes.fromhex(t[:len(t) & ~1]) if is_hex else decoded(t[:len(t) & ~3])
+    size = der_size(plain(gathered(text, at, 24, piece)[0]) or b"")
+    if size is None or chars(size) > len(text) - at:
+        return None
+    body, end = gathered(text, at, chars(size), piece)
+    if len(body) < chars(size):
+        return None
+    # the last character may hold bits of what follows
+    raw = bytes.fromhex(body) if is_hex else (decoded(body + "A" * (-len(body) % 4)) or b"")[:size]
+    if not is_private_der(raw):
+        return None
+    return end if is_hex else end + len(re.compile("={0,2}").match(text, end)[0])
+
+
+def bare_openssh(text: str, at: int) -> int | None:
+    """The end of the OpenSSH key in base64 that begins at ``at``."""
+    body, _ = gathered(text, at, len(text))
+    part = lambda a, b: (decoded(body[a // 3 * 4:-(-b // 3) * 4]) or b"")[a - a // 3 * 3:][:b - a]
+    size = openssh_size(part)
+    if size is None or -(-4 * size // 3) > len(body):
+        return None
+    end = gathered(text, at, -(-4 * size // 3))[1]
+    return end + len(re.compile("={0,2}").match(text, end)[0])
+
+
+def is_armoured_key(label: str, body: str) -> bool:
+    """A private key between the lines of its armour."""
+    lines = [line.strip() for line in re.split(r"[\r\n]", ESCAPED.sub("\n", body).replace("\\/", "/"))]
+    headers = [line for line in lines if ":" in line]
+    raw = decoded(re.sub(r"[\s\\]", "", "".join(line for line in lines if ":" not in line)))
+    if raw is None:
+        return False
+    if any(h.startswith("Proc-Type:") and h.endswith("ENCRYPTED") for h in headers):
+        return len(raw) >= 32 and len(raw) % 8 == 0 and any(DEK.fullmatch(h) for h in headers)
+    return is_private_der(raw) or is_openssh(raw) or (label.startswith("ENCRYPTED") and der_fields(raw) is not None)
 
 
 def is_token_header(part: str) -> bool:
@@ -124,20 +216,28 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         for m in TOKEN.finditer(text):
             if is_token_header(m[1]) and decoded(m[2], url=True) is not None:
                 out.append((m.start(), 3, m.end()))
+    armoured = []
     if "-----BEGIN" in text:
-        for m in ARMOUR.finditer(text):
-            raw = decoded(re.sub(r"\s", "", m[2]))
-            if raw is not None and (is_private_der(raw) or is_openssh(raw) or (
-                    m[1].startswith("ENCRYPTED") and der_fields(raw) is not None)):
-                out.append((m.start(), 4, m.end()))
-    for m in BASE64.finditer(text):
-        if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC1rZXktdjE"):          # a DER sequence, an OpenSSH key
-            raw = decoded(m[0])
-            if raw is not None and (is_private_der(raw) or is_openssh(raw)):
-                out.append((m.start(), 7 if raw.startswith(OPENSSH) else 5, m.end()))
-    for m in LONG_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
-            out.append((m.start(), 6, m.end()))
+        starts = list(ARMOUR.finditer(text))
+        for m, after in zip(starts, [*(x.start() for x in starts[1:]), len(text)]):
+            line = f"-----END {m[1]}-----"
+            end = text.find(line, m.end(), after)
+            if end >= 0 and is_armoured_key(m[1], text[m.end():end]):
+                armoured.append((m.start(), 4, end + len(line)))
+    out += armoured
+    for start, kind, key_end in ((DER_START, 5, bare_der), (OPENSSH_START, 7, bare_openssh),
+                                 (HEX_START, 6, lambda t, a: bare_der(t, a, True))):
+        at, inside = 0, iter([*armoured, (len(text), 4, len(text))])
+        a, _, b = next(inside)
+        while m := start.search(text, at):
+            at = m.start() + 1
+            while b <= m.start() < len(text) and a < len(text):
+                a, _, b = next(inside)
+            if a <= m.start() < b:
+                at = b
+            elif end := key_end(text, m.start()):
+                out.append((m.start(), kind, end))
+                at = end
     return out
 
 

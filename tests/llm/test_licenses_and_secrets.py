@@ -105,3 +105,26 @@ def test_redacted(spark):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["a [secret] b [secret]", None, "clean"]
+
+
+def test_keys_behind_other_characters_and_line_breaks():
+    """Keys inside a run, with escaped breaks, with header lines, and wrapped without armour."""
+    yes, no, _ = secret_texts()
+    body = yes["key_base64"][2:]
+    wrap = lambda n, sep: sep.join(re.findall(f".{{1,{n}}}", body))
+    headed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    secret = base64.b64encode(hashlib.shake_256(b"c").digest(608)).decode()
+    frame = lambda label, inner: f"-----BEGIN {label}-----{inner}-----END {label}-----"
+    cases = [("key_base64", "path/", body, "")]
+    cases += [("key_base64", "x ", wrap(n, sep), " y") for n in (64, 76) for sep in ("\n", "\r\n", "\\n", "\n    ")]
+    cases += [("key_base64", "", body.rstrip("="), ".more"), ("openssh", "path/", yes["openssh"], ""),
+              ("openssh", "a\n", "\n".join(re.findall(".{1,70}", yes["openssh"])), "\nnext line"), ("key_hex", "ab", yes["key_hex"], "")]
+    cases += [("armour", '{"private_key": "', frame("RSA PRIVATE KEY", "\\n" + wrap(64, "\\n") + "\\n"), '\\n"}'),
+              ("armour", "KEY=", frame("RSA PRIVATE KEY", "\\\\n" + wrap(64, "\\\\n") + "\\\\n"), ""),
+              ("armour", "", frame("RSA PRIVATE KEY", "\n" + headed + secret + "\n"), "")]
+    for kind, before, key, after in cases:
+        spans = secrets.confirmed_spans(before + key + after)
+        assert spans == [(len(before), secrets.KINDS.index(kind), len(before) + len(key))], (kind, before, key[:80])
+    bad = [frame("RSA PRIVATE KEY", "\n" + headed + secret[:-8] + "\n"), frame("RSA PRIVATE KEY", "\n" + secret + "\n"), wrap(64, "\n")[:-40], "MI" * 500]
+    for text in bad:
+        assert secrets.confirmed_spans(text) == [], text[:80]
