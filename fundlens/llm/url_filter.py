@@ -7,8 +7,9 @@ counts, suffix statistics) and judges the URLs that no rule fits.
 Suffix statistics (label counts by the host's last label, last two labels and the first path
 segment) cover all labelled URLs. They are kept by hashed bucket, so the table is bounded by
 construction (``BUCKETS * FOLDS`` rows for each kind) and may be broadcast. When learning, a URL's
-statistics come from the other folds, so that its own label does not show in them. The model alone is fitted on a bounded sample: the
-``TRAIN_ROWS`` labelled URLs with the smallest hashes. Scoring is one pass without a shuffle.
+statistics come from the other folds, so that its own label does not show in them. The model alone is fitted on a bounded sample of
+distinct URLs: of each label the ``TRAIN_ROWS / 2`` with the smallest hashes, weighted back to the label's number of distinct URLs, so both
+labels are always in the fit. Only (label, hash) of the distinct labelled URLs is shuffled; scoring is one pass without a shuffle.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 judged by its features; repeated rows get equal verdicts; without labelled URLs of both kinds the
@@ -18,6 +19,8 @@ columns are ignored by ``judge`` and returned by ``allowed``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -128,13 +131,15 @@ def fit(rows: DataFrame, stats: DataFrame, train_rows: int = TRAIN_ROWS):
     n, good = total[0] or 0, total[1] or 0
     if good in (0, n):
         return None, (good / n if n else 1.0)
-    sample = rows.where("label IS NOT NULL").orderBy("key").limit(train_rows)
-    sample = write_table(with_statistics(sample, stats, good / n, True).select(
-        *[F.col(f).cast("double") for f in FEATURES], (F.col("label") == "allow").cast("double").alias("y")), "urls").coalesce(2)
-    both = sample.agg(F.min("y"), F.max("y")).first()
-    if both[0] == both[1]:
-        return None, both[0]
-    gbt = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=2, maxBins=32)
+    keys = write_table(rows.where("label IS NOT NULL").select("label", "key").distinct(), "keys")
+    distinct = dict(keys.groupBy("label").count().collect())
+    part = max(1, train_rows // 2)
+    taken = [keys.where(F.col("label") == v).orderBy("key").limit(part).withColumn("weight", F.lit(max(1.0, m / part))) for v, m in sorted(distinct.items())]
+    taken = write_table(reduce(DataFrame.union, taken), "taken")
+    sample = rows.join(F.broadcast(taken), ["label", "key"]).dropDuplicates(["key"])                # at most TRAIN_ROWS rows
+    sample = write_table(with_statistics(sample, stats, good / n, True).orderBy("key").select(
+        *[F.col(f).cast("double") for f in FEATURES], (F.col("label") == "allow").cast("double").alias("y"), "weight"), "urls").coalesce(2)
+    gbt = GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=2, maxBins=32)
     return gbt.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample)), good / n
 
 

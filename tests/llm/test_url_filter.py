@@ -63,3 +63,19 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.digest(df).collect()} == {"allow"}
     assert url_filter.digest(df.limit(0)).collect() == []
+
+
+def test_both_labels_in_the_fit_when_urls_repeat(spark):
+    """A rare label, and URLs repeated far beyond the sample, still reach the model."""
+    from pyspark.sql import functions as F
+
+    common = [f"http://w{i % 7}.example.com/fr/{i}" for i in range(60)]
+    rare = [f"http://w{i}.example.com/de/{i}" for i in range(3)]
+    df = spark.createDataFrame([(u,) for u in common * 20 + rare], "url string").withColumn("page_id", F.lit(1))
+    rows = url_filter.lexical(df, ["page_id"]).checkpoint()
+    stats = url_filter.suffix_statistics(rows)
+    for train_rows in (2, 20, 20_000):
+        model, overall = url_filter.fit(rows, stats, train_rows)
+        assert model is not None and abs(overall - 1200 / 1203) < 1e-9
+    small = url_filter.judge(df.union(spark.createDataFrame([("http://w1.example.net/de/2", 1)], df.schema)), ["page_id"], train_rows=20)
+    assert small.where("rule IS NULL").select("score").first()[0] != overall
