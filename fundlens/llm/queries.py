@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, token_counts, url_filter, warc
+from . import decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, token_counts, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op7_license_scan(spark, sf_dir):
 def op6_token_counts(spark, sf_dir):
     """Tokens of every document under the unigram segmentation."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark, sf_dir):
+    """Place, length and checksum of every document's token ids, read back from token files."""
+    return token_files.digest(table(spark, sf_dir, "documents"))
