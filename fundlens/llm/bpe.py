@@ -69,7 +69,7 @@ def laid(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gathered(at: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, their end at each place): the values numbered in ``at`` one after the other."""
+    """(elements, their end at each place): the runs of ``flat`` numbered in ``at``, one after the other."""
     taken = sizes[at]
     stops = np.cumsum(taken)
     shift = (np.cumsum(sizes) - sizes)[at] - (stops - taken)
@@ -197,9 +197,16 @@ class SentenceBPE:
         return [bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode("utf-8", "replace")
                 for i in range(m.get_piece_size())]
 
+    def whole(self, texts: list[str]) -> set[int]:
+        """Numbers of the texts that must not be cut: a word mark in a text may join a space beside it."""
+        return {i for i, t in enumerate(texts) if not self.apart or "▁" in t}
+
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts: (ids, number of each part's ids)."""
+        return laid([packed(x) for x in self.model.encode(words, num_threads=1)])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends of the texts' ids) of the whole texts. A word mark in a text itself may join a
-        space beside it."""
-        at, distinct, ends = cut_all(texts, {i for i, t in enumerate(texts) if not self.apart or "▁" in t})
-        ids, stops = gathered(at, *laid([packed(x) for x in self.model.encode(distinct, num_threads=1)]))
+        """(ids, ends of the texts' ids) of the whole texts."""
+        at, distinct, ends = cut_all(texts, self.whole(texts))
+        ids, stops = gathered(at, *self.spaced(distinct))
         return ids, stops[ends - 1]

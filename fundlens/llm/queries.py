@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, token_counts, token_files, url_filter, warc
+from . import alignment, decontaminate, jaccard_join, licenses, mixing, quality_rules, secrets, sharding, token_counts, token_files, turns, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,15 @@ def op6_token_counts(spark, sf_dir):
 def op13_token_files(spark, sf_dir):
     """Place, length and checksum of every document's token ids, read back from token files."""
     return token_files.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two vocabularies in every document."""
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_repair_conversations")
+def op12_repair_conversations(spark, sf_dir):
+    """Faults and the cheapest repair of every damaged conversation."""
+    return turns.digest(table(spark, sf_dir, "conversations"))
