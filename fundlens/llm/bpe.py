@@ -24,6 +24,7 @@ SLICE_BYTES = 16 << 20
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = "ɐ"              # below this the two pattern libraries agree on every character's class
+OTHER = re.compile(f"[{PLAIN}-\U0010ffff]")
 
 
 def regular(text: str) -> bool:
@@ -47,6 +48,10 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, list
         at = stop
 
 
+def strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()          # many times as fast as to_pylist()
+
+
 def cut_all(texts: list[str], whole: set[int] = frozenset()) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(number of the distinct part at each place, distinct parts, places of the texts' ends); the
     texts numbered in ``whole`` are one part each."""
@@ -56,7 +61,7 @@ def cut_all(texts: list[str], whole: set[int] = frozenset()) -> tuple[np.ndarray
         pieces = pa.array([x if x is not None else [t] if i in whole else CUT.split(t)
                            for i, (x, t) in enumerate(zip(pieces.to_pylist(), texts))], pa.large_list(pa.large_string()))
     coded = pieces.values.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), pieces.offsets.to_numpy()[1:].astype(np.int64)
+    return coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary), pieces.offsets.to_numpy()[1:].astype(np.int64)
 
 
 def packed(ids) -> bytes:
@@ -136,23 +141,34 @@ class ByteBPE:
 
     def merged(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens."""
-        return [packed([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.symbols))]) for w in words]
+        symbols, flat, ends, at = "".join(words).encode().decode("latin-1").translate(self.symbols), array("I"), [0], 0
+        for w in words:
+            end = at + (len(w) if w.isascii() else len(w.encode()))
+            flat.extend([t.id for t in self.model.tokenize(symbols[at:end])])
+            ends.append(flat.itemsize * len(flat))
+            at = end
+        raw = flat.tobytes()
+        return [raw[s:e] for s, e in zip(ends, ends[1:])]
 
     def part(self, text: str) -> bytes:
         """Ids of a text."""
-        if text and not text.isascii() and max(text) >= PLAIN:
+        if OTHER.search(text):
             return packed(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(self.pre.all(self.pattern.findall(text), self.merged))
 
     def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, each with a space in front: (ids, number of each part's ids). One search
         finds the pre-tokens of all parts that are plain and bounded by other than white space."""
-        easy = np.array([bool(p) and (p.isascii() or max(p) < PLAIN) and not (p[0].isspace() or p[-1].isspace()) for p in words], bool)
-        found = self.pattern.findall(" ".join(["", *(p for p, e in zip(words, easy) if e)]))
+        joined, easy, plain = " ".join(words), np.ones(len(words), bool), words
+        if not regular(joined) or OTHER.search(joined):
+            easy = np.array([bool(p) and not (p[0].isspace() or p[-1].isspace() or OTHER.search(p)) for p in words], bool)
+            plain = [p for p, e in zip(words, easy) if e]
+            joined = " ".join(plain)
+        found = self.pattern.findall(" " + joined) if plain else []
         coded = pa.array(found, pa.string()).dictionary_encode()
-        ids, stops = gathered(coded.indices.to_numpy(), *laid(self.pre.all(coded.dictionary.to_pylist(), self.merged)))
+        ids, stops = gathered(coded.indices.to_numpy(), *laid(self.pre.all(strings(coded.dictionary), self.merged)))
         # where each part ends among the pre-tokens, by characters
-        ends = np.cumsum(np.fromiter((len(p) + 1 for p, e in zip(words, easy) if e), np.int64))
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
         last = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends)
         sizes = np.zeros(len(words), np.int64)
         sizes[easy] = np.diff(stops[last], prepend=0)

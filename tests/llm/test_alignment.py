@@ -1,5 +1,6 @@
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,7 +42,8 @@ def brute_groups(x, a_of, b_of):
         return []
     ends = [list(np.cumsum([len(r) for _, r in side])) for side in sides]
     cuts = sorted(set(ends[0]) & set(ends[1]))
-    return [tuple([i for (i, _), e in zip(side, own) if low < e <= high] for side, own in zip(sides, ends)) for low, high in zip([0, *cuts], cuts)]
+    at = [[0, *(bisect_right(own, c) for c in cuts)] for own in ends]
+    return [tuple([i for i, _ in side[own[k]:own[k + 1]]] for side, own in zip(sides, at)) for k in range(len(cuts))]
 
 
 def brute(rows):

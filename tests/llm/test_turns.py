@@ -3,7 +3,6 @@ import itertools
 import random
 import re
 import zlib
-from functools import lru_cache
 
 from corpora import SF
 from fundlens.llm import turns as T
@@ -12,30 +11,32 @@ BLANK = re.compile(r"[^\x20\x09-\x0D]")
 LEGAL = re.compile(r"(s?(ua)+)?")
 
 
+NEXT = {"0": "u", "s": "u", "u": "a", "a": "u"}
+
+
 def cheapest(rows):
-    """(cost, audit) over rows (initial, must go, truncated), by strings."""
-    @lru_cache(None)
-    def best(i, state, inserted):
-        out = []
-        if i == len(rows) and state in "0a":
-            out.append((0, ""))
-        to = {"0": "u", "s": "u", "u": "a", "a": "u"}[state]
-        if inserted < 2:
-            c, w = best(i, to, inserted + 1)
-            out.append((c + 5, "I" + w))
-        if i < len(rows):
-            initial, gone, cut = rows[i]
-            steps = [("D", 2, state)]
-            if not gone:
-                steps.append(("R", 1 + 5 * cut, to))
-                if initial == to or (initial == "s" and state == "0"):
-                    steps.append(("K", 5 * cut, initial))
-            for letter, cost, after in steps:
-                c, w = best(i + 1, after, 0)
-                out.append((c + cost, letter + w))
-        return min(out, default=(10**9, ""))
-
-    return best(0, "0", 0)
+    """(cost, audit) over rows (initial, must go, truncated), by strings, from the last row on."""
+    below = None
+    for i in range(len(rows), -1, -1):
+        here = {}
+        for inserted in (2, 1, 0):
+            for state in "0sua":
+                out = [(0, "")] if i == len(rows) and state in "0a" else []
+                to = NEXT[state]
+                if inserted < 2:
+                    c, w = here[to, inserted + 1]
+                    out.append((c + 5, "I" + w))
+                if i < len(rows):
+                    initial, gone, cut = rows[i]
+                    steps = [("D", 2, state)]
+                    if not gone:
+                        steps.append(("R", 1 + 5 * cut, to))
+                        if initial == to or (initial == "s" and state == "0"):
+                            steps.append(("K", 5 * cut, initial))
+                    out += [(below[after, 0][0] + cost, letter + below[after, 0][1]) for letter, cost, after in steps]
+                here[state, inserted] = min(out, default=(10**9, ""))
+        below = here
+    return below["0", 0]
 
 
 def exhaustive(rows):
@@ -80,7 +81,7 @@ def brute(rows):
         cost, audit = cheapest(tuple((r[:1], f in ("b", "d"), f == "t") for (_, r, _), f in zip(own, faults)))
         state, at, lines = "0", 0, []
         for letter in audit:
-            to = {"0": "user", "s": "user", "u": "assistant", "a": "user"}[state]
+            to = {"u": "user", "a": "assistant"}[NEXT[state]]
             role, text = ("", "") if letter == "I" else own[at][1:]
             at += letter != "I"
             if letter != "D":
@@ -160,8 +161,6 @@ def test_a_conversation_over_many_tasks(spark):
         got = rows_of(T.digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    import sys
-    sys.setrecursionlimit(20000)
     assert got == brute(rows)
 
 
