@@ -50,13 +50,6 @@ def s1_scan_csv_tree(spark, sf_dir):
                        F.col("LINE_NO").cast("int").alias("LINE_NO"))
 
 
-@register("s4_sample_per_file")
-def s4_sample_per_file(spark, sf_dir):
-    """About 100 seeded random rows per source file."""
-    rows, headers = SRC.scan_csv_tree(spark, raw_csv_tree(spark, sf_dir), sample_size=100, seed=42)
-    return SRC.columns_from_fields(rows, headers).select("file", "CNPJ_FUNDO", "DT_COMPTC")
-
-
 _K1_ORDER = ("num_shareholders DESC NULLS LAST, quota_value DESC NULLS LAST, total_value DESC NULLS LAST, "
              "net_asset_value DESC NULLS LAST, daily_inflow DESC NULLS LAST, daily_redemptions DESC NULLS LAST, "
              "line_no DESC NULLS LAST")
@@ -543,19 +536,19 @@ SELECT fund_cnpj, report_date, quota_value, (SELECT count(*) FROM t) AS total_re
 def x6_ingest_update(spark, sf_dir):
     """Two increments of monthly archives, the second restating a month already stored; the table
     after both, with the second run's status."""
+    from ..sources.month_table import read_table as read_month_table
     from ..streaming.increments import ingest_update
 
     rows = _quota_rows(spark, sf_dir)
     cat = read_table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0).select(
         F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("CNPJ_FUNDO"))
     landing, stored = scratch_path(spark, "landing"), scratch_path(spark, "quotas")
-    name = stored.rsplit("/", 1)[-1]
     _write_zips(rows.where(F.col("_m") < "200001"), f"{landing}/first")
-    ingest_update(spark, landing, stored, cat, name)
+    ingest_update(spark, landing, stored, cat)
     again = rows.where(F.col("_m") == _RESTATED).withColumn("VL_QUOTA", F.col("VL_QUOTA") * 2)
     _write_zips(rows.where(F.col("_m") >= "200001").unionByName(again), f"{landing}/second")
-    status = ingest_update(spark, landing, stored, cat, name).first()
-    return spark.read.parquet(stored).select(
+    status = ingest_update(spark, landing, stored, cat).first()
+    return read_month_table(spark, stored).select(
         "fund_cnpj", "report_date", "quota_value", F.lit(status["total_records"]).alias("total_records"),
         F.lit(status["new_records_count"]).alias("new_records_count"))
 
@@ -644,3 +637,63 @@ def s3_skip_bad_lines(spark, sf_dir):
     cols = SRC.columns_from_fields(rows, headers)
     return cols.select("CNPJ_FUNDO", "DT_COMPTC", F.col("VL_QUOTA").cast("double").alias("VL_QUOTA"),
                        F.col("ID").cast("bigint").alias("ID"), F.col("LINE_NO").cast("int").alias("LINE_NO"))
+
+
+# ------------------------------------------------------------------ S1 with line breaks in fields, S4
+
+
+def broken_line_tree(spark, sf_dir: str) -> str:
+    """One file per year whose fund names hold what must be quoted: line breaks, separators and doubled
+    quotes, by the line number's remainder; every fifth name stays plain."""
+    key = ("breaks", id(spark.sparkContext), sf_dir)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "broken-lines")
+        rows = _named_rows(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4))
+        kind, name = F.pmod(F.col("ID") + F.col("LINE_NO"), F.lit(5)), F.col("DENOM_SOCIAL")
+        text = (F.when(kind == 0, F.concat(name, F.lit("\nfund; no"))).when(kind == 1, F.concat(F.lit('"'), name, F.lit('"\n\n"two"')))
+                .when(kind == 2, F.concat(F.lit("a;"), name)).when(kind == 3, F.concat(name, F.lit(' 5" x\n'))).otherwise(name))
+        (rows.select("ID", text.alias("DENOM_SOCIAL"), "LINE_NO", "DT_COMPTC", "_year").repartition("_year").sortWithinPartitions("_year", "ID", "LINE_NO")
+         .write.partitionBy("_year").option("header", True).option("sep", ";").option("escape", '"')
+         .option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(root))
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+_NAMED_SQL = f"""{_RF},
+s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS fid, translate(s_name, 'aeiou', 'áéíóú') AS denom FROM supplier),
+named AS (SELECT rf.*, denom FROM rf JOIN s ON regexp_replace("CNPJ_FUNDO", '\\D', '', 'g') = s.fid)"""
+
+
+@register("s1_quoted_line_breaks", f"""WITH {_NAMED_SQL}
+SELECT "ID", "LINE_NO", "DT_COMPTC", CASE ("ID" + "LINE_NO") % 5 WHEN 0 THEN denom || chr(10) || 'fund; no'
+  WHEN 1 THEN '"' || denom || '"' || chr(10) || chr(10) || '"two"' WHEN 2 THEN 'a;' || denom
+  WHEN 3 THEN denom || ' 5" x' || chr(10) ELSE denom END AS "DENOM_SOCIAL" FROM named""")
+def s1_quoted_line_breaks(spark, sf_dir):
+    """S1 on files whose records reach over lines: line breaks, separators and doubled quotes inside
+    fields, whatever split a record begins in."""
+    rows, headers = SRC.scan_csv_tree(spark, broken_line_tree(spark, sf_dir))
+    cols = SRC.columns_from_fields(rows, headers)
+    return cols.select(F.col("ID").cast("bigint").alias("ID"), F.col("LINE_NO").cast("int").alias("LINE_NO"), "DT_COMPTC", "DENOM_SOCIAL")
+
+
+def yearly_tree(spark, sf_dir: str) -> str:
+    """One plain file per year: id, date, name, line number."""
+    key = ("yearly", id(spark.sparkContext), sf_dir)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "yearly-names")
+        rows = _named_rows(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4))
+        (rows.select("ID", "LINE_NO", "DT_COMPTC", "DENOM_SOCIAL", "_year").repartition("_year")
+         .write.partitionBy("_year").option("header", True).option("sep", ";").csv(root))
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+@register("s4_sample_per_file", f"""WITH {_NAMED_SQL},
+f AS (SELECT *, count(*) OVER (PARTITION BY substr("DT_COMPTC", 1, 4)) AS n,
+  ('0x' || substr(md5('42|' || "ID" || '|' || "LINE_NO" || '|' || "DT_COMPTC" || '|' || denom), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM named)
+SELECT "ID", "LINE_NO", "DT_COMPTC", denom AS "DENOM_SOCIAL" FROM f WHERE n <= 100 OR u < 100 / n""")
+def s4_sample_per_file(spark, sf_dir):
+    """About 100 seeded random rows of every file, drawn by the md5 of the row."""
+    rows, headers = SRC.scan_csv_tree(spark, yearly_tree(spark, sf_dir), sample_size=100, seed=42)
+    cols = SRC.columns_from_fields(rows, headers)
+    return cols.select(F.col("ID").cast("bigint").alias("ID"), F.col("LINE_NO").cast("int").alias("LINE_NO"), "DT_COMPTC", "DENOM_SOCIAL")

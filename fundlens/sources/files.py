@@ -1,18 +1,19 @@
 """Sources and sinks.
 
-Delimited files with different headers are read in two text scans:
+Delimited files with different headers are read in two text scans (``records``):
 
-* a light pass finds, per file, the charset (UTF-8 if every line is valid, else ISO-8859-1; S2) and
-  the header, the first line of the split at offset 0; the one-row-per-file table is written, and
-  only the distinct headers (typically a handful) reach the driver;
-* the data pass decodes each line with its file's charset and parses it with Spark's CSV parser
-  under its file's header, quotes included. A line that repeats the header is no data. Lines with
-  more fields than the header are dropped, fewer are padded with NULL (S3); missing-value tokens
-  become NULL. Fields are addressed by header name, so differing headers (S11) meet in one map.
+* a light pass finds, per file, the charset (UTF-8 if every line is valid, else ISO-8859-1; S2), the
+  header, and whether it can be read to its end; the one-row-per-file table is written, and only the
+  distinct headers (typically a handful) and the names of unreadable files reach the driver;
+* the data pass decodes each record with its file's charset and parses it with Spark's CSV parser
+  under its file's header, quotes and quoted line breaks included. A record that repeats the header
+  is no data. Records with more fields than the header are dropped, fewer are padded with NULL (S3);
+  missing-value tokens become NULL. Fields are addressed by header name, so differing headers (S11)
+  meet in one map.
 
 The two passes agree by file name and text alone, so how files are packed into splits plays no part.
-A quoted field may hold the separator, but no line break. Files that cannot be read are skipped and
-counted (``file_report``).
+A file that cannot be read to its end is left out whole and reported with its reason
+(``file_status``, ``file_report``).
 
 Monthly ZIP archives are read once, by one task each (the format cannot be split; an archive is
 held in memory, 2 GB at most): the member's checksum is verified over the whole stream before its
@@ -31,7 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, write_table
+from ..session import ship_package
+from .records import n_fields, scan_records
 
 # fixed values: the monthly file layout and the catalog columns
 CATALOG_COLUMNS = ["CNPJ_FUNDO", "DENOM_SOCIAL", "SIT", "DT_REG", "DT_CONST", "CD_CVM", "DT_CANCEL",
@@ -44,39 +46,20 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
            "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_lines(spark: SparkSession, root: str | Sequence[str], glob: str = "*.[cC][sS][vV]") -> DataFrame:
-    """S1 (scan): every readable matching file below ``root`` as (file, raw line)."""
-    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-            .option("ignoreCorruptFiles", True).text(root)
-            .select(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("_blk"), F.col("value").alias("_raw")))
-
-
-def _decoded(raw, utf8):
-    return F.when(utf8, raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
-
-
-def file_metadata(lines: DataFrame) -> DataFrame:
-    """One aggregate pass, one row per file: charset, header (first line of the split at offset 0;
-    lines of a split are numbered within this scan only) and number of lines."""
-    numbered = lines.withColumn("_no", F.monotonically_increasing_id())
-    meta = numbered.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("_raw")).alias("_utf8"),
-        F.min_by("_raw", F.when(F.col("_blk") == 0, F.col("_no"))).alias("_first"),
-        F.count(F.lit(1)).alias("n_lines"))
-    return meta.select("file", "_utf8", _decoded(F.col("_first"), F.col("_utf8")).alias("header"), "n_lines")
+def file_status(spark: SparkSession, root: str | Sequence[str], glob: str = "*.[cC][sS][vV]*", sep: str = ";") -> DataFrame:
+    """(file, size, n_records, status, reason) of every matching file: 'read', or 'failed' with the
+    reason why none of its rows is kept. ``n_records`` does not count the header."""
+    _, meta = scan_records(spark, root, glob, sep)
+    good = F.col("reason").isNull()
+    return meta.select("file", "size", F.when(good, F.col("n_lines") - 1).alias("n_records"),
+                       F.when(good, "read").otherwise("failed").alias("status"), "reason")
 
 
 def file_report(spark: SparkSession, root: str, glob: str = "*.[cC][sS][vV]*") -> DataFrame:
-    """(files_found, files_read, files_failed, data_lines): a file of which no line could be read,
-    empty ones included, has failed."""
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-              .load(root).select(F.col("path")))
-    meta = file_metadata(read_lines(spark, root, glob)).select(F.url_decode("file").alias("path"), "n_lines")
-    both = listed.select(F.url_decode("path").alias("path")).join(meta, "path", "left")
-    return both.agg(F.count(F.lit(1)).alias("files_found"), F.count("n_lines").alias("files_read"),
-                    (F.count(F.lit(1)) - F.count("n_lines")).alias("files_failed"),
-                    F.sum(F.col("n_lines") - 1).alias("data_lines"))
+    """(files_found, files_read, files_failed, data_lines) of ``file_status``."""
+    files = file_status(spark, root, glob)
+    return files.agg(F.count(F.lit(1)).alias("files_found"), F.count_if(F.col("status") == "read").alias("files_read"),
+                     F.count_if(F.col("status") == "failed").alias("files_failed"), F.sum("n_records").alias("data_lines"))
 
 
 def header_names(header: str, sep: str = ";") -> list[str]:
@@ -84,19 +67,9 @@ def header_names(header: str, sep: str = ";") -> list[str]:
     return [x.strip() for x in next(csv.reader([header], delimiter=sep), [])]
 
 
-def decode_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
-    """Data lines decoded with their file's charset, carrying the file's header. Spark chooses the
-    join from the sizes it meets: one row per file on the right."""
-    return (lines.join(meta.select("file", "_utf8", "header"), "file")
-            .withColumn("line", _decoded(F.col("_raw"), F.col("_utf8"))).drop("_raw", "_utf8", "_blk")
-            .where(F.col("line") != F.col("header")))
-
-
 def parse_delimited(lines: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:
     """S3 + S11: one (file, header, map<header name, text>) row per data line; over-long lines
     dropped, short lines padded with NULL, missing-value tokens NULL. Repeated names: the first."""
-    bare = F.regexp_replace("line", '"[^"]*"', "")                      # separators inside quotes do not count
-    n_fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
     options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
     fields, width = F.lit(None), F.lit(0)
     for h in headers:
@@ -107,28 +80,28 @@ def parse_delimited(lines: DataFrame, headers: Sequence[str], sep: str = ";") ->
         made = F.get(F.transform(F.array(record), lambda r: F.map_from_arrays(  # noqa: B023
             F.array(*[F.lit(names[i]) for i in firsts]), F.array(*[value(r, i) for i in firsts]))), F.lit(0))  # noqa: B023
         fields, width = F.when(F.col("header") == h, made).otherwise(fields), F.when(F.col("header") == h, len(names)).otherwise(width)
-    return lines.where(n_fields <= width).select("file", "header", fields.alias("fields"))
+    return lines.where(n_fields(F.col("line"), sep) <= width).select("file", "header", fields.alias("fields"))
 
 
 def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` rows per file (each with chance n / rows, only where rows > n). The choice is
-    a seeded hash of the file and the row, so it does not depend on the partitioning."""
+    """About ``n`` rows per file (each with chance n / rows, only where rows > n). A row's number
+    in [0, 1) is the beginning of the md5 of the seed and its fields' texts in the header's order,
+    joined by ``|`` (missing: empty), so the choice depends on neither partitioning nor file names."""
     counts = df.groupBy("file").agg(F.count(F.lit(1)).alias("_rows"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("file"), F.to_json("fields")), 11) / float(1 << 53)
-    return df.join(counts, "file").where((F.col("_rows") <= n) | (u < n / F.col("_rows"))).drop("_rows")
+    texts = F.transform(F.map_values("fields"), lambda x: F.coalesce(x, F.lit("")))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.array_join(texts, "|"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return df.join(counts, "file").where((F.col("_rows") <= n) | (drawn < n / F.col("_rows"))).drop("_rows")
 
 
 def scan_csv_tree(spark: SparkSession, root: str | Sequence[str], sep: str = ";", sample_size: int | None = None,
                   seed: int = 42, glob: str = "*.[cC][sS][vV]"):
     """(rows with a ``fields`` map and the source ``file``, distinct header lines). An
-    empty tree is an error."""
-    raw = read_lines(spark, root, glob)
-    # one row per file; written so that the join below does not repeat the pass
-    meta = write_table(file_metadata(raw), "file-metadata")
-    headers = sorted(r[0] for r in meta.select("header").where("header IS NOT NULL").distinct().collect())
+    empty tree, or one in which no file can be read, is an error."""
+    lines, meta = scan_records(spark, root, glob, sep)
+    headers = sorted(r[0] for r in meta.where("reason IS NULL").select("header").distinct().collect())
     if not headers:
         raise FileNotFoundError(f"{root} holds no readable delimited file")
-    rows = parse_delimited(decode_lines(raw, meta), headers, sep)
+    rows = parse_delimited(lines, headers, sep)
     return (sample_per_file(rows, sample_size, seed) if sample_size else rows), headers
 
 

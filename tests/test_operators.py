@@ -289,17 +289,18 @@ def test_query_matches_oracle_smoke(spark, name):
 
 
 def test_streaming_increments_upsert(spark, tmp_path):
+    from fundlens.sources.month_table import read_table
     from fundlens.streaming.increments import ingest_new_files
 
     land, table = tmp_path / "landing", str(tmp_path / "table")
     land.mkdir()
     (land / "m1.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA\n00.000.000/0001-01;2024-01-02;1.0\n"
                                  "00.000.000/0001-01;2024-02-01;2.0\n")
-    ingest_new_files(spark, str(land), table, name="t-incr")
+    ingest_new_files(spark, str(land), table)
     (land / "m2.csv").write_text("TP_FUNDO;CNPJ_FUNDO_CLASSE;VL_QUOTA;DT_COMPTC\nFI;00.000.000/0001-01;2.5;2024-02-01\n"
                                  "FI;00.000.000/0001-01;3.0;2024-03-01\n")
-    ingest_new_files(spark, str(land), table, name="t-incr")
-    got = sorted((str(r["report_date"]), r["quota_value"]) for r in spark.read.parquet(table).collect())
+    ingest_new_files(spark, str(land), table)
+    got = sorted((str(r["report_date"]), r["quota_value"]) for r in read_table(spark, table).collect())
     assert got == [("2024-01-02", 1.0), ("2024-02-01", 2.5), ("2024-03-01", 3.0)]
 
 
