@@ -10,7 +10,8 @@ Scale: targets come from one map-side combined count per cell. The cut is found
 source, however many rows it holds: words per (source, slice of the ranking) are summed along 256
 slices, then along the 256 parts of the slice that the cut falls into, and only the rows of one
 part are ordered. A cut per
-source then decides every row on its own, so no text is shuffled. Built-in expressions only.
+source then decides every row on its own, so no text is shuffled; only rows tied at a cut that takes
+some of them are counted, equal ones together. Built-in expressions only.
 
 Defined cases: a null text has size 0 and takes no words; null is a source of its own, the last
 one; a null id is allowed; rows equal in id, source and text are tied, and where the cut falls
@@ -117,23 +118,48 @@ def cuts(base: DataFrame, by_cell: DataFrame) -> DataFrame:
     at = F.col("before") + F.coalesce(F.sum("w").over(run), F.lit(0))
     room = F.when(F.col("one") > 0, F.floor((F.col("left") - F.col("at")) / F.col("one") + 0.5)).otherwise(F.col("n"))
     taken = tied.withColumn("at", at).withColumn("k", F.least(F.col("n").cast("double"), room.cast("double"))).where("k > 0")
-    last = taken.groupBy("source").agg(F.max(F.struct("key", "tie", (F.col("k") / F.col("n")).alias("part"))).alias("z"))
+    last = taken.groupBy("source").agg(F.max(F.struct("key", "tie", F.col("k").cast("long").alias("k"), "n")).alias("z"))
     return (b.join(last, F.col("b_source").eqNullSafe(F.col("source")), "left")
             .select(F.col("b_source"), F.col("b_bucket"), F.col("z.key").alias("z_key"), F.col("z.tie").alias("z_tie"),
-                    F.col("z.part").alias("z_part")))
+                    F.col("z.k").alias("z_k"), F.col("z.n").alias("z_n")))
 
 
 def mixed(rows: DataFrame, by_cell: DataFrame, cut: DataFrame) -> DataFrame:
-    """Every row of ``rows`` with its number of copies, decided on its own."""
+    """Every row of ``rows`` with its number of copies: decided on its own, but for rows tied at a cut
+    that takes only some of them."""
     r = ranked(rows, by_cell).join(small_side(cut), F.col("source").eqNullSafe(F.col("b_source")), "left")
     here = F.struct("key", "tie")
     edge = F.struct(F.col("z_key"), F.col("z_tie"))
-    spot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
     extra = (F.when(F.col("c_pull").isNull() | F.col("b_bucket").isNull(), 0)
              .when(F.col("bucket") < F.col("b_bucket"), 1).when(F.col("bucket") > F.col("b_bucket"), 0)
-             .when(F.col("z_key").isNull(), 0).when(here < edge, 1)
-             .when((here == edge) & ((F.col("z_part") >= 1) | (spot < F.col("z_part"))), 1).otherwise(0))
-    return r.withColumn("n_copies", F.col("c_copies") + extra)
+             .when(F.col("z_key").isNull(), 0).when(here <= edge, 1).otherwise(0))
+    out = r.withColumn("n_copies", F.col("c_copies") + extra)
+    if not cut.where("z_k < z_n").limit(1).count():
+        return out
+    tied = F.coalesce((here == edge) & (F.col("z_k") < F.col("z_n")) & F.col("c_pull").isNotNull(), F.lit(False))
+    return out.where(~tied).unionByName(first_of_tied(out.where(tied).drop("n_copies")).withColumn("n_copies", F.col("c_copies") + F.col("first")).drop("first"))
+
+
+def first_of_tied(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``first``, 1 for ``z_k`` of each source's rows in the order of a hash of all their
+    columns, else 0. Rows equal in all columns cannot be told apart, so they are counted and divided
+    by number; whatever the partitioning, the same table results. Sums by the hash's first bits keep
+    any window small."""
+    h, lot = F.xxhash64(*rows.columns), 12
+    equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("m")).withColumn("h", h).withColumn("lot", F.shiftright("h", 64 - lot))
+    equal = write_table(equal, "mixties")
+    order = lambda *by: Window.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    lots = equal.groupBy("source", "lot").agg(F.sum("m").alias("n")).withColumn("lot_start", F.coalesce(F.sum("n").over(order("lot")), F.lit(0)))
+    lots = lots.select(F.col("source").alias("l_source"), F.col("lot").alias("l_lot"), "lot_start")
+    inside = equal.withColumn("before", F.coalesce(F.sum("m").over(order("lot", "h")), F.lit(0)))
+    placed = inside.join(lots, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("lot") == F.col("l_lot")))
+    take = F.greatest(F.lit(0), F.least(F.col("m"), F.col("z_k") - F.col("lot_start") - F.col("before")))
+    parts = F.explode(F.array(F.struct(F.lit(1).alias("first"), take.alias("n")), F.struct(F.lit(0).alias("first"), (F.col("m") - take).alias("n")))).alias("p")
+    # as many rows as were counted, a thousand to a step, dealt over the tasks
+    steps = placed.select(*rows.columns, parts).where("p.n > 0").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("p.n") - 1) / 1000))))
+    dealt = steps.repartition(F.xxhash64("step", "tie"))
+    again = F.explode(F.array_repeat(F.lit(0), F.least(F.lit(1000).cast("long"), F.col("p.n") - F.col("step") * 1000).cast("int")))
+    return dealt.select(*rows.columns, F.col("p.first").alias("first"), again.alias("again")).drop("again")
 
 
 def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = 8, grades: str = GRADES):
