@@ -17,7 +17,7 @@ Built-in expressions only, apart from the driver's draw of the matrix.
 
 Defined cases: nulls and repeated rows are rows like any others, each with its own slot; fewer
 rows than shards leave shards empty; an empty table gives an empty result; columns of the input
-keep their names, and those made here must not be among them (``shard``, ``slot``).
+keep their names, but for ``shard`` and ``slot``, which get an underscore in front.
 """
 
 from __future__ import annotations
@@ -107,8 +107,9 @@ def assigned(rows: DataFrame, shards: int, seed: int, block_rows: int = BLOCK_RO
 def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 1, block_rows: int = BLOCK_ROWS,
                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All rows of ``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0)."""
-    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError("the input already has a column shard or slot; rename it")
+    for c in docs.columns:
+        if c.lower() in ("shard", "slot"):
+            docs = docs.withColumnRenamed(c, fresh(docs, "_" + c))
     r = fresh(docs, "_r")
     numbered = write_table(docs.withColumn(r, F.monotonically_increasing_id()), "rows")
     made = assigned(numbered.select(F.col(r).alias("r")), shards, seed, block_rows, chunk_rows)

@@ -2,7 +2,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from corpora import CLASHING, corner_rows, make
 from fundlens.llm import sharding
@@ -35,8 +34,6 @@ def test_small_blocks_and_chunks_keep_all_rows_and_columns(spark):
     check(rows, 4)
     key = lambda r: repr((r.doc_id, r.text, r.source))
     assert Counter(map(key, rows)) == Counter(map(key, docs.collect()))
-    with pytest.raises(ValueError):
-        sharding.shuffle_to_shards(docs.withColumnRenamed("u", "slot"))
 
 
 def test_hypergeometric_law():
@@ -69,3 +66,11 @@ def test_uniform(spark):
         together += sum(shard[i] == shard[i + 1] for i in range(39))
     assert all(abs(n - 20) < 18 for n in hits.values()) and len(hits) == 16
     assert abs(together / (8 * 39) - 9 / 39) < 0.1
+
+
+def test_clashing_columns_are_kept_beside(spark):
+    docs = make(spark, corner_rows()).selectExpr("*", "7 AS shard", "8 AS Slot", "9 AS _r", "10 AS s", "11 AS c", "12 AS key")
+    out = sharding.shuffle_to_shards(docs, 4)
+    assert out.columns == [*docs.columns[:5], "_shard", "_Slot", *docs.columns[7:], "shard", "slot"]
+    got = out.collect()
+    assert len(got) == docs.count() and {(r._shard, r._Slot) for r in got} == {(7, 8)} and {r.shard for r in got} == {0, 1, 2, 3}
