@@ -247,8 +247,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     near = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
     near = write_table(near.mapInArrow(_near, "a long, b long"), "near")
     wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = write_table(wanted.join(classes, "node").select("node", "rep"), "wanted")
-    texts = docs.join(small_side(wanted, 500_000), F.col("doc").eqNullSafe(F.col("rep"))).select("node", "t")
+    # one member stands for its set; id and text hash find it, however many rows share its id
+    wanted = write_table(wanted.join(classes, "node").select("node", F.col("first.doc").alias("r_doc"), F.col("first.th").alias("r_th")), "wanted")
+    hashed = docs.withColumn("th", F.xxhash64(whole("t")))
+    texts = hashed.join(small_side(wanted, 500_000), (F.col("th") == F.col("r_th")) & F.col("doc").eqNullSafe(F.col("r_doc"))).select("node", "t")
     texts = write_table(texts.mapInArrow(_own_text, "node long, t string").dropDuplicates(["node"]), "texts")
     of = lambda s: texts.select(F.col("node").alias(s), F.col("t").alias(f"t_{s}"))
     both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "t_a", "t_b")

@@ -116,3 +116,24 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     assert sorted((x for x in got if x[1] not in sum(groups, [])), key=repr) == sorted(sure, key=repr)
     for texts in groups:
         assert [d for d, t in got if t in texts] == [None]
+
+
+def test_shared_and_null_ids_cost_no_more_than_distinct_ones(spark):
+    """One id, or none, for every row: the rows of an id meet no other set of the id."""
+    import time
+
+    rng = random.Random(31)
+    texts = [sentence(rng, 40) for _ in range(1200)]
+    texts += [t + " tail" for t in texts[:600]]
+    took = {}
+    for name, of in (("warm", lambda i: i), ("distinct", lambda i: i), ("one", lambda i: 5), ("none", lambda i: None)):
+        docs = make(spark, [(of(i), t, "a") for i, t in enumerate(texts)])
+        start = time.perf_counter()
+        got = jaccard_join.digest(docs).collect()
+        took[name] = time.perf_counter() - start
+        assert len(got) == 1800
+        if name == "distinct":
+            assert sum(r.component_id != r.doc_id for r in got) == 600
+        elif name != "warm":
+            assert {r.component_id for r in got} == {of(0)}
+    assert max(took["one"], took["none"]) < 3 * took["distinct"] + 5
