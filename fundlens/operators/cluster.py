@@ -1,14 +1,15 @@
 """Clustering models and the experiment grid.
 
-Models are Spark ML estimators fitted on the train split; labels for every split come from one
-``transform``. The grid is a driver loop of fits only (32 in the default configuration): the labels
-of all configurations are stacked and evaluated in one pass.
+Single models (M1-M3) are Spark ML estimators fitted on the train split; labels for every split come
+from one ``transform``. The grid (M9), the parameter search (M7) and the backward selection (M13) fit
+all their configurations at once (``batched``): the points of every preprocessing or feature subset
+are stacked, an iteration is one scan for all fits, and all labelings are evaluated in one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -16,16 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
+from .batched import KMEANS, MIXTURE, Fit, fit_all, label_all
 from .evaluate import BLOCK_ROWS, evaluate_clusters, silhouette
 from .preprocess import DATASET, LOOK_FEATURES, PREPROCESSING
 
 
 @dataclass
 class ModelSpec:
-    """A named model: ``build(k)`` gives a Spark ML estimator with featuresCol ``_features``, or
-    ``label(x, k)`` labels every row by a rule fitted on the train rows (adds ``pred``)."""
+    """A named model: ``kind`` and parameters of a batched fit, or ``label(x, k)``, which labels every
+    row by a rule fitted on the train rows (adds ``pred``)."""
     name: str
-    build: Callable[[int], object] | None = None
+    kind: str | None = None
+    params: dict = field(default_factory=dict)
     label: Callable[[DataFrame, int], DataFrame] | None = None
 
 
@@ -35,21 +38,23 @@ def kmeans(k: int = 2, seed: int = 0, max_iter: int = 300) -> KMeans:
 
 
 def gmm(k: int = 2, seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> GaussianMixture:
-    """M2: Gaussian mixture with full covariances (``n_clusters`` is ``k``); for several starts fit
-    with several seeds and keep the model of the largest ``summary.logLikelihood`` (``best_gmm``)."""
+    """M2: Gaussian mixture with full covariances (``n_clusters`` is ``k``). ``batched`` has several
+    starts (``n_init``)."""
     return GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
                            predictionCol="pred", probabilityCol="_prob")
 
 
-def best_gmm(x: DataFrame, k: int, n_init: int = 1, seed: int = 0):
-    """The fitted mixture with the largest log-likelihood of ``n_init`` seeded starts."""
-    fits = [gmm(k, seed + i).fit(x) for i in range(n_init)]
-    return max(fits, key=lambda m: m.summary.logLikelihood)
+MODELS = {"KMeansTrainer": ModelSpec("KMeansTrainer", KMEANS), "GMMTrainer": ModelSpec("GMMTrainer", MIXTURE),
+          "QuantileBins": ModelSpec("QuantileBins", label=lambda x, k: quantile_bins(x, "sharpe", k))}
+# parameter names of other libraries' estimators
+ALIASES = {"n_clusters": "k", "n_components": "k", "random_state": "seed", "reg_covar": "reg"}
 
 
-MODELS = {"KMeansTrainer": ModelSpec("KMeansTrainer", lambda k: kmeans(k)),
-          "GMMTrainer": ModelSpec("GMMTrainer", lambda k: gmm(k)),
-          "QuantileBins": ModelSpec("QuantileBins", label=lambda x, k: quantile_bins(x, "sharpe", k))}
+def fit_of(model: str, name: str, space: str, **params) -> Fit:
+    """The batched fit of a named model with keyword parameters."""
+    spec = MODELS[model]
+    given = {ALIASES.get(p, p): v for p, v in {**spec.params, **params}.items()}
+    return Fit(name, space, spec.kind, **given)
 
 
 def quantile_bins(df: DataFrame, col: str, k: int, dataset_col: str = DATASET, fit_on: str = "train",
@@ -62,15 +67,6 @@ def quantile_bins(df: DataFrame, col: str, k: int, dataset_col: str = DATASET, f
     return df.withColumn(out, sum(((F.col(col) > F.lit(q)).cast("int") for q in cuts.values()), F.lit(0)))
 
 
-def labeled_by(x: DataFrame, model: str, k: int, keys: Sequence[str], features: Sequence[str] | None = None,
-               dataset_col: str = DATASET, fit_on: str = "train") -> DataFrame:
-    """Every row of ``x`` with the label of the named model fitted on the train rows."""
-    spec = MODELS[model]
-    if spec.label is not None:
-        return spec.label(x, k)
-    return fit_train_predict_all(x, spec.build(k), features, dataset_col, fit_on, keys)
-
-
 def _features_of(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in keys and c != "pred"]
 
@@ -102,55 +98,84 @@ def assign_to_centroids(df: DataFrame, vector_col: str, centroids: DataFrame, ou
 CONFIG = ("model", "n_clusters", "preprocessing")
 
 
-def labelings(raw: DataFrame, models: Sequence[str], clusters: Sequence[int], preprocessing: Sequence[str],
-              look_features: Sequence[str], key: str, dataset_col: str) -> DataFrame:
-    """Every configuration's labels, stacked: key, dataset, pred, the transformed features as one
-    array, and the configuration's names. Written once; the fits are the driver's only loop."""
-    stacked = None
-    for p in preprocessing:
-        x = write_table(PREPROCESSING[p](raw, list(look_features)), "prepared")
-        features = _features_of(x, (key, dataset_col))
-        for m in models:
-            for k in clusters:
-                one = labeled_by(x, m, k, (key, dataset_col)).select(
-                    key, dataset_col, "pred", F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
-                    F.lit(m).alias("model"), F.lit(k).alias("n_clusters"), F.lit(p).alias("preprocessing"))
-                stacked = one if stacked is None else stacked.unionByName(one)
-    return write_table(stacked, "labelings")
-
-
-def run_all_experiments(fund_features: DataFrame, models: Sequence[str] = ("KMeansTrainer", "GMMTrainer"),
+def stacked_points(spaces: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(space, x, keys) of all spaces, written: each space's features as one array."""
+    out = None
+    for name, x in spaces.items():
+        one = x.select(F.lit(name).alias("space"), F.array(*[F.col(c).cast("double") for c in _features_of(x, keys)]).alias("x"), *keys)
+        out = one if out is None else out.unionByName(one)
+    return write_table(out, "points")
+
+
+def train_points(points: DataFrame, key: str, dataset_col: str | None, fit_on: str) -> DataFrame:
+    """(space, key, x) of the rows to fit on, those with a missing feature left out."""
+    rows = points if dataset_col is None else points.where(F.col(dataset_col) == fit_on)
+    whole = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
+    return write_table(rows.where(whole).select("space", F.col(key).cast("string").alias("key"), "x"), "train-points")
+
+
+def labelings(raw: DataFrame, models: Sequence[str | tuple[str, dict]], clusters: Sequence[int], preprocessing: Sequence[str],
+              look_features: Sequence[str], key: str, dataset_col: str, fit_on: str = "train") -> DataFrame:
+    """Every configuration's labels, stacked and written: key, dataset, pred, the transformed features
+    as one array, and the configuration's names. All fits run in two loops of scans."""
+    spaces = {p: PREPROCESSING[p](raw, list(look_features)) for p in preprocessing}
+    points = stacked_points(spaces, (key, dataset_col))
+    named = [(m, {}) if isinstance(m, str) else m for m in models]
+    config = {f"{m}|{k}|{p}": (m, k, p, params) for m, params in named for k in clusters for p in preprocessing}
+    fits = [fit_of(m, name, p, k=k, **params) for name, (m, k, p, params) in config.items() if MODELS[m].kind]
+    parts = []
+    if fits:
+        labeled = label_all(points, fit_all(train_points(points, key, dataset_col, fit_on), fits), [f.name for f in fits], (key, dataset_col))
+        part = lambda i: F.split("fit", r"\|")[i]
+        parts.append(labeled.select(key, dataset_col, "pred", "x", part(0).alias("model"), part(1).cast("int").alias("n_clusters"), part(2).alias("preprocessing")))
+    for m, k, p, _ in config.values():
+        if not MODELS[m].kind:
+            x = spaces[p]
+            parts.append(MODELS[m].label(x, k).select(key, dataset_col, "pred", F.array(*[F.col(c).cast("double") for c in _features_of(x, (key, dataset_col))]).alias("x"),
+                                                      F.lit(m).alias("model"), F.lit(k).alias("n_clusters"), F.lit(p).alias("preprocessing")))
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return write_table(out, "labelings")
+
+
+def run_all_experiments(fund_features: DataFrame, models: Sequence[str | tuple[str, dict]] = ("KMeansTrainer", "GMMTrainer"),
                         clusters: Sequence[int] = (2, 3, 4, 5),
                         preprocessing: Sequence[str] = ("just_filter", "scalling", "PCA", "PCA_scalling"),
                         look_features: Sequence[str] = LOOK_FEATURES, key: str = "fund_cnpj",
                         dataset_col: str = DATASET, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """M9: every (model, k, preprocessing) fitted on train and evaluated on train, test and
-    validation; the stacked labelings are evaluated in one pass (M4)."""
+    validation; the stacked labelings are evaluated in one pass (M4). A model is a name, or a name and
+    keyword parameters such as ``("GMMTrainer", {"n_init": 5})``."""
     raw = write_table(fund_features.dropna(subset=list(look_features)), "experiment-rows")
     labeled = labelings(raw, models, clusters, preprocessing, look_features, key, dataset_col)
     raw_pred = raw.select(key, dataset_col, *look_features).join(labeled.drop("x"), [key, dataset_col])
     return evaluate_clusters(raw_pred, labeled, look_features, key, by=[*CONFIG, dataset_col], block_rows=block_rows)
 
 
+SAME_SCORE = 1e-12  # scores of equal labelings differ by the order of their sums at most
+
+
 def param_search(x: DataFrame, model: str, param_grid: Sequence[dict], key: str = "fund_cnpj",
                  features: Sequence[str] | None = None) -> tuple[dict | None, float, DataFrame | None]:
-    """M7: fit each parameter set on all rows, score by exact silhouette; the first strictly best
-    wins. Returns (params, score, labels)."""
-    best, best_score, best_labels = None, float("-inf"), None
+    """M7: all parameter sets fitted at once on all rows and scored by one stacked exact silhouette;
+    the first strictly best wins. Returns (params, score, labels)."""
     feats = list(features) if features else [c for c in x.columns if c != key]
-    for params in param_grid:
-        k = int(params.get("n_clusters", params.get("k", 2)))
-        est = MODELS[model].build(k)
-        for name, v in params.items():
-            if name not in ("n_clusters", "k") and est.hasParam(name):
-                est = est.copy({est.getParam(name): v})
-        vec = VectorAssembler(inputCols=feats, outputCol="_features").transform(x)
-        labels = est.fit(vec).transform(vec).select(*x.columns, F.col("pred").cast("int").alias("pred"))
-        row = silhouette(labels, "pred", feats, key).first()
-        score = row["silhouette_score"] if row and row["silhouette_score"] is not None else float("-inf")
-        if score > best_score:
-            best, best_score, best_labels = dict(params), score, labels
-    return best, best_score, best_labels
+    if not param_grid:
+        return None, float("-inf"), None
+    points = stacked_points({"all": x.select(key, *feats)}, (key,))
+    fits = [fit_of(model, str(i), "all", **params) for i, params in enumerate(param_grid)]
+    labels = write_table(label_all(points, fit_all(train_points(points, key, None, ""), fits), [f.name for f in fits], (key,)), "search")
+    scores = {r["fit"]: r["silhouette_score"] for r in silhouette(labels, "pred", "x", key, by=["fit"]).collect()}   # a row per set
+    best, best_score = None, float("-inf")
+    for i in range(len(fits)):
+        score = scores.get(str(i))
+        if score is not None and score > best_score + SAME_SCORE:
+            best, best_score = i, score
+    if best is None:
+        return None, best_score, None
+    own = labels.where(F.col("fit") == str(best)).select(key, "pred")
+    return dict(param_grid[best]), best_score, x.join(own, key)
 
 
 WORST = -1e9  # fixed value: the score of a labeling with fewer than two clusters
@@ -158,14 +183,20 @@ WORST = -1e9  # fixed value: the score of a labeling with fewer than two cluster
 
 def score_subsets(x: DataFrame, model: str, k: int, subsets: dict[str, list[str]], key: str, dataset_col: str,
                   fit_on: str, score_on: str) -> DataFrame:
-    """(subset, score): for each named feature subset the exact silhouette of the scored split. All
-    labelings are stacked and scored in one pass."""
-    stacked = None
-    for name, cols in subsets.items():
-        one = labeled_by(x.select(key, dataset_col, *cols), model, k, (key, dataset_col), cols, dataset_col, fit_on
-                         ).where(F.col(dataset_col) == score_on)
-        one = one.select(F.lit(name).alias("subset"), key, "pred", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-        stacked = one if stacked is None else stacked.unionByName(one)
+    """(subset, score): for each named feature subset the exact silhouette of the scored split. The
+    subsets are fitted at once, and their labelings scored in one pass."""
+    keys = (key, dataset_col)
+    if MODELS[model].kind:
+        points = stacked_points({name: x.select(*keys, *cols) for name, cols in subsets.items()}, keys)
+        fits = [fit_of(model, name, name, k=k) for name in subsets]
+        models = fit_all(train_points(points, key, dataset_col, fit_on), fits)
+        stacked = label_all(points.where(F.col(dataset_col) == score_on), models, list(subsets), keys).withColumnRenamed("fit", "subset").drop(dataset_col)
+    else:
+        stacked = None
+        for name, cols in subsets.items():
+            one = MODELS[model].label(x.select(*keys, *cols), k).where(F.col(dataset_col) == score_on)
+            one = one.select(F.lit(name).alias("subset"), key, "pred", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+            stacked = one if stacked is None else stacked.unionByName(one)
     scored = silhouette(write_table(stacked, "subsets"), "pred", "x", key, by=["subset"])
     return scored.select("subset", F.coalesce("silhouette_score", F.lit(WORST)).alias("score"))
 

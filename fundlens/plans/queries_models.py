@@ -123,6 +123,54 @@ def m1_kmeans(spark, sf_dir):
     return M.fit_train_predict_all(x, M.kmeans(3))
 
 
+_STEPS = 20  # Lloyd's steps of the query below and of its oracle; the clusters settle earlier
+
+
+def _lloyd_ctes(k: int, steps: int) -> str:
+    """Farthest-first start and ``steps`` steps of Lloyd's algorithm over tr(x, h) as a chain of CTEs."""
+    dist = "list_distance(tr.x, c.x)"
+    out = ["f0 AS MATERIALIZED (SELECT 0 AS label, x FROM tr ORDER BY h DESC LIMIT 1)"]
+    for j in range(1, k):
+        out.append(f"f{j} AS MATERIALIZED (SELECT * FROM f{j - 1} UNION ALL SELECT * FROM (SELECT {j} AS label, x FROM (SELECT tr.x, tr.h, "
+                   f"min({dist}) AS d FROM tr, f{j - 1} c GROUP BY tr.x, tr.h) ORDER BY d DESC, h DESC LIMIT 1))")
+    out.append(f"s0 AS MATERIALIZED (SELECT * FROM f{k - 1})")
+    mean = ", ".join(f"avg(x[{i + 1}])" for i in range(len(LOOK)))
+    for t in range(1, steps + 1):
+        out.append(f"s{t} AS MATERIALIZED (SELECT c.label, coalesce(m.x, c.x) AS x FROM s{t - 1} c LEFT JOIN (SELECT label, [{mean}] AS x FROM "
+                   f"(SELECT tr.x, arg_min(c.label, ({dist}, c.label)) AS label FROM tr, s{t - 1} c GROUP BY tr.x, tr.h) GROUP BY label) m USING (label))")
+    return ",\n".join(out)
+
+
+@register("m1_kmeans_labels", _X7_CTES + f""",
+po AS (SELECT fund_cnpj, dataset, [{", ".join(f"CAST({c} AS DOUBLE)" for c in LOOK)}] AS x FROM ex),
+tr AS MATERIALIZED (SELECT x, md5('0|' || fund_cnpj) AS h FROM po WHERE dataset = 'train'),
+{_lloyd_ctes(3, _STEPS)}
+SELECT fund_cnpj, dataset, CAST(arg_min(c.label, (list_distance(po.x, c.x), c.label)) AS INTEGER) AS pred
+FROM po, s{_STEPS} c GROUP BY fund_cnpj, dataset, po.x""")
+def m1_kmeans_labels(spark, sf_dir):
+    """M1 + M3: seeded k-means (k = 3) of the batched fits on the train funds, labels for every split."""
+    from ..operators.batched import Fit, fit_all, label_all
+
+    keys = ("fund_cnpj", "dataset")
+    points = M.stacked_points({"just_filter": P.just_filter(exp_input(spark, sf_dir))}, keys)
+    fits = [Fit("k3", "just_filter", k=3, max_iter=_STEPS)]
+    models = fit_all(M.train_points(points, "fund_cnpj", "dataset", TRAIN), fits)
+    return label_all(points, models, ["k3"], keys).select(*keys, "pred")
+
+
+@register("m2_gmm_starts")
+def m2_gmm_starts(spark, sf_dir):
+    """M2: mixtures of 2 to 5 components on scaled train funds, the best of three starts each, fitted at
+    once; labels for every split."""
+    from ..operators.batched import MIXTURE, Fit, fit_all, label_all
+
+    keys = ("fund_cnpj", "dataset")
+    points = M.stacked_points({"scalling": P.robust_scale(exp_input(spark, sf_dir))}, keys)
+    fits = [Fit(f"k{k}", "scalling", MIXTURE, k, n_init=3) for k in (2, 3, 4, 5)]
+    models = fit_all(M.train_points(points, "fund_cnpj", "dataset", TRAIN), fits)
+    return label_all(points, models, [f.name for f in fits], keys).select(*keys, "fit", "pred")
+
+
 @register("m2_gmm")
 def m2_gmm(spark, sf_dir):
     """M2: Gaussian mixture (k=3) fitted on train fund features."""
@@ -349,6 +397,15 @@ def x8_run_and_report(spark, sf_dir):
     return run_and_report(fund_table(spark, sf_dir), models=("QuantileBins",), preprocessing=("just_filter",))
 
 
+@register("x8_full_grid_report")
+def x8_full_grid_report(spark, sf_dir):
+    """X8 with its defaults: both models, k = 2 to 5 and all four preprocessings (32 configurations),
+    from the fund table over fits, evaluation and result CSV to the selected one's stability."""
+    from .report import run_and_report
+
+    return run_and_report(fund_table(spark, sf_dir))
+
+
 @register("m13_backward_feature_selection")
 def m13_backward_feature_selection(spark, sf_dir):
     """Greedy backward elimination (k-means k=3, fit on train, silhouette on test)."""

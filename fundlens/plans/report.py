@@ -15,7 +15,7 @@ from ..sources.files import write_csv
 from .build import experiment_input
 
 
-def run_and_report(fund_features: DataFrame, models: Sequence[str] = ("KMeansTrainer", "GMMTrainer"),
+def run_and_report(fund_features: DataFrame, models: Sequence[str | tuple[str, dict]] = ("KMeansTrainer", "GMMTrainer"),
                    clusters: Sequence[int] = (2, 3, 4, 5),
                    preprocessing: Sequence[str] = ("just_filter", "scalling", "PCA", "PCA_scalling"),
                    csv_path: str | None = None, metrics: Sequence[str] = (*LOOK_FEATURES, "cluster_size")) -> DataFrame:
