@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import digits_only, snake_case
+from .carry import carry
 
 ID, DATE = "fund_cnpj", "report_date"
 
@@ -204,21 +205,13 @@ def final_processing(df: DataFrame, as_date: bool = True) -> DataFrame:
 def fix_missing_id(df: DataFrame, method: str = "drop", order_cols: Sequence[str] = (), id_col: str = ID,
                    partition_cols: Sequence[str] = ()) -> DataFrame:
     """V9: ``drop`` rows with a NULL or '' id; ``fill_forward`` / ``fill_backward`` take the nearest
-    id in source order (``order_cols``) within ``partition_cols``, which a fill requires (such as the
-    source file: without it the whole table would be one task). Unknown method: unchanged."""
-    from pyspark.sql import Window
-
+    id in source order (``order_cols``), within ``partition_cols`` (such as the source file) or over
+    the whole table; an id that nothing precedes (follows) stays NULL. Unknown method: unchanged."""
     c = F.col(id_col)
     if method == "drop":
         return df.where(c.isNotNull() & (c != ""))
     if method in ("fill_forward", "fill_backward"):
-        if not partition_cols:
-            raise ValueError("a fill needs partition_cols, for instance the source file")
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-        clean = F.when(c != "", c)
-        if method == "fill_forward":
-            filled = F.last(clean, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        else:
-            filled = F.first(clean, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return df.withColumn(id_col, F.coalesce(clean, filled))
+        if not order_cols:
+            raise ValueError("a fill needs order_cols, the source order")
+        return carry(df.withColumn(id_col, F.when(c != "", c)), id_col, order_cols, partition_cols, method == "fill_backward")
     return df

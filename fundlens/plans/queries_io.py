@@ -386,6 +386,32 @@ def v9_fix_missing_id(spark, sf_dir):
     return N.fix_missing_id(_catalog_ids(spark, sf_dir), "drop")
 
 
+def _source_ids(spark, sf_dir):
+    """``_catalog_ids`` beside the fund that stands in the source, which orders the rows of a date."""
+    p = panel(spark, sf_dir).select(F.col("fund_cnpj").alias("source_id"), "report_date")
+    cat = read_table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0).select(
+        F.lpad(F.col("s_suppkey").cast("string"), 14, "0").alias("fund_cnpj"))
+    return p.join(cat, p["source_id"] == cat["fund_cnpj"], "left").select("source_id", "report_date", "fund_cnpj")
+
+
+_FILL_SQL = f"""WITH {S.PANEL_CTE},
+c AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cid FROM supplier WHERE s_acctbal > 0)
+SELECT p.fund_cnpj AS source_id, report_date, {{value}} OVER (ORDER BY report_date, p.fund_cnpj ROWS BETWEEN {{rows}}) AS fund_cnpj
+FROM panel p LEFT JOIN c ON p.fund_cnpj = cid"""
+
+
+@register("v9_fill_forward", _FILL_SQL.format(value="last_value(cid IGNORE NULLS)", rows="UNBOUNDED PRECEDING AND CURRENT ROW"))
+def v9_fill_forward(spark, sf_dir):
+    """V9 (forward): missing ids take the last id before them, the table being one sequence."""
+    return N.fix_missing_id(_source_ids(spark, sf_dir), "fill_forward", ["report_date", "source_id"])
+
+
+@register("v9_fill_backward", _FILL_SQL.format(value="first_value(cid IGNORE NULLS)", rows="CURRENT ROW AND UNBOUNDED FOLLOWING"))
+def v9_fill_backward(spark, sf_dir):
+    """V9 (backward): missing ids take the first id after them."""
+    return N.fix_missing_id(_source_ids(spark, sf_dir), "fill_backward", ["report_date", "source_id"])
+
+
 @register("v2_missing_id_report", f"""WITH {S.PANEL_CTE},
 c AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cid FROM supplier WHERE s_acctbal > 0),
 m AS (SELECT p.report_date FROM panel p WHERE p.fund_cnpj NOT IN (SELECT cid FROM c)),
