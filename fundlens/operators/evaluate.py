@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..session import cut_lineage, ship_package, write_table
+from ..session import ship_package, write_table
 
 BLOCK_ROWS = 2048
 
@@ -204,94 +204,38 @@ def evaluate_clusters(raw: DataFrame, transformed: DataFrame, look_features: Seq
 def wasserstein_1d(u: DataFrame, v: DataFrame, value_col: str, by: Sequence[str] = (),
                    partitions: int | None = None) -> DataFrame:
     """M8: W1 between the empirical distributions of ``value_col`` in ``u`` and ``v`` per ``by``
-    group: sum over consecutive pooled distinct values of |F_u - F_v| * gap."""
+    group: sum over consecutive pooled distinct values of |F_u - F_v| * gap. NULL for a group that one
+    side lacks.
+
+    Pooled values are range-partitioned, so a large group lies in many ranges. Each piece (a group in
+    a range) is summed up by a row; prefix sums of these rows along a group give what a piece begins
+    with, and running counts inside the piece do the rest. No window holds more than a piece."""
     by = list(by)
     spark = u.sparkSession
-    ship_package(spark)
-    pooled = (u.select(*by, F.col(value_col).cast("double").alias("_v"), F.lit(1).alias("_cu"), F.lit(0).alias("_cv"))
-              .unionByName(v.select(*by, F.col(value_col).cast("double").alias("_v"), F.lit(0).alias("_cu"),
-                                    F.lit(1).alias("_cv")))
-              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    side = lambda d, cu, cv: d.select(*by, F.col(value_col).cast("double").alias("_v"), F.lit(cu).alias("_cu"), F.lit(cv).alias("_cv"))
+    pooled = (side(u, 1, 0).unionByName(side(v, 0, 1)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
               .groupBy(*by, "_v").agg(F.sum("_cu").alias("_cu"), F.sum("_cv").alias("_cv")))
-    if not by:
-        pooled = pooled.withColumn("_g", F.lit("all"))
-        keys = ["_g"]
-    else:
-        keys = by
+    keys = by or ["_g"]
+    pooled = pooled if by else pooled.withColumn("_g", F.lit("all"))
     pooled = pooled.withColumn("_k", F.to_json(F.struct(*keys)))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(pooled.repartitionByRange(n, "_k", "_v").sortWithinPartitions("_k", "_v")
-                         .select("_k", "_v", "_cu", "_cv"))
-    summary = (ranged.groupBy(F.spark_partition_id().alias("_pid"), "_k")
-               .agg(F.sum("_cu").alias("su"), F.sum("_cv").alias("sv"), F.min("_v").alias("first"))
-               .collect())  # <= partitions + groups rows
-    tot: dict[str, list[float]] = {}
-    for r in summary:
-        t = tot.setdefault(r["_k"], [0, 0])
-        t[0] += r["su"]
-        t[1] += r["sv"]
-    carry, nxt = {}, {}
-    by_key: dict[str, list] = {}
-    for r in sorted(summary, key=lambda r: (r["_k"], r["_pid"])):
-        by_key.setdefault(r["_k"], []).append(r)
-    for k, rows in by_key.items():
-        cu = cv = 0
-        for i, r in enumerate(rows):
-            carry[(r["_pid"], k)] = (cu, cv)
-            nxt[(r["_pid"], k)] = rows[i + 1]["first"] if i + 1 < len(rows) else None
-            cu += r["su"]
-            cv += r["sv"]
-
-    def scan(it):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        acc: dict[str, float] = {}
-        run: dict[str, list] = {}
-        pend = None  # (k, v, diff) of the last row of the previous batch
-        for pdf in it:
-            if pdf.empty:
-                continue
-            ks, vs = pdf["_k"].to_numpy(), pdf["_v"].to_numpy(dtype=np.float64)
-            cus, cvs = pdf["_cu"].to_numpy(dtype=np.float64), pdf["_cv"].to_numpy(dtype=np.float64)
-            if pend is not None:
-                pk, pv, pdiff = pend
-                if pk == ks[0]:
-                    acc[pk] = acc.get(pk, 0.0) + pdiff * (vs[0] - pv)
-                else:
-                    _close(acc, pk, pv, pdiff, nxt.get((pid, pk)))
-            edges = [0, *(np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist(), len(ks)]
-            for start, i in zip(edges[:-1], edges[1:]):
-                k = ks[start]
-                c0 = run.setdefault(k, list(carry.get((pid, k), (0, 0))))
-                fu = (c0[0] + np.cumsum(cus[start:i])) / tot[k][0]
-                fv = (c0[1] + np.cumsum(cvs[start:i])) / tot[k][1]
-                c0[0] += cus[start:i].sum()
-                c0[1] += cvs[start:i].sum()
-                diff = np.abs(fu - fv)
-                seg = vs[start:i]
-                acc[k] = acc.get(k, 0.0) + float((diff[:-1] * np.diff(seg)).sum())
-                if i == len(ks):
-                    pend = (k, seg[-1], diff[-1])
-                else:
-                    _close(acc, k, seg[-1], diff[-1], nxt.get((pid, k)))
-        if pend is not None:
-            _close(acc, pend[0], pend[1], pend[2], nxt.get((pid, pend[0])))
-        if acc:
-            yield pd.DataFrame({"_k": list(acc), "_w": list(acc.values())})
-
-    parts = ranged.mapInPandas(scan, "_k string, _w double")
-    w = parts.groupBy("_k").agg(F.sum("_w").alias("wasserstein"))
+    ranged = write_table(pooled.repartitionByRange(n, "_k", "_v").select("_k", "_v", "_cu", "_cv", F.spark_partition_id().alias("_pid")), "w1-ranges")
+    pieces = ranged.groupBy("_k", "_pid").agg(F.sum("_cu").alias("_su"), F.sum("_cv").alias("_sv"), F.min("_v").alias("_first"))
+    along, group = Window.partitionBy("_k").orderBy("_pid"), Window.partitionBy("_k")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_k", "_pid", F.lead("_first").over(along).alias("_next"),
+                           *[F.coalesce(F.sum(f"_s{x}").over(before), F.lit(0)).alias(f"_b{x}") for x in "uv"],
+                           *[F.sum(f"_s{x}").over(group).alias(f"_t{x}") for x in "uv"])
+    inside = Window.partitionBy("_k", "_pid").orderBy("_v")
+    until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.select("_k", "_pid", "_v", F.lead("_v").over(inside).alias("_n"), *[F.sum(f"_c{x}").over(until).alias(f"_r{x}") for x in "uv"])
+    share = lambda x: F.try_divide(F.col(f"_b{x}") + F.col(f"_r{x}"), F.col(f"_t{x}"))
+    gap = F.coalesce("_n", "_next") - F.col("_v")
+    w = rows.join(pieces, ["_k", "_pid"]).groupBy("_k").agg(
+        F.sum(F.coalesce(F.abs(share("u") - share("v")) * gap, F.lit(0.0))).alias("_w"), F.min(F.least("_tu", "_tv")).alias("_both"))
     out = w.select(F.from_json("_k", ", ".join(f"`{c}` {t}" for c, t in _types(pooled, keys))).alias("_s"),
-                   "wasserstein").select("_s.*", "wasserstein")
-    return out.drop("_g") if not by else out
-
-
-def _close(acc, k, v, diff, next_first):
-    if next_first is not None:
-        acc[k] = acc.get(k, 0.0) + float(diff) * (next_first - v)
-    else:
-        acc.setdefault(k, 0.0)
+                   F.when(F.col("_both") > 0, F.col("_w")).alias("wasserstein")).select("_s.*", "wasserstein")
+    return out if by else out.drop("_g")
 
 
 # ------------------------------------------------------------------ M10-M12 on experiment results

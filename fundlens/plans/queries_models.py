@@ -346,6 +346,20 @@ def m8_wasserstein_1d(spark, sf_dir):
     return EV.wasserstein_1d(u, v, "value", by=["feature"])
 
 
+_M8_FUND_SQL = (f"WITH {S.PANEL_CTE},\nuu AS (SELECT fund_cnpj AS feature, quota_value AS value FROM panel WHERE report_date <= DATE '{C1_CUT}'),\n"
+                f"vv AS (SELECT fund_cnpj AS feature, quota_value AS value FROM panel WHERE report_date >= DATE '{C2_CUT}'),\n"
+                + _w1_sql("uu", "vv", "") + "\nSELECT feature AS fund_cnpj, round(w, 6) AS wasserstein FROM w1 JOIN tot USING (feature) WHERE nu > 0 AND nv > 0")
+
+
+@register("m8_wasserstein_by_fund", _M8_FUND_SQL)
+def m8_wasserstein_by_fund(spark, sf_dir):
+    """M8: W1 between every fund's quotas of the train period and of the validation period."""
+    p = panel(spark, sf_dir).select("fund_cnpj", "report_date", "quota_value")
+    u = p.where(F.col("report_date") <= F.lit(C1_CUT).cast("date"))
+    v = p.where(F.col("report_date") >= F.lit(C2_CUT).cast("date"))
+    return EV.wasserstein_1d(u, v, "quota_value", by=["fund_cnpj"]).where("wasserstein IS NOT NULL")
+
+
 @register("m9_run_all_experiments")
 def m9_run_all_experiments(spark, sf_dir):
     """M9: the reference grid (2 models x k 2..5 x 4 preprocessings) evaluated on 3 splits."""
