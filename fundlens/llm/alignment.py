@@ -36,7 +36,7 @@ from ..session import write_table
 from .bpe import ByteBPE, SentenceBPE, cut_all, gathered, slices
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SLICE = 8 << 20
+SLICE = 4 << 20
 WORK = 1 << 15
 WIDE = 1 << 12
 HOT = 1 << 20

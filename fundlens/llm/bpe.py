@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 REMEMBERED = 300_000
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = "ɐ"              # below this the two pattern libraries agree on every character's class

@@ -90,14 +90,18 @@ def _encode_rows(rows: np.ndarray, percentile: int) -> list[bytes]:
     head = np.zeros(len(rows), BLOCK)
     head["least"], head["width"], head["patches"] = least, width, over.sum(axis=1)
     low = np.where(over, 0, rest)
-    out = [b""] * len(rows)
+    row, place = np.nonzero(over)
+    places, values = place.astype("<u4").tobytes(), rest[over].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(np.bincount(row, minlength=len(rows)))).tolist()
+    heads, size, out = head.tobytes(), BLOCK.itemsize, [b""] * len(rows)
     for w in np.unique(width).tolist():
         these = np.flatnonzero(width == w)
         for part in np.array_split(these, len(these) // 2048 + 1):
             bits = packed_bits(low[part], w)
+            raw, step = bits.tobytes(), bits.shape[1]
             for k, i in enumerate(part.tolist()):
-                places = np.flatnonzero(over[i]).astype("<u4")
-                out[i] = head[i].tobytes() + bits[k].tobytes() + places.tobytes() + rest[i][places].astype("<u4").tobytes()
+                s, e = ends[i - 1] if i else 0, ends[i]
+                out[i] = heads[size * i:size * (i + 1)] + raw[step * k:step * (k + 1)] + places[s:e] + values[s:e]
     return out
 
 
