@@ -110,18 +110,26 @@ def validate_id(df: DataFrame, id_col: str = ID) -> DataFrame:
                       .alias("valid"), "*")
 
 
+SKETCH_BITS = 16
+SKETCH_ERROR = 6 * 0.8326 / 2 ** (SKETCH_BITS / 2)     # six standard deviations of the sketch's estimate
+
+
 def infer_id_by_cardinality(df: DataFrame, out: str = ID, ratio: float = 0.9) -> DataFrame:
     """When no id column exists, the first column whose name contains id/cod/num and whose
-    exact distinct count exceeds ``ratio`` x rows becomes ``out`` (one aggregate job)."""
+    distinct count exceeds ``ratio`` x rows becomes ``out``. One aggregate has a sketch of every
+    candidate; a column is counted exactly only if the threshold lies within the sketch's error."""
     if out in df.columns:
         return df
     cands = [c for c in df.columns if any(p in c.lower() for p in ("id", "cod", "num"))]
     if not cands:
         return df
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cands)]).first()
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), SKETCH_BITS))
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[sketch(c).alias(f"d{i}") for i, c in enumerate(cands)]).first()
     for i, c in enumerate(cands):
-        if row[f"d{i}"] > ratio * row["_n"]:
+        n, limit = row[f"d{i}"] or 0, ratio * row["_n"]
+        if n * (1 - SKETCH_ERROR) <= limit < n * (1 + SKETCH_ERROR):
+            n = df.agg(F.countDistinct(F.col(f"`{c}`"))).first()[0]
+        if n > limit:
             return df.withColumnRenamed(c, out)
     return df
 

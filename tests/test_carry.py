@@ -47,3 +47,15 @@ def test_fills_of_ids(spark):
     assert ids("fill_forward", ["n"], "fund_cnpj", ["source"]) == [None, "a", "a", None, "b"]
     assert ids("fill_backward", ["n"]) == ["a", "a", "b", "b", "b"]
     assert ids("drop") == ["a", "b"] and len(ids("other")) == 5
+
+
+def test_id_by_cardinality_at_the_threshold(spark):
+    """Exactly ``ratio`` of the rows is too few; one value more is enough, whatever the sketch says."""
+    from fundlens.operators.normalize import infer_id_by_cardinality
+
+    for n in (100, 20_000):
+        at = int(0.9 * n)
+        rows = spark.range(n).selectExpr("id % 7 AS num_a", f"if(id < {at}, id, 0) AS cod_b", f"if(id <= {at}, id, 0) AS c_id", "id AS id_late", "cast(null AS string) AS num_null")
+        assert infer_id_by_cardinality(rows).columns == ["num_a", "cod_b", "fund_cnpj", "id_late", "num_null"]
+        assert infer_id_by_cardinality(rows.select("num_a", "cod_b", "num_null")).columns == ["num_a", "cod_b", "num_null"]
+    assert infer_id_by_cardinality(rows.limit(0)).columns == rows.columns
