@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 the shared folder and rereads it as the next stage's ``docs``. All but the last return the columns
 of ``documents``; the last adds ``shard`` and ``slot``. The fourth stage repeats a document for
 each copy that the mix takes; sharding treats the copies as rows of their own.
+
+Defined cases: a null or empty text fails the quality rules; null ids and sources are kept, and of
+near copies without an id one stays, as of those with one; rows that repeat an id with another text
+are documents of their own, those that repeat both are one document repeated and stay or go together;
+an empty table gives an empty result with all columns; further columns pass through all stages, and
+those named ``shard`` or ``slot`` get an underscore in front in the last one.
 """
 
 from __future__ import annotations
