@@ -58,3 +58,29 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert max(counts) - min(counts) <= 1
     assert all(sorted(r.slot for r in out if r.shard == s) == list(range(counts[s])) for s in range(16))
     assert [n for n, _ in corpus_pipeline.STAGES] and out[0].asDict().keys() == {*docs.columns, "shard", "slot"}
+
+
+def test_pipeline_on_corner_cases(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, clashing columns, an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    texts = [sentence(rng, 90) for _ in range(12)]
+    rows = corner_rows() + [(None, texts[0], None), (None, texts[0] + " tail", "a"), (500, texts[0], "b"), (500, texts[1], "b")]
+    rows += [(501, texts[2], "c")] * 3 + [(None, texts[3], "c")] * 2 + [(502, texts[1] + " tail", None)] + [(600 + i, t, "a") for i, t in enumerate(texts[4:])]
+    spark.createDataFrame([(1, texts[4]), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clashing = (*CLASHING, "shard", "slot", "item_id")
+    make(spark, rows, clashing).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert {"_shard", "_slot", "shard", "slot", "item_id", *CLASHING} <= set(out.columns)
+    got = out.collect()
+    kept = {r.text for r in got}
+    assert None not in kept and "" not in kept and texts[4] not in kept                 # no words, or a benchmark item
+    assert texts[0] in kept and texts[0] + " tail" not in kept                          # the copy with an id stays
+    assert texts[1] in kept and texts[1] + " tail" not in kept
+    assert all(r["_shard"] == 1 and 0 <= r.shard < 16 for r in got)
+    empty = tmp_path / "empty"
+    make(spark, rows).limit(0).write.parquet(f"file://{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{empty}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{empty}")
+    assert out.collect() == [] and {"shard", "slot", "doc_id"} <= set(out.columns)
