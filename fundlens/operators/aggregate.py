@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import adjusted_kurt, adjusted_skew, inf_to_null, nan_to_null, safe_divide, stddev_samp
@@ -24,7 +24,8 @@ def _corr(x: str, y: str, mode: str, min_periods: int) -> Column:
     ys = F.when(both, F.col(y))
     n_pairs = F.count(xs)
     ok_spread = (F.var_pop(xs) > 0) & (F.var_pop(ys) > 0)
-    r = nan_to_null(F.corr(xs, ys))
+    # not ``corr``: evaluated in generated code, it divides by a zero spread before the condition is asked
+    r = nan_to_null(F.try_divide(F.covar_pop(xs, ys), F.sqrt(F.var_pop(xs)) * F.sqrt(F.var_pop(ys))))
     if mode == "pairwise":
         return F.when((n_pairs >= F.lit(max(2, min_periods))) & ok_spread, r)
     if mode == "strict":
@@ -84,6 +85,13 @@ def feature_columns(windows: Sequence[int] = DEFAULT_WINDOWS) -> list[str]:
     return names
 
 
+def middle_values(col: str, keys: Sequence[str]) -> Column:
+    """The value of ``col`` in the middle row (or both) of the non-NULL values of its group, else NULL."""
+    group = Window.partitionBy(*keys)
+    rank, n = F.row_number().over(group.orderBy(F.col(col).asc_nulls_last())), F.count(col).over(group)
+    return F.when((rank == F.floor((n + 1) / 2)) | (rank == F.ceil((n + 1) / 2)), F.col(col))
+
+
 def aggregate_features(daily: DataFrame, *, windows: Sequence[int] = DEFAULT_WINDOWS,
                        drop_threshold: float | None = 0.5, corr_mode: str = "pairwise",
                        min_periods_for_correlation: int = 2, by: Sequence[str] = (),
@@ -94,7 +102,9 @@ def aggregate_features(daily: DataFrame, *, windows: Sequence[int] = DEFAULT_WIN
     so it is off by default.
     """
     keys = [*by, id_col]
-    aggs = base_aggregates(windows)
+    # A1's median is the mean of the middle rows: all aggregates then keep buffers of fixed size
+    daily = daily.withColumn("__mid", middle_values("return", keys))
+    aggs = [(F.avg("__mid") if name == "median_return" else expr).alias(name) for name, expr in base_aggregate_specs(windows)]
     aggs += [_corr("return", f"vol_{w}", corr_mode, min_periods_for_correlation).alias(f"corr_return_vol{w}")
              for w in windows]
     out = daily.groupBy(*keys).agg(*aggs)

@@ -75,16 +75,16 @@ def filter_extreme_returns(df: DataFrame, upper_q: float = 0.99999, lower_q: flo
     """C4: drop a fund with any return strictly outside the *global* exact quantiles
     [lower_q, upper_q] of all non-NULL returns; all-NULL returns leave the input unchanged.
 
-    The two thresholds are fitted scalars (exact, by histogram narrowing); the fund flag is a
-    window max over the fund partition the return already uses."""
+    The two thresholds are fitted scalars (exact, by histogram narrowing); the fund flag is a window
+    max over the fund partition that later windows use as well. The rows are written with their
+    returns, so that the plan below them runs once, for the search and for what follows."""
     from ..session import write_table
 
-    with_ret = add_return(df, col, out="__ret", id_col=id_col, date_col=date_col)
-    # only the returns are written for the search; the rows themselves stay in the plan
-    q = exact_quantiles(write_table(with_ret.select("__ret"), "returns"), ["__ret"], [upper_q, lower_q], materialize=False)
+    with_ret = write_table(add_return(df, col, out="__ret", id_col=id_col, date_col=date_col), "returns")
+    q = exact_quantiles(with_ret, ["__ret"], [upper_q, lower_q], materialize=False)
     upper, lower = q[("__ret", upper_q)], q[("__ret", lower_q)]
     if upper is None:
-        return df
+        return with_ret.select(*df.columns)
     out_of_band = F.coalesce((F.col("__ret") > F.lit(upper)) | (F.col("__ret") < F.lit(lower)), F.lit(False))
     flagged = with_ret.withColumn("__bad", F.bool_or(out_of_band).over(Window.partitionBy(id_col)))
     return flagged.where(~F.col("__bad")).select(*df.columns)
