@@ -150,7 +150,8 @@ def run_all_experiments(fund_features: DataFrame, models: Sequence[str | tuple[s
     raw = write_table(fund_features.dropna(subset=list(look_features)), "experiment-rows")
     labeled = labelings(raw, models, clusters, preprocessing, look_features, key, dataset_col)
     raw_pred = raw.select(key, dataset_col, *look_features).join(labeled.drop("x"), [key, dataset_col])
-    return evaluate_clusters(raw_pred, labeled, look_features, key, by=[*CONFIG, dataset_col], block_rows=block_rows)
+    return evaluate_clusters(raw_pred, labeled, look_features, key, by=[*CONFIG, dataset_col], block_rows=block_rows,
+                             labelings=["model", "n_clusters"])
 
 
 SAME_SCORE = 1e-12  # scores of equal labelings differ by the order of their sums at most
@@ -166,7 +167,7 @@ def param_search(x: DataFrame, model: str, param_grid: Sequence[dict], key: str
     points = stacked_points({"all": x.select(key, *feats)}, (key,))
     fits = [fit_of(model, str(i), "all", **params) for i, params in enumerate(param_grid)]
     labels = write_table(label_all(points, fit_all(train_points(points, key, None, ""), fits), [f.name for f in fits], (key,)), "search")
-    scores = {r["fit"]: r["silhouette_score"] for r in silhouette(labels, "pred", "x", key, by=["fit"]).collect()}   # a row per set
+    scores = {r["fit"]: r["silhouette_score"] for r in silhouette(labels, "pred", "x", key, by=["fit"], labelings=["fit"]).collect()}   # a row per set
     best, best_score = None, float("-inf")
     for i in range(len(fits)):
         score = scores.get(str(i))

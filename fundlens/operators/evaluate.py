@@ -1,10 +1,10 @@
 """Cluster evaluation and stability.
 
 Exact Euclidean silhouette is quadratic in the points; it is computed without emitting pairs:
-points are cut into blocks of about ``block_rows``; every unordered pair of blocks is one
-``applyInPandas`` group of twice that many points, which returns, per point of either block, the
-distance sums to each cluster of the other. Group size is bounded regardless of cluster skew; the
-output is points x blocks x clusters rows, summed by a map-side-combined ``groupBy``.
+points are cut into blocks of ``block_rows`` to ``LARGER`` times as many; every unordered pair of blocks
+is one group, which returns, per point of either block, the distance sums to each cluster of the other.
+Group size is bounded regardless of cluster skew; the output is points x blocks x clusters rows, summed
+by a map-side-combined ``groupBy``. Labelings of the same points share their distances.
 
 The 1-D Wasserstein distance is exact and distributed: pooled distinct values are range-partitioned
 and scanned in order with prefix counts carried between partitions.
@@ -17,7 +17,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -25,6 +26,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..session import ship_package, write_table
 
 BLOCK_ROWS = 2048
+LARGER = 8            # times ``block_rows``: the largest block, and the least number of larger blocks
+SUMS_HELD = 1 << 22   # sums of a block pair (points x labels) that larger blocks may hold
 
 
 def _as_array(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
@@ -33,69 +36,139 @@ def _as_array(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
     return df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in features]))
 
 
-CHUNK_CELLS = 1 << 22  # coordinate differences held at once in a block pair
+TILE = (256, 2048)   # pairs whose distances are held at once
+NEAR = 1e-3          # squared distances below this share of the squared norms come from differences
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances from the coordinates' own differences (no dot-product expansion, which
-    cancels for points that are close or of mixed scales)."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, CHUNK_CELLS // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i:i + step] = np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(-1))
-    return out
-
-
-def _label_sums(ids: np.ndarray, dist: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
-    """Per point and label of the other side: the sum of its distances and their number."""
-    names, index = np.unique(labels, return_inverse=True)
-    member = np.zeros((len(labels), len(names)))
-    member[np.arange(len(labels)), index] = 1.0
-    return pd.DataFrame({"_id": np.repeat(ids, len(names)), "_other": np.tile(names, len(ids)),
-                         "_sum": (dist @ member).ravel(), "_cnt": np.tile(member.sum(0).astype(np.int64), len(ids))})
+def _from_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum((np.subtract.outer(a[:, j], b[:, j]) ** 2 for j in range(a.shape[1])), np.zeros((len(a), len(b))))
 
 
-def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of a tile by one product of matrices. Where this cancels (points that are close
+    for their size, or of mixed scales) they come from the coordinates' own differences."""
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    square = np.column_stack([-2 * a, na, np.ones(len(a))]) @ np.column_stack([b, np.ones(len(b)), nb]).T
+    i, j = np.nonzero(square <= np.add.outer(NEAR * na, NEAR * nb))
+    if len(i) > square.size // 16:
+        square = _from_differences(a, b)
+    elif len(i):
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return np.sqrt(square)
+
+
+def _points(part: pa.Table):
+    """(ids, coordinates, (row, labeling, label) of every label) of a block."""
+    x, labels = part.column("_x").combine_chunks(), part.column("_labels").combine_chunks()
+    if x.null_count:
+        raise ValueError("a point has no coordinates")
+    lists = np.repeat(np.arange(len(labels)), pc.list_value_length(labels).to_numpy(zero_copy_only=False))
+    cfg, lab = (pc.struct_field(labels.flatten(), n).to_numpy(zero_copy_only=False) for n in ("cfg", "lab"))
+    return part.column("_id").combine_chunks(), x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1), (lists, cfg, lab)
+
+
+def _members(n: int, labels) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (labeling, label) pairs, and how often each row has which."""
+    rows, cfg, lab = labels
+    pairs, index = np.unique(np.stack([cfg, lab]), axis=1, return_inverse=True)
+    member = np.zeros((n, pairs.shape[1]))
+    np.add.at(member, (rows, index.ravel()), 1.0)
+    return pairs, member
+
+
+def _sum_rows(ids: pa.Array, own, pairs: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row per label of a point and label of the other side in the same labeling."""
+    rows, cfg, _ = own
+    parts = []
+    for c in np.unique(cfg):
+        mine, slots = rows[cfg == c], np.flatnonzero(pairs[0] == c)
+        at = np.repeat(mine, len(slots))
+        parts.append(pa.table({"_id": ids.take(pa.array(at)), "_cfg": pa.array(np.full(len(at), c, np.int32)), "_other": pa.array(np.tile(pairs[1][slots], len(mine))),
+                               "_sum": pa.array(sums[np.ix_(mine, slots)].ravel()), "_cnt": pa.array(np.tile(counts[slots].astype(np.int64), len(mine)))}))
+    return pa.concat_tables(parts)
+
+
+def _pair_sums(key: tuple, group: pa.Table, by: Sequence[str]) -> pa.Table:
     """Both sides' sums of one block pair; side 2 marks a block paired with itself."""
-    first, second = pdf[pdf["_side"] != 1], pdf[pdf["_side"] != 0]
-    if first.empty or second.empty:
-        return pd.DataFrame({"_id": [], "_other": [], "_sum": [], "_cnt": []})
-    coords = lambda side: np.stack(side["_x"].to_numpy()).astype(np.float64)
-    dist = _distances(coords(first), coords(second))
-    out = [_label_sums(first["_id"].to_numpy(), dist, second["_lab"].to_numpy())]
-    if not (pdf["_side"] == 2).any():
-        out.append(_label_sums(second["_id"].to_numpy(), dist.T, first["_lab"].to_numpy()))
-    return pd.concat(out)
+    side = group.column("_side").to_numpy()
+    itself = bool((side == 2).any())
+    first, second = (group.filter(pa.array(side != other)) for other in (1, 0))
+    if not first.num_rows or not second.num_rows:
+        return _keyed(_KEYLESS.empty_table(), key, by)
+    (ids_a, a, own_a), (ids_b, b, own_b) = _points(first), _points(second)
+    centre = b.mean(0)
+    a, b = a - centre, b - centre
+    (pairs_a, member_a), (pairs_b, member_b) = _members(len(a), own_a), _members(len(b), own_b)
+    sums_a, sums_b = np.zeros((len(a), pairs_b.shape[1])), np.zeros((len(b), pairs_a.shape[1]))
+    for i in range(0, len(a), TILE[0]):
+        for j in range(0, len(b), TILE[1]):
+            at, of = slice(i, i + TILE[0]), slice(j, j + TILE[1])
+            dist = _distances(a[at], b[of])
+            sums_a[at] += dist @ member_b[of]
+            if not itself:
+                sums_b[of] += dist.T @ member_a[at]
+    out = [_sum_rows(ids_a, own_a, pairs_b, sums_a, member_b.sum(0))]
+    if not itself:
+        out.append(_sum_rows(ids_b, own_b, pairs_a, sums_b, member_a.sum(0)))
+    return _keyed(pa.concat_tables(out), key, by)
+
+
+_KEYLESS = pa.schema([("_id", pa.string()), ("_cfg", pa.int32()), ("_other", pa.int64()), ("_sum", pa.float64()), ("_cnt", pa.int64())])
+
+
+def _keyed(table: pa.Table, key: tuple, by: Sequence[str]) -> pa.Table:
+    for i, c in enumerate(by):
+        table = table.add_column(i, c, pa.array([key[i].as_py()] * table.num_rows, key[i].type))
+    return table
 
 
 def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str] | str, id_col: str,
-                       by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       by: Sequence[str] = (), block_rows: int = BLOCK_ROWS, labelings: Sequence[str] = ()) -> DataFrame:
     """M5 per point: s = (b - a) / max(a, b); 0 for a point alone in its cluster; NULL when the
-    group has fewer than two clusters. ``by`` evaluates independent groups (e.g. datasets)."""
-    by = list(by)
-    ship_package(df.sparkSession)
-    pts = _as_array(df, features).select(*by, F.col(id_col).alias("_id"), F.col(label_col).cast("long").alias("_lab"), "_x")
+    group has fewer than two clusters. ``by`` evaluates independent groups (e.g. datasets).
+
+    ``labelings`` are those of ``by`` that tell labelings of the same points apart: rows that agree in
+    id, coordinates and the rest of ``by`` are one point with several labels, whose distances are
+    computed once."""
+    by, labelings = list(by), list(labelings)
+    space = [c for c in by if c not in labelings]
+    spark = df.sparkSession
+    ship_package(spark)
+    pts = _as_array(df, features).select(*by, F.col(id_col).cast("string").alias("_id"), F.col(label_col).cast("long").alias("_lab"), "_x")
     pts = pts.where(F.col("_lab").isNotNull())
-    if by:
-        n_max = pts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if labelings:
+        found = pts.select(*labelings).distinct().collect()           # a row per labeling
+        names = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "_cfg int, " + ", ".join(f"`n{i}` {t}" for i, (_, t) in enumerate(_types(pts, labelings))))
+        same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"n{i}")) for i, c in enumerate(labelings)])
+        pts = pts.join(F.broadcast(names), same).drop(*[f"n{i}" for i in range(len(labelings))])
     else:
-        n_max = pts.count()
-    nb = max(1, int(math.ceil(n_max / block_rows)))
-    pts = pts.withColumn("_blk", F.pmod(F.xxhash64(F.col("_id")), F.lit(nb)).cast("int"))
+        pts = pts.withColumn("_cfg", F.lit(0))
+    sizes = pts.groupBy(*space, "_cfg").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_lab").alias("g"))
+    sizes = sizes.groupBy(*space).agg(F.max("n").alias("n"), F.sum("g").alias("g")).agg(F.max("n").alias("n"), F.max("g").alias("g")).first()
+    n_max, slots = sizes["n"] or 0, sizes["g"] or 1
+    # larger blocks once there are enough of them to share out: a point is sent to every block
+    block = min(LARGER * block_rows, max(block_rows, SUMS_HELD // slots))
+    nb = max(1, math.ceil(n_max / block), min(LARGER, math.ceil(n_max / block_rows)))
+    label = F.struct(F.col("_cfg").alias("cfg"), F.col("_lab").alias("lab"))
+    points = (pts.groupBy(*space, "_id", "_x").agg(F.collect_list(label).alias("_labels")) if labelings
+              else pts.select(*space, "_id", "_x", F.array(label).alias("_labels")))
+    points = points.withColumn("_blk", F.pmod(F.xxhash64(F.col("_id"), F.col("_x")), F.lit(nb)).cast("int"))
     # every unordered pair of blocks is one group: a point goes once to each pair its block is in
     own = F.col("_blk")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda o: F.struct(
         F.least(o, own).alias("i"), F.greatest(o, own).alias("j"),
         F.when(o == own, 2).when(own < o, 0).otherwise(1).alias("side")))).alias("_p")
-    paired = pts.select(*by, "_id", "_lab", "_x", pair).select(
-        *by, "_id", "_lab", "_x", F.col("_p.i").alias("_bi"), F.col("_p.j").alias("_bj"), F.col("_p.side").alias("_side"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in _types(pts, by)),
-                        "_id string", "_other long", "_sum double", "_cnt long"])
-    sums = (paired.groupBy(*by, "_bi", "_bj")
-            .applyInPandas(functools.partial(_with_keys, by=by), schema=schema))
-    per = sums.groupBy(*by, "_id", "_other").agg(F.sum("_sum").alias("_s"), F.sum("_cnt").alias("_c"))
-    own = pts.select(*by, F.col("_id").cast("string").alias("_id"), "_lab")
-    stats = per.join(own, on=[*by, "_id"]).groupBy(*by, "_id", "_lab").agg(
+    paired = points.select(*space, "_id", "_labels", "_x", pair).select(
+        *space, "_id", "_labels", "_x", F.col("_p.i").alias("_bi"), F.col("_p.j").alias("_bj"), F.col("_p.side").alias("_side"))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in _types(pts, space)),
+                        "_id string", "_cfg int", "_other long", "_sum double", "_cnt long"])
+    # a group costs many times its rows' bytes: as many tasks as groups, which are too small to be merged
+    groups = nb * (nb + 1) // 2
+    paired = paired.repartition(min(2000, max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))), *space, "_bi", "_bj")
+    sums = paired.groupBy(*space, "_bi", "_bj").applyInArrow(lambda key, group: _pair_sums(key, group, space), schema=schema)
+    per = sums.groupBy(*space, "_id", "_cfg", "_other").agg(F.sum("_sum").alias("_s"), F.sum("_cnt").alias("_c"))
+    own = pts.select(*by, "_cfg", "_id", "_lab")
+    stats = per.join(own, on=[*space, "_cfg", "_id"]).groupBy(*by, "_id", "_lab").agg(
         F.max(F.when(F.col("_other") == F.col("_lab"), F.col("_s"))).alias("_own_sum"),
         F.max(F.when(F.col("_other") == F.col("_lab"), F.col("_c"))).alias("_own_n"),
         F.min(F.when(F.col("_other") != F.col("_lab"), F.col("_s") / F.col("_c"))).alias("_b"))
@@ -117,17 +190,9 @@ def _types(df: DataFrame, cols: Sequence[str]):
     return [(c, t[c]) for c in cols]
 
 
-def _with_keys(key, pdf, by=()):
-    out = _pair_sums(pdf)
-    for i, c in enumerate(by):
-        out[c] = key[i]
-    out["_id"] = out["_id"].astype(str)
-    return out[[*by, "_id", "_other", "_sum", "_cnt"]]
-
-
 def silhouette(df: DataFrame, label_col: str, features: Sequence[str] | str, id_col: str,
-               by: Sequence[str] = (), block_rows: int = BLOCK_ROWS, method: str = "exact") -> DataFrame:
-    """M5: mean silhouette per ``by`` group (one row without ``by``). ``method="squared"`` uses the
+               by: Sequence[str] = (), block_rows: int = BLOCK_ROWS, method: str = "exact", labelings: Sequence[str] = ()) -> DataFrame:
+    """M5: mean silhouette per ``by`` group (one row without ``by``; ``labelings`` as above). ``method="squared"`` uses the
     O(n) squared-Euclidean ``ClusteringEvaluator`` (a different metric, for very large n)."""
     by = list(by)
     if method == "squared":
@@ -145,7 +210,7 @@ def silhouette(df: DataFrame, label_col: str, features: Sequence[str] | str, id_
         if by:
             raise ValueError("method='squared' evaluates one group; filter per group")
         return df.sparkSession.createDataFrame([(float(ev.evaluate(df)),)], "silhouette_score double")
-    s = silhouette_samples(df, label_col, features, id_col, by, block_rows)
+    s = silhouette_samples(df, label_col, features, id_col, by, block_rows, labelings)
     return s.groupBy(*by).agg(F.avg("silhouette").alias("silhouette_score"))
 
 
@@ -182,7 +247,7 @@ def calinski_harabasz(df: DataFrame, label_col: str, features: Sequence[str] | s
 
 def evaluate_clusters(raw: DataFrame, transformed: DataFrame, look_features: Sequence[str],
                       key: str = "fund_cnpj", pred_col: str = "pred", by: Sequence[str] = ("dataset",),
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS, labelings: Sequence[str] = ()) -> DataFrame:
     """M4: per (``by``, pred) the mean of the raw look features and the cluster size, plus the
     silhouette of each ``by`` group over the transformed features (NULL for a single cluster).
 
@@ -195,7 +260,7 @@ def evaluate_clusters(raw: DataFrame, transformed: DataFrame, look_features: Seq
         transformed.join(raw.select(key, *by, pred_col), [key, *by])
     tcols = [c for c in t.columns if c not in (key, *by, pred_col)]
     features = tcols[0] if len(tcols) == 1 and dict(t.dtypes)[tcols[0]].startswith("array") else tcols
-    return means.join(silhouette(t, pred_col, features, key, by=by, block_rows=block_rows), by, "left")
+    return means.join(silhouette(t, pred_col, features, key, by=by, block_rows=block_rows, labelings=labelings), by, "left")
 
 
 # ------------------------------------------------------------------ M8: exact 1-D Wasserstein

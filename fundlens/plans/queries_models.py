@@ -259,7 +259,7 @@ def bins_results(spark, sf_dir, ks=(2, 3, 4, 5)):
         stacked = one if stacked is None else stacked.unionByName(one)
     keys = ["n_clusters", "dataset"]
     stacked = write_table(stacked, "bins")
-    out = (EV.evaluate_clusters(stacked, stacked, LOOK, "fund_cnpj", by=keys).withColumn("model", F.lit("QuantileBins"))
+    out = (EV.evaluate_clusters(stacked, stacked, LOOK, "fund_cnpj", by=keys, labelings=["n_clusters"]).withColumn("model", F.lit("QuantileBins"))
            .withColumn("preprocessing", F.lit("just_filter")))
     # a few rows per configuration, read by several later steps: materialise once
     return write_table(out.select(*_RESULT_COLS), "experiment-results")

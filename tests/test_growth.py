@@ -15,6 +15,39 @@ def _from(df, part):
     return [f for f in df.inputFiles() if part in f]
 
 
+def test_labelings_of_the_same_points_share_distances(spark, monkeypatch):
+    from fundlens.operators import evaluate as EV
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(6, 1, (20, 2)), [[6.0, 6.0]] * 3]) * [1.0, 1e4] + [0.0, 1e7]
+    rows = [(d, k, f"p{i}", int(i * k // len(x)), [float(v) for v in x[i]]) for d in "ab" for k in (2, 3, 5) for i in range(len(x)) if d == "a" or i % 3]
+    df = spark.createDataFrame(rows, "d string, k int, id string, lab int, x array<double>")
+    one = {(r.d, r.k): r.silhouette_score for r in EV.silhouette(df, "lab", "x", "id", ["k", "d"], block_rows=8).collect()}
+    all_ = EV.silhouette(df, "lab", "x", "id", ["k", "d"], block_rows=8, labelings=["k"])
+    got = {(r.d, r.k): r.silhouette_score for r in all_.collect()}
+    assert set(got) == set(one) and all(math.isclose(got[c], one[c], rel_tol=1e-9) for c in one)
+    for (d, k), score in got.items():
+        at = [i for i in range(len(x)) if d == "a" or i % 3]
+        lab, dist = np.array([i * k // len(x) for i in at]), np.sqrt(((x[at][:, None] - x[at][None]) ** 2).sum(-1))
+        s = []
+        for i in range(len(at)):
+            a = dist[i, lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1)
+            b = min(dist[i, lab == o].mean() for o in set(lab) - {lab[i]})
+            s.append((b - a) / max(a, b))
+        assert math.isclose(score, float(np.mean(s)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e9])
+def test_distances_of_close_points_do_not_cancel(scale):
+    from fundlens.operators.evaluate import _distances
+
+    rng = np.random.default_rng(8)
+    a = rng.normal(0, 1, (70, 64)) * scale
+    b = np.concatenate([a[:9] * (1 + 1e-9), a[20:25], rng.normal(0, 1, (300, 64)) * scale])
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    assert np.allclose(_distances(a, b), want, rtol=1e-11, atol=0)
+
+
 def test_extreme_returns_read_their_input_once(spark, tmp_path):
     from fundlens.operators.clean import filter_extreme_returns
 
