@@ -27,6 +27,7 @@ from ..session import ship_package, write_table
 
 BLOCK_ROWS = 2048
 LARGER = 8            # times ``block_rows``: the largest block, and the least number of larger blocks
+RANGE_ROWS = 500_000  # values of a range of W1
 SUMS_HELD = 1 << 22   # sums of a block pair (points x labels) that larger blocks may hold
 
 
@@ -278,12 +279,13 @@ def wasserstein_1d(u: DataFrame, v: DataFrame, value_col: str, by: Sequence[str]
     by = list(by)
     spark = u.sparkSession
     side = lambda d, cu, cv: d.select(*by, F.col(value_col).cast("double").alias("_v"), F.lit(cu).alias("_cu"), F.lit(cv).alias("_cv"))
-    pooled = (side(u, 1, 0).unionByName(side(v, 0, 1)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy(*by, "_v").agg(F.sum("_cu").alias("_cu"), F.sum("_cv").alias("_cv")))
+    # written, since the ranges' bounds take a pass of their own; their number follows the rows
+    rows = write_table(side(u, 1, 0).unionByName(side(v, 0, 1)).where(F.col("_v").isNotNull() & ~F.isnan("_v")), "w1-values")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / RANGE_ROWS))
+    pooled = rows.groupBy(*by, "_v").agg(F.sum("_cu").alias("_cu"), F.sum("_cv").alias("_cv"))
     keys = by or ["_g"]
     pooled = pooled if by else pooled.withColumn("_g", F.lit("all"))
     pooled = pooled.withColumn("_k", F.to_json(F.struct(*keys)))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = write_table(pooled.repartitionByRange(n, "_k", "_v").select("_k", "_v", "_cu", "_cv", F.spark_partition_id().alias("_pid")), "w1-ranges")
     pieces = ranged.groupBy("_k", "_pid").agg(F.sum("_cu").alias("_su"), F.sum("_cv").alias("_sv"), F.min("_v").alias("_first"))
     along, group = Window.partitionBy("_k").orderBy("_pid"), Window.partitionBy("_k")
@@ -293,7 +295,8 @@ def wasserstein_1d(u: DataFrame, v: DataFrame, value_col: str, by: Sequence[str]
                            *[F.sum(f"_s{x}").over(group).alias(f"_t{x}") for x in "uv"])
     inside = Window.partitionBy("_k", "_pid").orderBy("_v")
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = ranged.select("_k", "_pid", "_v", F.lead("_v").over(inside).alias("_n"), *[F.sum(f"_c{x}").over(until).alias(f"_r{x}") for x in "uv"])
+    # ranges meet in as many tasks as there are: no task's sort grows with the rows
+    rows = ranged.repartition(n, "_k", "_pid").select("_k", "_pid", "_v", F.lead("_v").over(inside).alias("_n"), *[F.sum(f"_c{x}").over(until).alias(f"_r{x}") for x in "uv"])
     share = lambda x: F.try_divide(F.col(f"_b{x}") + F.col(f"_r{x}"), F.col(f"_t{x}"))
     gap = F.coalesce("_n", "_next") - F.col("_v")
     w = rows.join(pieces, ["_k", "_pid"]).groupBy("_k").agg(

@@ -75,3 +75,17 @@ def test_median_keeps_no_values(spark):
     for r in out.collect():
         m = want[r.fund_cnpj]
         assert r.median_return == (None if m is None or math.isinf(m) else pytest.approx(m, abs=1e-12))
+
+
+def test_ranges_of_w1_follow_the_rows(spark, monkeypatch):
+    from fundlens.operators import evaluate as EV
+
+    rng = np.random.default_rng(4)
+    u, v = rng.normal(0, 1, 150).round(2), rng.normal(1, 2, 130).round(2)
+    monkeypatch.setattr(EV, "RANGE_ROWS", 10)
+    out = EV.wasserstein_1d(*[spark.createDataFrame([(float(x),) for x in s], "x double") for s in (u, v)], "x")
+    values = np.unique(np.concatenate([u, v]))
+    want = sum(abs((u <= a).mean() - (v <= a).mean()) * (b - a) for a, b in zip(values, values[1:]))
+    assert math.isclose(out.first()["wasserstein"], want, rel_tol=1e-9)
+    ranges = spark.read.parquet(_from(out, "w1-ranges")[0].rsplit("/", 1)[0])
+    assert ranges.select("_pid").distinct().count() > 8                # the session's shuffle partitions
