@@ -29,7 +29,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -67,20 +67,35 @@ def header_names(header: str, sep: str = ";") -> list[str]:
     return [x.strip() for x in next(csv.reader([header], delimiter=sep), [])]
 
 
+def parsed_records(lines: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:
+    """S3: one (file, header, r0, r1, ...) row per data line; ``r<j>`` has the texts of the line's fields
+    as c0, c1, ... if its header is ``headers[j]``, else it is NULL. Over-long lines are dropped, short
+    lines padded with NULL."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    records, width = [], F.lit(0)
+    for j, h in enumerate(headers):
+        n = len(header_names(h, sep))
+        record = F.from_csv("line", ", ".join(f"c{i} string" for i in range(n)), options)
+        records.append(F.when(F.col("header") == h, record).alias(f"r{j}"))
+        width = F.when(F.col("header") == h, n).otherwise(width)
+    return lines.where(n_fields(F.col("line"), sep) <= width).select("file", "header", *records)
+
+
+def text_or_null(value: Column) -> Column:
+    """A field's text; NULL for a missing-value token."""
+    return F.when(~F.trim(value).isin(*MISSING), value)
+
+
 def parse_delimited(lines: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:
     """S3 + S11: one (file, header, map<header name, text>) row per data line; over-long lines
     dropped, short lines padded with NULL, missing-value tokens NULL. Repeated names: the first."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
-    fields, width = F.lit(None), F.lit(0)
-    for h in headers:
+    fields = F.lit(None)
+    for j, h in enumerate(headers):
         names = header_names(h, sep)
-        record = F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(names))), options)
         firsts = [i for i, n in enumerate(names) if n not in names[:i]]
-        value = lambda r, i: F.when(~F.trim(r[f"c{i}"]).isin(*MISSING), r[f"c{i}"])
-        made = F.get(F.transform(F.array(record), lambda r: F.map_from_arrays(  # noqa: B023
-            F.array(*[F.lit(names[i]) for i in firsts]), F.array(*[value(r, i) for i in firsts]))), F.lit(0))  # noqa: B023
-        fields, width = F.when(F.col("header") == h, made).otherwise(fields), F.when(F.col("header") == h, len(names)).otherwise(width)
-    return lines.where(n_fields(F.col("line"), sep) <= width).select("file", "header", fields.alias("fields"))
+        made = F.map_from_arrays(F.array(*[F.lit(names[i]) for i in firsts]), F.array(*[text_or_null(F.col(f"r{j}.c{i}")) for i in firsts]))
+        fields = F.when(F.col("header") == h, made).otherwise(fields)
+    return parsed_records(lines, headers, sep).select("file", "header", fields.alias("fields"))
 
 
 def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -97,12 +112,18 @@ def scan_csv_tree(spark: SparkSession, root: str | Sequence[str], sep: str = ";"
                   seed: int = 42, glob: str = "*.[cC][sS][vV]"):
     """(rows with a ``fields`` map and the source ``file``, distinct header lines). An
     empty tree, or one in which no file can be read, is an error."""
+    lines, headers = scan_lines(spark, root, sep, glob)
+    rows = parse_delimited(lines, headers, sep)
+    return (sample_per_file(rows, sample_size, seed) if sample_size else rows), headers
+
+
+def scan_lines(spark: SparkSession, root: str | Sequence[str], sep: str = ";", glob: str = "*.[cC][sS][vV]"):
+    """(records of all readable files, distinct header lines); an error if there is no such file."""
     lines, meta = scan_records(spark, root, glob, sep)
     headers = sorted(r[0] for r in meta.where("reason IS NULL").select("header").distinct().collect())
     if not headers:
         raise FileNotFoundError(f"{root} holds no readable delimited file")
-    rows = parse_delimited(lines, headers, sep)
-    return (sample_per_file(rows, sample_size, seed) if sample_size else rows), headers
+    return lines, headers
 
 
 def columns_from_fields(rows: DataFrame, headers: Sequence[str], sep: str = ";") -> DataFrame:

@@ -77,6 +77,25 @@ def test_median_keeps_no_values(spark):
         assert r.median_return == (None if m is None or math.isinf(m) else pytest.approx(m, abs=1e-12))
 
 
+def test_csv_records_are_parsed_once(spark, tmp_path):
+    from fundlens.plans.load import load_panel, load_raw
+
+    root = tmp_path / "csv-of-test"
+    root.mkdir()
+    (root / "a.csv").write_text("CNPJ_FUNDO;DT_COMPTC;VL_QUOTA;VL_QUOTA;NR_COTST;ID_SUBCLASSE\n1;2024-01-02;1.5;9;3;\n1;2024-01-02;2.5;9;4;\n2;2024-01-03;n/a\n")
+    (root / "b.csv").write_text("VL_QUOTA;CNPJ.FUNDO;DT_COMPTC;X\n7;1;2024-02-01;x;y\n8;3;2024-02-01;\n")
+    raw = load_raw(spark, str(root))
+    assert not _from(raw, "csv-of-test")
+    got = sorted(((r.fund_cnpj, str(r.report_date), r.quota_value, r.num_shareholders) for r in raw.collect()), key=str)
+    assert got == [("1", "2024-01-02", 1.5, 3), ("1", "2024-01-02", 2.5, 4), ("2", "2024-01-03", None, None), ("3", "2024-02-01", 8.0, None)]
+    assert not {"id_subclasse", "x"} & set(raw.columns)
+    sampled = load_raw(spark, str(root), sample_size=100)
+    assert sorted(map(str, sampled.select(*raw.columns).collect())) == sorted(map(str, raw.collect()))
+    panel = load_panel(spark, str(root))
+    assert not _from(panel, "typed-rows")
+    assert sorted((r.fund_cnpj, r.quota_value, r.max_monthly_appearances) for r in panel.where("quota_value IS NOT NULL").collect()) == [("1", 2.5, 1), ("3", 8.0, 1)]
+
+
 def test_ranges_of_w1_follow_the_rows(spark, monkeypatch):
     from fundlens.operators import evaluate as EV
 
