@@ -105,7 +105,8 @@ def sample_per_file(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     counts = df.groupBy("file").agg(F.count(F.lit(1)).alias("_rows"))
     texts = F.transform(F.map_values("fields"), lambda x: F.coalesce(x, F.lit("")))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.array_join(texts, "|"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return df.join(counts, "file").where((F.col("_rows") <= n) | (drawn < n / F.col("_rows"))).drop("_rows")
+    # a row per file, whose names Spark's listing holds on the driver anyway: the rows are not shuffled
+    return df.join(F.broadcast(counts), "file").where((F.col("_rows") <= n) | (drawn < n / F.col("_rows"))).drop("_rows")
 
 
 def scan_csv_tree(spark: SparkSession, root: str | Sequence[str], sep: str = ";", sample_size: int | None = None,

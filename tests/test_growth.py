@@ -96,6 +96,13 @@ def test_csv_records_are_parsed_once(spark, tmp_path):
     assert sorted((r.fund_cnpj, r.quota_value, r.max_monthly_appearances) for r in panel.where("quota_value IS NOT NULL").collect()) == [("1", 2.5, 1), ("3", 8.0, 1)]
 
 
+def test_samples_do_not_shuffle_rows(spark):
+    from fundlens.sources.files import sample_per_file
+
+    df = spark.range(50).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), F.create_map(F.lit("a"), F.col("id").cast("string")).alias("fields"))
+    assert _plan(sample_per_file(df, 5)).count("Exchange hashpartitioning") == 1     # the counts
+
+
 def test_ranges_of_w1_follow_the_rows(spark, monkeypatch):
     from fundlens.operators import evaluate as EV
 
