@@ -14,7 +14,7 @@ from ..operators import normalize as N
 from ..operators import quality as V
 from ..operators.clean import null_summary
 from ..operators.dedupe import semi_join_catalog
-from ..session import scratch_path
+from ..session import open_writers, scratch_path
 from ..sources import files as SRC
 from . import sql_snippets as S
 from .load import load_panel, load_raw
@@ -30,8 +30,9 @@ def raw_csv_tree(spark, sf_dir: str) -> str:
     key = (id(spark.sparkContext), sf_dir)
     if key not in _WRITTEN:
         path = scratch_path(spark, "raw-csv")
-        (raw_files(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4))
-         .write.partitionBy("_year").option("header", True).option("sep", ";").csv(path))
+        with open_writers(spark):
+            (raw_files(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4))
+             .write.partitionBy("_year").option("header", True).option("sep", ";").csv(path))
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
@@ -469,7 +470,7 @@ def _write_zips(rows, root):
 
     months = [r[0] for r in rows.select("_m").distinct().collect()]  # calendar-bounded
     headers = {m: (["CNPJ_FUNDO_CLASSE"] + _QUOTA_COLS[1:] if m >= "200001" else _QUOTA_COLS) for m in months}
-    write_monthly_zips(rows, root, "_m", ["ID", "LINE_NO"], headers)
+    write_monthly_zips(rows, root, "_m", ["ID", "LINE_NO"], headers, months=months)
 
 
 def _quota_rows(spark, sf_dir):
@@ -587,8 +588,9 @@ def v3_load_files(spark, sf_dir):
     from .fixture_files import write_bytes
 
     root = scratch_path(spark, "yearly-csv")
-    (raw_files(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4)).repartition("_year")
-     .write.partitionBy("_year").option("header", True).option("sep", ";").csv(root))
+    with open_writers(spark):
+        (raw_files(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4)).repartition("_year")
+         .write.partitionBy("_year").option("header", True).option("sep", ";").csv(root))
     write_bytes(spark, f"{root}/broken.csv.gz", b"not a gzip file")
     return SRC.file_report(spark, root)
 
@@ -678,9 +680,10 @@ def broken_line_tree(spark, sf_dir: str) -> str:
         kind, name = F.pmod(F.col("ID") + F.col("LINE_NO"), F.lit(5)), F.col("DENOM_SOCIAL")
         text = (F.when(kind == 0, F.concat(name, F.lit("\nfund; no"))).when(kind == 1, F.concat(F.lit('"'), name, F.lit('"\n\n"two"')))
                 .when(kind == 2, F.concat(F.lit("a;"), name)).when(kind == 3, F.concat(name, F.lit(' 5" x\n'))).otherwise(name))
-        (rows.select("ID", text.alias("DENOM_SOCIAL"), "LINE_NO", "DT_COMPTC", "_year").repartition("_year").sortWithinPartitions("_year", "ID", "LINE_NO")
-         .write.partitionBy("_year").option("header", True).option("sep", ";").option("escape", '"')
-         .option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(root))
+        with open_writers(spark):
+            (rows.select("ID", text.alias("DENOM_SOCIAL"), "LINE_NO", "DT_COMPTC", "_year").repartition("_year")
+             .write.partitionBy("_year").option("header", True).option("sep", ";").option("escape", '"')
+             .option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(root))
         _WRITTEN[key] = root
     return _WRITTEN[key]
 
@@ -708,8 +711,9 @@ def yearly_tree(spark, sf_dir: str) -> str:
     if key not in _WRITTEN:
         root = scratch_path(spark, "yearly-names")
         rows = _named_rows(spark, sf_dir).withColumn("_year", F.substring("DT_COMPTC", 1, 4))
-        (rows.select("ID", "LINE_NO", "DT_COMPTC", "DENOM_SOCIAL", "_year").repartition("_year")
-         .write.partitionBy("_year").option("header", True).option("sep", ";").csv(root))
+        with open_writers(spark):
+            (rows.select("ID", "LINE_NO", "DT_COMPTC", "DENOM_SOCIAL", "_year").repartition("_year")
+             .write.partitionBy("_year").option("header", True).option("sep", ";").csv(root))
         _WRITTEN[key] = root
     return _WRITTEN[key]
 

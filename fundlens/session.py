@@ -5,6 +5,7 @@ On a cluster the caller owns the session; the library only reads its settings.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextlib.contextmanager
+def open_writers(spark: SparkSession, n: int = 64):
+    """Within it, a partitioned write keeps up to ``n`` files open in a task, whose rows are then not
+    sorted by the partition columns (a sort holds them in memory or spills them)."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SHIPPED: set[str] = set()
 
 

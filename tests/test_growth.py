@@ -96,6 +96,19 @@ def test_csv_records_are_parsed_once(spark, tmp_path):
     assert sorted((r.fund_cnpj, r.quota_value, r.max_monthly_appearances) for r in panel.where("quota_value IS NOT NULL").collect()) == [("1", 2.5, 1), ("3", 8.0, 1)]
 
 
+def test_yearly_files_are_written_without_a_sort(spark, tmp_path):
+    from fundlens.session import open_writers
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, rows = spark.conf.get(name), [(i % 3, i) for i in range(300)]
+    with open_writers(spark):
+        assert int(spark.conf.get(name)) > 3
+        spark.createDataFrame(rows, "y int, v int").repartition("y").write.partitionBy("y").csv(str(tmp_path / "t"))
+    assert spark.conf.get(name) == before
+    assert all(len(list((tmp_path / "t" / f"y={y}").glob("*.csv"))) == 1 for y in range(3))
+    assert sorted((r.y, r.v) for r in spark.read.schema("v int, y int").csv(str(tmp_path / "t")).collect()) == sorted(rows)
+
+
 def test_samples_do_not_shuffle_rows(spark):
     from fundlens.sources.files import sample_per_file
 
