@@ -12,8 +12,7 @@ change. Running maps have a closed form, the last constant and the parity of the
 
 * the light pass finds the files with a line that ends inside a field although it began outside; in
   all others every line is a record, and nothing is shuffled;
-* the lines of these files are numbered within their splits (a window over one split), the splits'
-  maps are composed along each file (a window over a row per split), and every line learns how it
+* the lines of these files are numbered within their splits, in the scan itself, the splits' maps are composed along each file (a window over a row per split), and every line learns how it
   begins, whatever the number of splits;
 * a record's lines meet under the key (file, split of its first line, number there); the broken record
   at the end of a split so collects its rest from the splits after it.
@@ -27,11 +26,13 @@ from __future__ import annotations
 
 import bz2
 import lzma
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ from ..session import write_table
 COMPRESSED = r"(?i)\.(gz|bz2|xz|deflate)$"
 LARGEST_VALUE = (1 << 31) - (1 << 20)        # a larger compressed file is judged by its lines alone
 INFLATE_STEP = 1 << 20
+LINES_OF_TASK = 2_000_000                    # of the files whose records reach over lines
 OPEN_FIELD = "quoted field without end"
 
 
@@ -193,22 +195,45 @@ def failed_names(meta: DataFrame) -> list[str]:
 SPLIT = ["file", "_blk"]
 
 
+def _carry_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running states of a scan's lines (file, _blk, _no, _part, _raw, _from0, _from1), which come in the
+    order of their splits: for either way b a split may begin, the state after each line (``_after<b>``)
+    and the number of records begun so far (``_k<b>``)."""
+    split, held = None, None                              # the split at hand; (state, records) for b = 0, 1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, blks = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (files[1:] != files[:-1]) | (blks[1:] != blks[:-1])]))
+        ends = np.append(new[1:], len(blks))
+        maps = [batch.column(i).to_numpy().astype(np.int64) for i in (5, 6)]
+        out = {f"{n}{b}": np.empty(len(blks), np.int64) for n in ("after", "k") for b in (0, 1)}
+        for lo, hi in zip(new, ends):
+            name = (batch.column(0)[int(lo)].as_py(), int(blks[lo]))
+            if name != split:
+                split, held = name, [(0, 0), (1, 0)]
+            zero, one = maps[0][lo:hi], maps[1][lo:hi]
+            parity = np.cumsum((zero == 1) & (one == 0)) % 2
+            at = np.maximum.accumulate(np.where(zero == one, np.arange(hi - lo), -1))       # the last constant so far
+            for b in (0, 1):
+                state, begun = held[b]
+                after = np.where(at >= 0, zero[at] ^ parity[at] ^ parity, state ^ parity)
+                begins = np.concatenate([[state], after[:-1]]) == 0
+                out[f"after{b}"][lo:hi], out[f"k{b}"][lo:hi] = after, begun + np.cumsum(begins)
+                held[b] = (int(after[-1]), int(begun + begins.sum()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *(pa.array(v) for v in out.values())],
+                                         ["file", "_blk", "_no", "_part", "_raw", "_after0", "_after1", "_k0", "_k1"])
+
+
 def numbered_lines(lines: DataFrame, sep: str) -> DataFrame:
     """Lines with what they know within their split: whether they begin a record, and the number of
-    records begun so far, for either way the split may begin (0 outside, 1 inside a field)."""
+    records begun so far, for either way the split may begin (0 outside, 1 inside a field). ``lines`` are
+    a scan's rows in its order, which filters and broadcast joins keep: nothing is shuffled."""
     raw = F.col("_raw")
-    mapped = lines.withColumns({"_from0": ends_inside(raw, False, sep), "_from1": ends_inside(raw, True, sep)})
-    order = Window.partitionBy(*SPLIT).orderBy("_no", "_part")
-    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    change = (F.col("_from0") == 1) & (F.col("_from1") == 0)
-    parity = F.sum(change.cast("int")).over(until) % 2
-    fixed = F.when(F.col("_from0") == F.col("_from1"), F.col("_from0").bitwiseXOR(F.col("_parity")))
-    state = mapped.withColumn("_parity", parity).withColumn("_fixed", F.last(fixed, ignorenulls=True).over(until))
-    after = {b: F.coalesce(F.col("_fixed"), F.lit(b)).bitwiseXOR(F.col("_parity")) for b in (0, 1)}
-    state = state.withColumns({f"_after{b}": after[b] for b in (0, 1)})
-    state = state.withColumns({f"_starts{b}": (F.lag(f"_after{b}", 1, b).over(order) == 0).cast("int") for b in (0, 1)})
-    return state.select("file", "_blk", "_no", "_part", "_raw", "_after0", "_after1",
-                        *[F.sum(f"_starts{b}").over(until).alias(f"_k{b}") for b in (0, 1)])
+    mapped = lines.select("file", "_blk", "_no", "_part", raw.cast("binary").alias("_raw"), ends_inside(raw, False, sep).cast("long").alias("_from0"),
+                          ends_inside(raw, True, sep).cast("long").alias("_from1"))
+    made = mapped.mapInArrow(_carry_states, "file string, _blk long, _no long, _part int, _raw binary, _after0 long, _after1 long, _k0 long, _k1 long")
+    return made.withColumn("_raw", F.col("_raw").cast("string"))
 
 
 def split_states(numbered: DataFrame) -> DataFrame:
@@ -226,14 +251,17 @@ def split_states(numbered: DataFrame) -> DataFrame:
     return splits.withColumn("_owner", owner).select(*SPLIT, "_begin", "_end", F.col("_owner._blk").alias("_owner_blk"), F.col("_owner._n").alias("_owner_n"))
 
 
-def whole_records(numbered: DataFrame, splits: DataFrame) -> DataFrame:
-    """(file, _blk, _k, _raw): the records, lines joined by line breaks; (_blk, _k) ascends in a file."""
+def whole_records(numbered: DataFrame, splits: DataFrame, tasks: int = 1) -> DataFrame:
+    """(file, _blk, _k, _raw): the records, lines joined by line breaks; (_blk, _k) ascends in a file.
+    Lines meet in ``tasks`` tasks at least, so that none has to spill them."""
+    tasks = max(tasks, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     k = F.when(F.col("_begin") == 0, F.col("_k0")).otherwise(F.col("_k1"))
     keyed = numbered.join(splits, SPLIT).withColumn("_k", k)
     rest = F.col("_k") == 0                                     # lines before the first record that begins in the split
     lines = F.array_sort(F.collect_list(F.struct(F.col("_blk").alias("b"), "_no", "_part", "_raw")))
     grouped = keyed.withColumns({"_at": F.when(rest, F.col("_owner_blk")).otherwise(F.col("_blk")),
-                                 "_in": F.when(rest, F.col("_owner_n")).otherwise(F.col("_k"))}).groupBy("file", "_at", "_in")
+                                 "_in": F.when(rest, F.col("_owner_n")).otherwise(F.col("_k"))})
+    grouped = grouped.select("file", "_at", "_in", "_blk", "_no", "_part", "_raw").repartition(tasks, "file", "_at", "_in").groupBy("file", "_at", "_in")
     return grouped.agg(lines.alias("l")).select("file", F.col("_at").alias("_blk"), F.col("_in").alias("_k"),
                                                 F.array_join(F.transform("l", lambda x: x["_raw"]), "\n").alias("_raw"))
 
@@ -248,10 +276,11 @@ def scan_records(spark: SparkSession, root: str | Sequence[str], glob: str, sep:
     broken = readable.where("broken").select("file")
     found = None
     if not broken.isEmpty():
-        numbered = write_table(numbered_lines(lines.join(broken, "file", "left_semi"), sep), "quoted-lines")
+        numbered = write_table(numbered_lines(lines.join(F.broadcast(broken), "file", "left_semi"), sep), "quoted-lines")
         splits = write_table(split_states(numbered), "splits")
         open_ = splits.groupBy("file").agg(F.max_by("_end", "_blk").alias("_end")).where("_end = 1").select("file")
-        found = whole_records(numbered.join(open_, "file", "left_anti"), splits).where(F.trim("_raw") != "")
+        closed = numbered.join(open_, "file", "left_anti")
+        found = write_table(whole_records(closed, splits, math.ceil(numbered.count() / LINES_OF_TASK)).where(F.trim("_raw") != ""), "records")
         heads = write_table(found.groupBy("file").agg(F.min_by("_raw", F.struct("_blk", "_k")).alias("_head"), F.count("*").alias("_n"))
                             .join(meta.select("file", "_utf8"), "file").select("file", "_n", _decoded(F.col("_head"), F.col("_utf8")).alias("_head")), "headers")
         named = meta.join(heads, "file", "left").join(open_.withColumn("_open", F.lit(True)), "file", "left")

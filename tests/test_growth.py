@@ -116,6 +116,26 @@ def test_samples_do_not_shuffle_rows(spark):
     assert _plan(sample_per_file(df, 5)).count("Exchange hashpartitioning") == 1     # the counts
 
 
+def test_lines_are_numbered_in_their_scan(spark, tmp_path):
+    from fundlens.sources.files import scan_csv_tree
+    from fundlens.sources.records import numbered_lines, read_lines, without_returns
+
+    body = "".join(f'{i};"x\n\ny;{i}"\n' if i % 3 else f"{i};z\n" for i in range(400))
+    (tmp_path / "a.csv").write_text("ID;T\n" + body)
+    (tmp_path / "b.csv").write_bytes("ID;T\n1;\"José\nA\"\n2;b\n".encode("latin-1"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        plan = _plan(numbered_lines(without_returns(read_lines(spark, str(tmp_path), "*.csv")), ";"))
+        assert "Exchange" not in plan and "Window" not in plan
+        rows, _ = scan_csv_tree(spark, str(tmp_path))
+        got = {(r.file[-5:], r.fields["ID"]): r.fields["T"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {("a.csv", str(i)): f"x\n\ny;{i}" if i % 3 else "z" for i in range(400)} | {("b.csv", "1"): "José\nA", ("b.csv", "2"): "b"}
+    assert got == want
+
+
 def test_ranges_of_w1_follow_the_rows(spark, monkeypatch):
     from fundlens.operators import evaluate as EV
 
