@@ -148,3 +148,15 @@ def test_ranges_of_w1_follow_the_rows(spark, monkeypatch):
     assert math.isclose(out.first()["wasserstein"], want, rel_tol=1e-9)
     ranges = spark.read.parquet(_from(out, "w1-ranges")[0].rsplit("/", 1)[0])
     assert ranges.select("_pid").distinct().count() > 8                # the session's shuffle partitions
+
+
+def test_months_are_packed_as_lines(spark, tmp_path):
+    from fundlens.plans.fixture_files import write_monthly_zips
+    from fundlens.sources.files import read_monthly_quotas
+
+    rows = [("202401", "1", "2024-01-02", 1.25e9, 2), ("202401", "a;b", "2024-01-01", None, 1), ("202402", 'q"x', "2024-02-01", 0.1, 3), (None, "9", None, 1.0, 4)]
+    df = spark.createDataFrame(rows, "m string, CNPJ_FUNDO string, DT_COMPTC string, VL_QUOTA double, ID int")
+    write_monthly_zips(df, str(tmp_path), "m", ["ID"], {"202402": ["CNPJ_FUNDO_CLASSE", "DT_COMPTC", "VL_QUOTA", "ID"]}, months=["202401", "202402"])
+    got = read_monthly_quotas(spark, str(tmp_path)).withColumn("VL_QUOTA", F.col("VL_QUOTA").cast("double")).orderBy("DT_COMPTC")
+    assert [(r.CNPJ_FUNDO, r.VL_QUOTA, r.line_no, r.file[-10:]) for r in got.collect()] == [
+        ("a;b", None, 1, "202401.zip"), ("1", 1.25e9, 2, "202401.zip"), ('q"x', 0.1, 1, "202402.zip")]
