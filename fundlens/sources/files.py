@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import csv
 import io
+import operator
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,11 +177,16 @@ def _unzip_lines(it: Iterator[pd.DataFrame], head_only: bool = False) -> Iterato
                     yield pd.DataFrame({"file": path, "line_no": range(no, no + len(batch)), "line": batch, "reject": None})
 
 
-def _unzip_quotas(it: Iterator[pd.DataFrame], sep: str = ";") -> Iterator[pd.DataFrame]:
+def _unzip_quotas(batches: Iterator[pa.RecordBatch], sep: str = ";") -> Iterator[pa.RecordBatch]:
     """Key, date and quota of the verified members that have these columns."""
-    names = ["CNPJ_FUNDO", *QUOTA_COLUMNS, "file", "line_no"]
-    for pdf in it:
-        for path, content in zip(pdf["path"], pdf["content"]):
+    names, missing = ["CNPJ_FUNDO", *QUOTA_COLUMNS, "file", "line_no"], frozenset(MISSING)
+
+    def made(cells, numbers):
+        texts = [pa.array([None if c.strip() in missing else c for c in column], pa.string()) for column in zip(*cells)]
+        return pa.RecordBatch.from_arrays([*texts, pa.array([path] * len(numbers)), pa.array(numbers, pa.int64())], names)
+
+    for batch in batches:
+        for path, content in ((p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1))):
             try:
                 archive, member = _verified_member(path, content)
             except BROKEN:
@@ -190,17 +197,18 @@ def _unzip_quotas(it: Iterator[pd.DataFrame], sep: str = ";") -> Iterator[pd.Dat
                 key = next((c for c in header if "cnpj" in c.lower()), None)
                 if key is None or not set(QUOTA_COLUMNS) <= set(header):
                     continue
-                at = [header.index(c) for c in (key, *QUOTA_COLUMNS)]
-                batch = []
+                at, width = [header.index(c) for c in (key, *QUOTA_COLUMNS)], len(header)
+                pick, needed = operator.itemgetter(*at), max(at)
+                cells, numbers = [], []
                 for no, row in enumerate(rows, 1):
-                    if 0 < len(row) <= len(header):
-                        cells = (row[i] if i < len(row) else "" for i in at)
-                        batch.append((*(None if c.strip() in MISSING else c for c in cells), path, no))
-                    if len(batch) == ZIP_BATCH:
-                        yield pd.DataFrame(batch, columns=names)
-                        batch = []
-                if batch:
-                    yield pd.DataFrame(batch, columns=names)
+                    if 0 < len(row) <= width:
+                        cells.append(pick(row) if len(row) > needed else tuple(row[i] if i < len(row) else "" for i in at))
+                        numbers.append(no)
+                    if len(cells) == ZIP_BATCH:
+                        yield made(cells, numbers)
+                        cells, numbers = [], []
+                if cells:
+                    yield made(cells, numbers)
 
 
 def _archives(spark: SparkSession, root: str | Sequence[str], glob: str) -> DataFrame:
@@ -226,7 +234,7 @@ def key_column_of(header, sep: str = ";"):
 def read_monthly_quotas(spark: SparkSession, root: str | Sequence[str], sep: str = ";", glob: str = "*.zip") -> DataFrame:
     """S5 -> S6 -> S7: (CNPJ_FUNDO, DT_COMPTC, VL_QUOTA, file, line_no) text columns, each archive
     read once. Archives that are damaged, or lack an id column or the quota columns, are skipped."""
-    return _archives(spark, root, glob).mapInPandas(
+    return _archives(spark, root, glob).mapInArrow(
         lambda it: _unzip_quotas(it, sep), "CNPJ_FUNDO string, DT_COMPTC string, VL_QUOTA string, file string, line_no long")
 
 

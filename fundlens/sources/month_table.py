@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import keep_extreme_per_key
+from ..session import write_table
 
 SEQ, PART, LOG, DATA = "ingest_seq", "_month", "_log", "data"
 
@@ -81,7 +82,7 @@ def commit(spark: SparkSession, table: str, rows: DataFrame, keys: Sequence[str]
     version = before["version"] + 1
     fresh = rows.withColumn(SEQ, F.lit(version).cast("long"))
     columns = [c for c in fresh.columns if c not in order]
-    fresh = keep_extreme_per_key(fresh, keys, [SEQ, *order]).select(*columns)
+    fresh = write_table(keep_extreme_per_key(fresh, keys, [SEQ, *order]).select(*columns), "fresh")     # read for the months and for the rows
     touched = [r[0] for r in fresh.select(month_col).distinct().collect()]        # bounded by the calendar
     old = [m for m in touched if str(m) in before["months"]]
     if old:

@@ -160,3 +160,20 @@ def test_months_are_packed_as_lines(spark, tmp_path):
     got = read_monthly_quotas(spark, str(tmp_path)).withColumn("VL_QUOTA", F.col("VL_QUOTA").cast("double")).orderBy("DT_COMPTC")
     assert [(r.CNPJ_FUNDO, r.VL_QUOTA, r.line_no, r.file[-10:]) for r in got.collect()] == [
         ("a;b", None, 1, "202401.zip"), ("1", 1.25e9, 2, "202401.zip"), ('q"x', 0.1, 1, "202402.zip")]
+
+
+def test_a_commit_evaluates_its_rows_once(spark, tmp_path):
+    from fundlens.sources import month_table as T
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("1", "2024-01-01", 1.0, "2024-01"), ("1", "2024-02-01", 2.0, "2024-02")], "f string, d string, q double, month string")
+    for n in (2, 4):
+        T.commit(spark, str(tmp_path / "t"), rows.mapInArrow(count, rows.schema), ["f", "d"])
+        assert seen.value == n
+    assert T.read_table(spark, str(tmp_path / "t")).count() == 2
