@@ -70,18 +70,21 @@ def filter_max_gap(df: DataFrame, max_gap: int = 6, *, id_col: str = ID, date_co
 
 
 def filter_extreme_returns(df: DataFrame, upper_q: float = 0.99999, lower_q: float = 0.00001,
-                           col: str = "quota_value", *, id_col: str = ID, date_col: str = DATE
-                           ) -> DataFrame:
+                           col: str = "quota_value", *, id_col: str = ID, date_col: str = DATE,
+                           write_rows: bool = False) -> DataFrame:
     """C4: drop a fund with any return strictly outside the *global* exact quantiles
     [lower_q, upper_q] of all non-NULL returns; all-NULL returns leave the input unchanged.
 
     The two thresholds are fitted scalars (exact, by histogram narrowing); the fund flag is a window
-    max over the fund partition that later windows use as well. The rows are written with their
-    returns, so that the plan below them runs once, for the search and for what follows."""
+    max over the fund partition that later windows use as well. Only the returns are written for the
+    search, or with ``write_rows`` the rows, so that the plan below them runs once, for the search and for
+    what follows."""
     from ..session import write_table
 
-    with_ret = write_table(add_return(df, col, out="__ret", id_col=id_col, date_col=date_col), "returns")
-    q = exact_quantiles(with_ret, ["__ret"], [upper_q, lower_q], materialize=False)
+    with_ret = add_return(df, col, out="__ret", id_col=id_col, date_col=date_col)
+    returns = write_table(with_ret if write_rows else with_ret.select("__ret"), "returns")
+    with_ret = returns if write_rows else with_ret
+    q = exact_quantiles(returns, ["__ret"], [upper_q, lower_q], materialize=False)
     upper, lower = q[("__ret", upper_q)], q[("__ret", lower_q)]
     if upper is None:
         return with_ret.select(*df.columns)
@@ -120,6 +123,7 @@ class CleanConfig:
     outlier_params: dict = field(default_factory=dict)
     upper_q: float = 0.99999
     lower_q: float = 0.00001
+    write_rows: bool = False    # C4 writes the rows that it searches; what follows reads these
 
 
 def clean(df: DataFrame, config: CleanConfig | None = None, *, id_col: str = ID,
@@ -135,7 +139,7 @@ def clean(df: DataFrame, config: CleanConfig | None = None, *, id_col: str = ID,
                                   id_col=id_col, date_col=date_col)
     out = filter_max_gap(out, cfg.max_gap, id_col=id_col, date_col=date_col)
     out = flag_outliers(out, cfg.outlier_params)
-    return filter_extreme_returns(out, cfg.upper_q, cfg.lower_q, id_col=id_col, date_col=date_col)
+    return filter_extreme_returns(out, cfg.upper_q, cfg.lower_q, id_col=id_col, date_col=date_col, write_rows=cfg.write_rows)
 
 
 def null_summary(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import cluster as M
@@ -32,7 +34,7 @@ def _r(names):
 
 
 def fund_table(spark, sf_dir):
-    return build_features(panel(spark, sf_dir), fixture_clean_config(), C2_CUT, C1_CUT)[1]
+    return build_features(panel(spark, sf_dir), replace(fixture_clean_config(), write_rows=True), C2_CUT, C1_CUT)[1]
 
 
 def exp_input(spark, sf_dir):
@@ -50,7 +52,7 @@ def x7_build_features(spark, sf_dir):
           "round(vol_5, 6) AS vol_5, round(vol_15, 6) AS vol_15, round(drawdown, 6) AS drawdown, time_in_drawdown FROM d8")
 def x7_daily_features(spark, sf_dir):
     """X7 daily output: windows restart at each split (rows on the second cutoff appear twice)."""
-    daily = build_features(panel(spark, sf_dir), fixture_clean_config(), C2_CUT, C1_CUT)[0]
+    daily = build_features(panel(spark, sf_dir), replace(fixture_clean_config(), write_rows=True), C2_CUT, C1_CUT)[0]
     return daily.select("dataset", "fund_cnpj", "report_date", "return", "vol_5", "vol_15", "drawdown",
                         "time_in_drawdown")
 

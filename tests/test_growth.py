@@ -54,7 +54,7 @@ def test_extreme_returns_read_their_input_once(spark, tmp_path):
     rows = [(f"{f:02d}", d, 1.0 + (d * (f + 3)) % 7 + (900.0 if (f, d) == (4, 6) else 0.0)) for f in range(8) for d in range(12)]
     path = str(tmp_path / "panel-of-test")
     spark.createDataFrame(rows, "fund_cnpj string, report_date int, quota_value double").write.parquet(path)
-    out = filter_extreme_returns(spark.read.parquet(path), 0.99, 0.0)
+    out = filter_extreme_returns(spark.read.parquet(path), 0.99, 0.0, write_rows=True)
     assert not _from(out, "panel-of-test")
     assert out.select("fund_cnpj").distinct().count() == 7 and out.where("fund_cnpj = '04'").isEmpty()
 
