@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import adjusted_kurt, adjusted_skew, inf_to_null, nan_to_null, safe_divide, stddev_samp
-from .features import DEFAULT_WINDOWS, ID
+from .features import DATE, DEFAULT_WINDOWS, ID
 
 
 def _corr(x: str, y: str, mode: str, min_periods: int) -> Column:
@@ -85,11 +85,14 @@ def feature_columns(windows: Sequence[int] = DEFAULT_WINDOWS) -> list[str]:
     return names
 
 
-def middle_values(col: str, keys: Sequence[str]) -> Column:
-    """The value of ``col`` in the middle row (or both) of the non-NULL values of its group, else NULL."""
+def with_middle_values(df: DataFrame, col: str, keys: Sequence[str], out: str) -> DataFrame:
+    """``out``: the value of ``col`` in the middle row (or both) of the non-NULL values of its group, else
+    NULL. The rows leave the windows by date again, the order in which the aggregates add them up."""
     group = Window.partitionBy(*keys)
-    rank, n = F.row_number().over(group.orderBy(F.col(col).asc_nulls_last())), F.count(col).over(group)
-    return F.when((rank == F.floor((n + 1) / 2)) | (rank == F.ceil((n + 1) / 2)), F.col(col))
+    whole = group.orderBy(DATE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if DATE in df.columns else group
+    ranked = df.withColumn("__rank", F.row_number().over(group.orderBy(F.col(col).asc_nulls_last()))).withColumn("__n", F.count(col).over(whole))
+    middle = [f((F.col("__n") + 1) / 2) for f in (F.floor, F.ceil)]
+    return ranked.withColumn(out, F.when(F.col("__rank").isin(*middle), F.col(col))).drop("__rank", "__n")
 
 
 def aggregate_features(daily: DataFrame, *, windows: Sequence[int] = DEFAULT_WINDOWS,
@@ -103,7 +106,7 @@ def aggregate_features(daily: DataFrame, *, windows: Sequence[int] = DEFAULT_WIN
     """
     keys = [*by, id_col]
     # A1's median is the mean of the middle rows: all aggregates then keep buffers of fixed size
-    daily = daily.withColumn("__mid", middle_values("return", keys))
+    daily = with_middle_values(daily, "return", keys, "__mid")
     aggs = [(F.avg("__mid") if name == "median_return" else expr).alias(name) for name, expr in base_aggregate_specs(windows)]
     aggs += [_corr("return", f"vol_{w}", corr_mode, min_periods_for_correlation).alias(f"corr_return_vol{w}")
              for w in windows]
