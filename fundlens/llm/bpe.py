@@ -5,8 +5,8 @@ vocabulary (only white space and letters, digits or signs after one space may sh
 no piece of the sentence vocabulary has its word mark behind another character. So a text is cut
 there, and its tokens are those of its parts one after the other. Texts are
 encoded by slices: a slice's distinct parts are encoded once, and numpy puts their tokens in place.
-Each worker keeps the tokens of the pre-tokens that it met last, at most twice ``REMEMBERED``, which
-changes no result.
+Each worker keeps the tokens of the pre-tokens that it met, at most ``REMEMBERED``, which changes no
+result.
 """
 
 from __future__ import annotations
@@ -14,23 +14,27 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 SLICE_BYTES = 8 << 20
+TOGETHER = 1024
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 CUT = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = "ɐ"              # below this the two pattern libraries agree on every character's class
 OTHER = re.compile(f"[{PLAIN}-\U0010ffff]")
 
 
-def regular(text: str) -> bool:
-    """Every space stands between two characters that are not white space."""
+def regular(text: str, blanks: list[str] = BLANKS) -> bool:
+    """Every space stands between two characters that are not white space; ``blanks``: the white space
+    besides spaces that may occur."""
     return not ("  " in text or text[:1] == " " or text[-1:] == " "
-                or any(c in text and (c + " " in text or " " + c in text) for c in BLANKS))
+                or any([c in text and (c + " " in text or " " + c in text) for c in blanks]))
 
 
 def parts(text: str) -> list[str]:
@@ -55,7 +59,9 @@ def strings(array: pa.Array) -> list[str]:
 def cut_all(texts: list[str], whole: set[int] = frozenset()) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(number of the distinct part at each place, distinct parts, places of the texts' ends); the
     texts numbered in ``whole`` are one part each."""
-    split = [i not in whole and regular(t) for i, t in enumerate(texts)]
+    joined = "".join(texts)
+    blanks = [c for c in BLANKS if c in joined]
+    split = [i not in whole and regular(t, blanks) for i, t in enumerate(texts)]
     pieces = pc.split_pattern(pa.array([t if s else None for t, s in zip(texts, split)], pa.large_string()), " ")
     if not all(split):
         pieces = pa.array([x if x is not None else [t] if i in whole else CUT.split(t)
@@ -82,28 +88,21 @@ def gathered(at: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
 
 
 class Memory:
-    """Values of the keys met last: two generations of at most ``size`` keys each."""
+    """Values of at most ``size`` keys; it begins anew when further keys do not fit."""
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def add(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
+        self.size, self.known = size, {}
 
     def all(self, keys: list[str], learn) -> list[bytes]:
         """The keys' values; ``learn`` gives those of the unknown ones, in their order."""
-        out = list(map(self.young.get, keys))
-        gaps = [i for i, x in enumerate(out) if x is None] if None in out else []
-        if gaps:
-            found = {keys[i]: self.old.get(keys[i]) for i in gaps}
-            unknown = [k for k, x in found.items() if x is None]
-            found.update(zip(unknown, learn(unknown)))
-            for key, value in found.items():
-                self.add(key, value)
-            for i in gaps:
-                out[i] = found[keys[i]]
+        out = list(map(self.known.get, keys))
+        if None in out:
+            unknown = list(dict.fromkeys([k for k, x in zip(keys, out) if x is None]))
+            found = dict(zip(unknown, learn(unknown)))
+            if len(self.known) + len(found) > self.size:
+                self.known = {}
+            self.known.update(found if len(found) <= self.size else islice(found.items(), self.size))
+            out = [found[k] if x is None else x for k, x in zip(keys, out)]
         return out
 
 
@@ -129,7 +128,7 @@ class ByteBPE:
         self.model, self.pattern = self.whole.model, regex.compile(public_tokenizers.PATTERN)
         self.special = [] if plain else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.symbols = dict(enumerate(byte_symbols()))
-        self.known, self.pre = Memory(remembered), Memory(remembered)
+        self.pre = Memory(remembered)
 
     def vocabulary(self) -> list[bytes]:
         """The bytes of each id."""
@@ -141,20 +140,24 @@ class ByteBPE:
 
     def merged(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens."""
-        symbols, flat, ends, at = "".join(words).encode().decode("latin-1").translate(self.symbols), array("I"), [0], 0
-        for w in words:
-            end = at + (len(w) if w.isascii() else len(w.encode()))
-            flat.extend([t.id for t in self.model.tokenize(symbols[at:end])])
-            ends.append(flat.itemsize * len(flat))
-            at = end
-        raw = flat.tobytes()
-        return [raw[s:e] for s, e in zip(ends, ends[1:])]
-
-    def part(self, text: str) -> bytes:
-        """Ids of a text."""
-        if OTHER.search(text):
-            return packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(self.pre.all(self.pattern.findall(text), self.merged))
+        symbols = "".join(words).encode().decode("latin-1").translate(self.symbols)
+        ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+        parts, flat, sizes = [symbols[s:e] for s, e in zip([0, *ends], ends)], array("I"), []
+        for at in range(0, len(parts), TOGETHER):
+            found = list(map(self.model.tokenize, parts[at:at + TOGETHER]))
+            flat.extend([t.id for tokens in found for t in tokens])
+            sizes += map(len, found)
+        raw, ends = flat.tobytes(), (4 * np.cumsum(sizes, dtype=np.int64)).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
+
+    def library(self, text: str) -> bytes:
+        return packed(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        found = [None if OTHER.search(t) else self.pattern.findall(t) for t in texts]
+        known = iter(self.pre.all([w for f in found if f for w in f], self.merged))
+        return [self.library(t) if f is None else b"".join(islice(known, len(f))) for t, f in zip(texts, found)]
 
     def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, each with a space in front: (ids, number of each part's ids). One search
@@ -174,7 +177,7 @@ class ByteBPE:
         sizes[easy] = np.diff(stops[last], prepend=0)
         if easy.all():
             return ids, sizes
-        other = [self.part(" " + p) for p, e in zip(words, easy) if not e]
+        other = self.alone([" " + p for p, e in zip(words, easy) if not e])
         flat, sizes[~easy] = laid(other)
         order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
         place = np.empty(len(words), np.int64)
@@ -190,13 +193,20 @@ class ByteBPE:
         for i, end in enumerate(ends.tolist()):
             if i in whole or not spaced:            # no space stands before a text's first part
                 part, at[first] = distinct[at[first]], len(sizes) + len(own)
-                own.append(packed(self.whole.encode(" " + part if spaced else part, add_special_tokens=False).ids) if i in whole else self.part(part))
+                own.append((i in whole, " " + part if spaced else part))
             first = end
-        more, counts = laid(own)
+        alone = iter(self.alone([p for entire, p in own if not entire]))
+        more, counts = laid([self.library(p) if entire else next(alone) for entire, p in own])
         ids, stops = gathered(at, np.concatenate([flat, more]), np.concatenate([sizes, counts]))
         return ids, stops[ends - 1]
 
 
+@lru_cache(maxsize=2)
+def of_worker(path: str, plain: bool, remembered: int = REMEMBERED) -> ByteBPE:
+    """The Python process's own encoder: a later task meets the pre-tokens of the earlier ones."""
+    return ByteBPE(path, plain, remembered)
+
+
 class SentenceBPE:
     """BPE with byte fallback of a sentencepiece file, which puts a space before the text."""
 

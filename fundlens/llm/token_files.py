@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, write_table
-from .bpe import ByteBPE, slices
+from .bpe import of_worker, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -62,14 +62,30 @@ def widths(values: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values in ``width`` bits each, a row of bytes for each row."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of values in ``width`` bits each, a row of bytes for each row. Eight values fill ``width``
+    bytes, so every byte is put together from those values of eight that reach into it."""
+    rows, n = values.shape
+    eights = np.pad(values, ((0, 0), (0, -n % 8))).reshape(rows, -1, 8)
+    out = np.zeros((rows, eights.shape[1], width), np.uint8)
+    for byte in range(width):
+        for j in range(8 * byte // width, (8 * byte + 7) // width + 1):
+            shift = 8 * byte - j * width
+            value = eights[:, :, j]
+            out[:, :, byte] |= (value >> np.uint32(shift) if shift >= 0 else value << np.uint32(-shift)).astype(np.uint8)
+    return out.reshape(rows, -1)[:, :(n * width + 7) // 8]
 
 
 def unpacked_bits(rows: np.ndarray, width: int, n: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1, count=n * width, bitorder="little").reshape(len(rows), n, width)
-    return bits @ (np.uint32(1) << np.arange(width, dtype=np.uint32)) if width else np.zeros((len(rows), n), np.uint32)
+    """The first ``n`` values of each row; a value lies in ``reach`` bytes from its first bit's on."""
+    if not width:
+        return np.zeros((len(rows), n), np.uint32)
+    bits = np.arange(n) * width
+    reach = (width + 14) // 8
+    kind = np.uint32 if reach <= 4 else np.uint64
+    held, out = np.pad(rows, ((0, 0), (0, reach))), np.zeros((len(rows), n), kind)
+    for byte in range(reach):
+        out |= np.take(held, (bits >> 3) + byte, axis=1).astype(kind) << kind(8 * byte)
+    return ((out >> (bits & 7).astype(kind)) & kind((1 << width) - 1)).astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS, percentile: int = PERCENTILE) -> list[bytes]:
@@ -86,7 +102,7 @@ def _encode_rows(rows: np.ndarray, percentile: int) -> list[bytes]:
     rest = rows - least[:, None]
     at = max(0, -(-n * percentile // 100) - 1)
     width = widths(np.partition(rest, at, axis=1)[:, at])
-    over = widths(rest) > width[:, None]
+    over = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     head = np.zeros(len(rows), BLOCK)
     head["least"], head["width"], head["patches"] = least, width, over.sum(axis=1)
     low = np.where(over, 0, rest)
@@ -105,6 +121,11 @@ def _encode_rows(rows: np.ndarray, percentile: int) -> list[bytes]:
     return out
 
 
+def numbers(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The little-endian u32 at each byte number of ``at``."""
+    return data[at[:, None] + np.arange(4)].view("<u4")[:, 0]
+
+
 def decode_blocks(raw: bytes, starts: np.ndarray, n: int, block: int = BLOCK_IDS) -> np.ndarray:
     """The ``n`` ids of consecutive blocks of ``raw`` that begin at ``starts``, read together by width."""
     if not n:
@@ -122,11 +143,10 @@ def decode_blocks(raw: bytes, starts: np.ndarray, n: int, block: int = BLOCK_IDS
         for part in np.array_split(these, len(these) // 2048 + 1):
             values = unpacked_bits(data[bodies[part][:, None] + np.arange(size)], w, c) + head["least"][part][:, None]
             out[(part * block)[:, None] + np.arange(c)] = values
-    patched = np.flatnonzero(head["patches"])
-    for i in patched.tolist():
-        k, at = int(head["patches"][i]), int(bodies[i] + (counts[i] * width[i] + 7) // 8)
-        places = np.frombuffer(raw, "<u4", k, at)
-        out[i * block + places] = np.frombuffer(raw, "<u4", k, at + 4 * k) + head["least"][i]
+    patches = head["patches"].astype(np.int64)
+    of = np.repeat(np.arange(len(starts)), patches)                 # the block of each exception
+    at = (bodies + (counts * width + 7) // 8)[of] + 4 * (np.arange(len(of)) - (np.cumsum(patches) - patches)[of])
+    out[of * block + numbers(data, at)] = numbers(data, at + 4 * patches[of]) + head["least"][of]
     return out
 
 
@@ -166,7 +186,7 @@ def _writer(path: str, end_id: int, block: int, percentile: int, segment_ids: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, number, before = ByteBPE(path, plain=False), TaskContext.get().partitionId(), 0
+        bpe, number, before = of_worker(path, False), TaskContext.get().partitionId(), 0
         names, counts, ids, held = [], [], [], 0
 
         def made():

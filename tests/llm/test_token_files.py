@@ -108,3 +108,38 @@ def test_small_segments_and_tokens(spark, tmp_path):
     read = {int(r.id): r.tokens for r in T.read_tokens(spark, path).collect()}
     assert read == dict(zip([r[0] for r in rows], library([r[1] for r in rows])))
     assert len(list((tmp_path / "tokens").glob("part-*"))) > 1
+
+
+def test_numbers_of_every_width_are_packed_lowest_bit_first():
+    rng = np.random.default_rng(2)
+    for width in range(33):
+        for n in (1, 7, 8, 9, 40):
+            rows = rng.integers(0, 1 << width, (3, n), dtype=np.uint64).astype(np.uint32)
+            rows[0] = (1 << width) - 1
+            packed = T.packed_bits(rows, width)
+            bits = (rows[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
+            assert packed.tolist() == np.packbits(bits.astype(np.uint8).reshape(3, -1), axis=1, bitorder="little").tolist()
+            assert T.unpacked_bits(packed, width, n).tolist() == rows.tolist()
+
+
+def test_a_worker_learns_a_pre_token_once(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        def partitionId(self):
+            return 3
+
+    merged, path = [], public_tokenizers.path(T.VOCABULARY)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: Task()))
+    monkeypatch.setattr(bpe.ByteBPE, "merged", lambda self, words, of=bpe.ByteBPE.merged: merged.extend(words) or of(self, words))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array(["learnedonce and learnedonce, again", "learnedonce"])], ["id", "text"])
+    files = [[r.column(0)[0].as_py() for r in T._writer(path, T.END_ID, 16, 90, 100)(iter([batch]))] for _ in range(2)]
+    assert files[0] == files[1] and merged.count(" learnedonce") == 1 == merged.count("learnedonce")
+
+
+def test_memory_keeps_no_more_than_its_size():
+    memory, length = bpe.Memory(5), lambda words: [bytes([len(w)]) for w in words]
+    for words in (["a", "bb", "a"], ["cccc", "bb", "d", "eee"], list("abcdefghi"), ["i", "zz", "i"]):
+        assert memory.all(words, length) == length(words)
+        assert len(memory.known) <= 5
