@@ -21,6 +21,8 @@ from .batched import KMEANS, MIXTURE, Fit, fit_all, label_all
 from .evaluate import BLOCK_ROWS, evaluate_clusters, silhouette
 from .preprocess import DATASET, LOOK_FEATURES, PREPROCESSING
 
+FIT_TASK_ROWS = 10_000       # rows of a task in a step of a single model's fit
+
 
 @dataclass
 class ModelSpec:
@@ -71,13 +73,20 @@ def _features_of(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in keys and c != "pred"]
 
 
+def in_few_tasks(rows: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """``rows`` in tasks of about ``task_rows`` rows. The funds' rows are few but lie in a file for every
+    task that wrote them, and an iterative fit runs all tasks anew in each of its steps."""
+    return rows.coalesce(max(1, -(-rows.count() // (task_rows or FIT_TASK_ROWS))))
+
+
 def fit_train_predict_all(x: DataFrame, estimator, features: Sequence[str] | None = None,
                           dataset_col: str = DATASET, fit_on: str = "train",
                           keys: Sequence[str] = ("fund_cnpj", DATASET)) -> DataFrame:
-    """M3: fit on the train rows, label every row (``pred`` int) with one transform."""
+    """M3: fit on the train rows, label every row (``pred`` int) with one transform. ``x`` is scanned
+    several times: pass a written table or columns of one."""
     feats = list(features) if features else _features_of(x, keys)
     vec = VectorAssembler(inputCols=feats, outputCol="_features").transform(x)
-    model = estimator.fit(vec.where(F.col(dataset_col) == fit_on))
+    model = estimator.fit(in_few_tasks(vec.where(F.col(dataset_col) == fit_on)))
     out = model.transform(vec)
     return out.select(*x.columns, F.col("pred").cast("int").alias("pred"))
 

@@ -177,3 +177,33 @@ def test_a_commit_evaluates_its_rows_once(spark, tmp_path):
         T.commit(spark, str(tmp_path / "t"), rows.mapInArrow(count, rows.schema), ["f", "d"])
         assert seen.value == n
     assert T.read_table(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_a_step_of_a_single_fit_has_tasks_by_rows_not_by_files(spark, tmp_path, monkeypatch):
+    from fundlens.operators import cluster as M
+
+    path = str(tmp_path / "rows")
+    rows = [(f"f{i}", d, float(i % 7), float(i % 5) * (i > 60)) for i in range(120) for d in ("train", "test")]
+    spark.createDataFrame(rows, "fund_cnpj string, dataset string, a double, b double").repartition(40).write.parquet(path)
+    monkeypatch.setattr(M, "FIT_TASK_ROWS", 30)
+    tasks = []
+
+    class Kept:
+        def __init__(self, of):
+            self.of = of
+
+        def fit(self, df):
+            tasks.append((df.rdd.getNumPartitions(), df.count()))
+            return self.of.fit(df)
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")        # a task for every two files
+    try:
+        for model in (M.gmm(2), M.kmeans(2)):
+            out = M.fit_train_predict_all(spark.read.parquet(path), Kept(model))
+            assert out.count() == 240 and out.where("pred IS NULL OR pred NOT IN (0, 1)").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks == [(4, 120), (4, 120)]
+    monkeypatch.setattr(M, "FIT_TASK_ROWS", 1000)
+    assert M.in_few_tasks(spark.read.parquet(path)).rdd.getNumPartitions() == 1
+    assert M.in_few_tasks(spark.read.parquet(path).limit(0)).count() == 0
