@@ -8,11 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import format_bytes, stddev_samp
-from ..session import write_table
+from ..functions.columns import format_bytes
 from .dedupe import top_k_counts
 from .features import FEATURE_DESCRIPTIONS
-from .quantiles import exact_quantiles
+from .profiles import column_profiles
 
 ID, DATE = "fund_cnpj", "report_date"
 
@@ -99,32 +98,18 @@ def feature_summary(df: DataFrame, descriptions: dict[str, str] = FEATURE_DESCRI
     quartiles, max and description; ordered by NULL % (ties by column name)."""
     types = dict(df.dtypes)
     cols = [c for c in df.columns if types[c] in NUMERIC]
-    # the features are computed once; a plain aggregate, the distinct values unpivoted to (column,
-    # value), and the quartile search then read the written columns
-    src = write_table(df.select(*cols), "numeric")
-    row = src.agg(F.count(F.lit(1)).alias("_rows"), *[x for i, c in enumerate(cols) for x in (
-        F.count(c).alias(f"nn{i}"), F.avg(c).alias(f"m{i}"), stddev_samp(c).alias(f"s{i}"),
-        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
-    values = src.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "c", "v").where("v IS NOT NULL")
-    unique = {r["c"]: r["n"] for r in values.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
-    q = exact_quantiles(src, cols, [0.25, 0.5, 0.75], materialize=False)
     rows = []
-    n = row["_rows"]
-    for i, c in enumerate(cols):
-        nn = row[f"nn{i}"]
-        rows.append((c, types[c], nn, n - nn, (n - nn) / n * 100 if n else None, unique.get(c, 0),
-                     _f(row[f"m{i}"]), _f(row[f"s{i}"]), _f(row[f"lo{i}"]), q[(c, 0.25)], q[(c, 0.5)],
-                     q[(c, 0.75)], _f(row[f"hi{i}"]), descriptions.get(c, "")))
+    # the features are computed once: the table is packed by columns, and all else reads what was packed
+    for c, p in zip(cols, column_profiles(df, cols, [0.25, 0.5, 0.75]), strict=True):
+        n, nn = p["rows"], p["n"]
+        rows.append((c, types[c], nn, n - nn, (n - nn) / n * 100 if n else None, p["unique"], p["mean"], p["std"],
+                     p["min"], *p["quantiles"], p["max"], descriptions.get(c, "")))
     schema = ("column string, dtype string, non_null_count long, null_count long, null_pct double, "
               "unique_count long, mean double, std double, min double, p25 double, p50 double, p75 double, "
               "max double, description string")
     return df.sparkSession.createDataFrame(rows, schema).orderBy("null_pct", "column")
 
 
-def _f(v):
-    return None if v is None else float(v)
-
-
 def size_labels(df: DataFrame, size_col: str, out: str = "size_label") -> DataFrame:
     """Human-readable byte sizes (1 dp, 1024 steps)."""
     return df.withColumn(out, format_bytes(size_col))

@@ -105,6 +105,19 @@ def open_writers(spark: SparkSession, n: int = 64):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int):
+    """Within it, a batch of rows on its way to a Python worker holds about ``size`` bytes: rows of large
+    binary values else fill batches of 64 MB, in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SHIPPED: set[str] = set()
 
 
