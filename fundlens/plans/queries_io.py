@@ -350,7 +350,7 @@ _V6_SQL = f"WITH {S.PANEL_CTE},{S.daily_features_sql('panel')}\n" + " UNION ALL
 
 @register("v6_feature_summary", _V6_SQL)
 def v6_feature_summary(spark, sf_dir):
-    """V6: describe every numeric daily feature (exact quartiles, one pass + one quantile search)."""
+    """V6: describe every numeric daily feature (exact quartiles and distinct counts; rows packed once, one shuffle)."""
     daily = FE.create_features(panel(spark, sf_dir), dedupe=False)
     return V.feature_summary(daily)
 
